@@ -308,3 +308,15 @@ def _linked(scratch: Scratch, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     out = scratch.keep(_confirm(pairs, sets), "links")
     scratch.drop(sets)
     return out
+
+
+def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose document is the smallest of its
+    group; of rows that repeat an id one stays.  Rows without an id stay: they
+    cannot be told apart."""
+    names = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    doc_id = f"_c{names.index('doc_id')}"
+    kept = near_duplicates(spark, docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
+    with_id = plain.where(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
+    return with_id.unionByName(plain.where(F.col(doc_id).isNull())).toDF(*names)

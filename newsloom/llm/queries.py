@@ -6,8 +6,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import pick, table
+
+
+def op1_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.train(docs))
+
+
+def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op4_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from . import tokencount
+
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
 
 
 def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +45,17 @@ def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_chat_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    rows = rows.select(*[F.col(c).cast(t) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))]).unionByName(more)
+    records = rows.select(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    return chat.digests(chat.format_turns(chat.canonical_turns(records)))
+
+
 def op7_language_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -48,5 +87,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f"""
+
+_CHAT_ESCAPE = "replace({0}, chr(92), chr(92) || chr(92))"
+for _control in ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
+    _CHAT_ESCAPE = f"replace({_CHAT_ESCAPE}, '{_control}', '{_control[0]}' || chr(92) || '{_control[1:]}')"
+
+_CHAT_SQL = f"""
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       CAST(sum(length({_CHAT_ESCAPE.format('role')}) + length({_CHAT_ESCAPE.format('text')}) + 24) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc_boundary_chain": _WARC_SQL, "op6_chat_schema_fingerprint": _CHAT_SQL}
