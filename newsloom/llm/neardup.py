@@ -39,7 +39,8 @@ HASHES = ROWS * BANDS
 STEP = 24  # signature values compared at a time
 MISS = 1e-6  # chance at which a candidate is given up
 NUMERATOR, DENOMINATOR = 75, 100
-BLOCK = 128  # classes of a bucket that one block holds, about
+FILTER_BITS = 1 << 26  # of the filter that spares texts without a candidate (8 MB)
+BLOCK = 512  # classes of a bucket that one block holds, about
 NO_ID = (1 << 63) - 1
 
 _MULTIPLY = (stream(101, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -132,11 +133,25 @@ def _prune(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [s.tobytes() for _, _, data, offsets in slices(batch.column(1)) for s in shingle_sets(data, offsets)]
-        return record([("node", pa.int64()), ("shingles", pa.binary())], batch.column(0), out)
+    """(node, shingles) of the wanted nodes, without a shuffle of texts: a bitmap
+    of FILTER_BITS bits, whatever the data, goes to every task, which skips texts
+    whose bit is unset; an exact semi-join then drops what passed by chance."""
+    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    parts = nodes.select((bit + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in parts.collect():  # at most FILTER_BITS / 32768 rows of 4 KB
+        bits[(row.k - 1) * 4096 : row.k * 4096] = np.frombuffer(row.bits, np.uint8)
+    shared = nodes.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            if batch.num_rows:
+                out = [s.tobytes() for _, _, data, offsets in slices(batch.column(1)) for s in shingle_sets(data, offsets)]
+                yield record([("node", pa.int64()), ("shingles", pa.binary())], batch.column(0), out)
 
-    return over_batches(docs.select("node", "text").join(nodes, "node", "left_semi"), run, "node long, shingles binary")
+    return docs.select("node", "text", bit.alias("bit")).mapInArrow(run, "node long, shingles binary").join(nodes, "node", "left_semi")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -209,11 +224,10 @@ def _across(rows: DataFrame, signatures: DataFrame) -> DataFrame:
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     dealt = (
         rows.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+        .join(signatures.select("node", "signature"), "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component")
-        .join(signatures.select("node", "signature"), "node")
-        .select("key", "lo", "hi", "own", "node", "component", "signature")
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "signature")
     )
 
     def pairs(part: pa.Table) -> tuple[list, list]:
