@@ -47,7 +47,8 @@ def rendered_members(members="members", most: int = RENDERED_MEMBERS) -> Column:
     """Lines of the oldest members, by time and id."""
     entry = F.transform(F.map_entries(col(members)), lambda e: F.struct(e["value"]["ts"].alias("ts"), e["key"].alias("id"), e["value"].alias("block")))
     first = F.slice(F.array_sort(F.transform(entry, lambda e: F.struct(e["ts"].alias("ts"), e["id"].alias("id"), e["block"]["summary"].alias("summary"), e["block"]["links"].alias("links"), e["block"]["channel"].alias("channel")))), 1, most)
-    return F.transform(first, lambda e: member_line(e["id"], e["summary"], e["links"], e["channel"]))
+    lines = F.transform(first, lambda e: member_line(e["id"], e["summary"], e["links"], e["channel"]))
+    return F.coalesce(lines, F.array().cast("array<string>"))
 
 
 def assemble(rows: DataFrame) -> DataFrame:
