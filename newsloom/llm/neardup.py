@@ -10,7 +10,9 @@
    Survivors are confirmed on full sets.
 5. Links become components (contracting minimum hooks).  Buckets that still hold
    classes of several components compare all pairs across components, in
-   blocks, so that no pair of a bucket goes unseen; their links join the rest.
+   blocks, so that no pair of a bucket goes unseen; there a last batch, the SAMPLE
+   smallest shingle hashes of the union (all of them in short texts, whose
+   similarity it gives exactly), prunes too.  These links join the rest.
 
 What is lost: only pairs that share no bucket (at similarity s,
 (1 - s ** ROWS) ** BANDS: 2e-6 at 0.75, less above) or fall to step 4's bound.
@@ -41,7 +43,9 @@ MISS = 1e-6  # chance at which a candidate is given up
 NUMERATOR, DENOMINATOR = 75, 100
 FILTER_BITS = 1 << 26  # of the filter that spares texts without a candidate (8 MB)
 BLOCK = 512  # classes of a bucket that one block holds, about
+SAMPLE = 128  # smallest shingle hashes of a class that its blocks compare
 NO_ID = (1 << 63) - 1
+NO_HASH = np.uint64((1 << 64) - 1)
 
 _MULTIPLY = (stream(101, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (stream(102, HASHES) >> np.uint64(32)).astype(np.uint32)
@@ -73,12 +77,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [np.unique(hashes[first[k] : first[k + 1]]) for k in range(len(offsets) - 1)]
 
 
+def digest(shingles: bytes) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 def _fingerprints(batch: pa.RecordBatch) -> pa.RecordBatch:
     counts, digests, lows = [], [], []
     for _, _, data, offsets in slices(batch.column(1)):
         for found in shingle_sets(data, offsets):
             counts.append(len(found))
-            digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+            digests.append(digest(found.tobytes()))
             lows.append(minhash(found))
     low = np.array(lows)
     keys, small = band_keys(low), (low & np.uint32(0xFF)).astype(np.uint8)
@@ -88,14 +96,14 @@ def _fingerprints(batch: pa.RecordBatch) -> pa.RecordBatch:
 _FINGERPRINT = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.binary()), ("signature", pa.binary())]
 
 
-def least_matches(threshold: float = NUMERATOR / DENOMINATOR, miss: float = MISS) -> list[tuple[int, int]]:
+def least_matches(threshold: float = NUMERATOR / DENOMINATOR, miss: float = MISS, batches=range(STEP, HASHES + 1, STEP)) -> list[tuple[int, int]]:
     """(values compared, matches below which a pair is given up).  The posterior
     of the similarity has a uniform prior; 8-bit values match by chance too."""
     s = (np.arange(20_000) + 0.5) / 20_000
     q = s + (1 - s) / 256
     log_q, log_p = np.log(q), np.log1p(-np.minimum(q, 1 - 1e-12))
     out = []
-    for n in range(STEP, HASHES + 1, STEP):
+    for n in batches:
         for m in range(n + 1):
             like = m * log_q + (n - m) * log_p
             like = np.exp(like - like.max())
@@ -105,14 +113,37 @@ def least_matches(threshold: float = NUMERATOR / DENOMINATOR, miss: float = MISS
     return out
 
 
-def likely(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
-    """Which pairs of signature rows outlast every batch of comparisons."""
+def likely(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of signature rows outlast every batch of comparisons, and the
+    values that match in these."""
     alive, seen, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
     for n, m in bounds:
         seen = seen + (a[alive, done:n] == b[alive, done:n]).sum(1)
         stay = seen >= m
         alive, seen, done = alive[stay], seen[stay], n
-    return alive
+    return alive, seen
+
+
+def sampled(low: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, matches: np.ndarray, least: int) -> np.ndarray:
+    """Which pairs (i, j) outlast the batch of smallest shingle hashes.  low: rows
+    of SAMPLE sorted hashes, closed by the largest integer; matches: equal
+    signature values of the pairs; least: what all values together must reach."""
+    keep = []
+    for s in range(0, len(i), 2048):
+        a, b = i[s : s + 2048], j[s : s + 2048]
+        both = np.sort(np.concatenate([low[a], low[b]], axis=1), axis=1)
+        again = both[:, 1:] == both[:, :-1]
+        again &= both[:, 1:] != NO_HASH
+        short = np.maximum(sizes[a], sizes[b]) <= SAMPLE
+        common = again.sum(1)
+        union = sizes[a] + sizes[b] - common
+        # of larger sets the SAMPLE smallest of the union are a fair sample of it
+        seen = np.arange(1, both.shape[1]) + 1 - np.cumsum(again, axis=1)
+        part = (again & (seen <= SAMPLE)).sum(1)
+        small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+        ok = np.where(short, DENOMINATOR * common >= NUMERATOR * union, matches[s : s + 2048] + part >= least)
+        keep.append(s + np.flatnonzero(ok & (DENOMINATOR * small >= NUMERATOR * large)))
+    return np.concatenate(keep) if keep else np.zeros(0, np.int64)
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -124,7 +155,7 @@ def _prune(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     bounds = least_matches()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = likely(_rows(batch.column(2)), _rows(batch.column(3)), bounds)
+        got, _ = likely(_rows(batch.column(2)), _rows(batch.column(3)), bounds)
         return batch.select([0, 1]).take(pa.array(got))
 
     sig = signatures.select("node", "signature")
@@ -133,7 +164,7 @@ def _prune(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes, without a shuffle of texts: a bitmap
+    """(node, digest, shingles) of the wanted nodes, without a shuffle of texts: a bitmap
     of FILTER_BITS bits, whatever the data, goes to every task, which skips texts
     whose bit is unset; an exact semi-join then drops what passed by chance."""
     bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
@@ -149,9 +180,9 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             if batch.num_rows:
                 out = [s.tobytes() for _, _, data, offsets in slices(batch.column(1)) for s in shingle_sets(data, offsets)]
-                yield record([("node", pa.int64()), ("shingles", pa.binary())], batch.column(0), out)
+                yield record([("node", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())], batch.column(0), list(map(digest, out)), out)
 
-    return docs.select("node", "text", bit.alias("bit")).mapInArrow(run, "node long, shingles binary").join(nodes, "node", "left_semi")
+    return docs.select("node", "text", bit.alias("bit")).mapInArrow(run, "node long, digest binary, shingles binary").join(nodes, "node", "left_semi")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -168,6 +199,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(k)
         return batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
+    sets = sets.select("node", "shingles")
     both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
     return over_batches(both, run, "a long, b long").distinct()
 
@@ -215,24 +247,31 @@ def _bands(classes: DataFrame) -> DataFrame:
     return over_batches(classes.select("node", "bands"), run, "key long, node long")
 
 
-def _across(rows: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs (a, b) that outlast the signature comparison, of classes that share
-    a key and differ in component.  A key's classes are dealt into blocks of
+def _across(mixed: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) that outlast the comparison, of classes that share a key and
+    differ in component.  mixed: key, blocks, node, component; marks: signature,
+    size and smallest hashes by node.  A key's classes are dealt into blocks of
     about BLOCK; each pair of blocks is compared once, and only likely pairs
     leave the task."""
     bounds = least_matches()
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    ((_, least),) = least_matches(batches=[HASHES + SAMPLE])
     dealt = (
-        rows.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
-        .join(signatures.select("node", "signature"), "node")
+        mixed.join(marks, "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "signature")
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "signature", "size", "low")
     )
 
+    def smallest(column: pa.Array) -> np.ndarray:
+        out = np.full((len(column), SAMPLE), NO_HASH)
+        for row, value in zip(out, column):
+            found = np.frombuffer(value.as_buffer(), np.uint64)
+            row[: len(found)] = found
+        return out
+
     def pairs(part: pa.Table) -> tuple[list, list]:
         node, comp = part.column("node").to_numpy(), part.column("component").to_numpy()
-        own, lo, hi = (part.column(c).to_numpy() for c in ("own", "lo", "hi"))
+        own, lo, hi, size = (part.column(c).to_numpy() for c in ("own", "lo", "hi", "size"))
         sig = _rows(part.column("signature"))
         change = np.any([part.column(c).to_numpy()[1:] != part.column(c).to_numpy()[:-1] for c in ("key", "lo", "hi")], axis=0)
         cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(node)]])
@@ -244,9 +283,13 @@ def _across(rows: DataFrame, signatures: DataFrame) -> DataFrame:
             i, j = i + s, j + s
             ok = (comp[i] != comp[j]) & (node[i] != node[j]) & ((lo[s] == hi[s]) | (own[i] != own[j]))
             i, j = i[ok], j[ok]
-            got = likely(sig[i], sig[j], bounds)
-            a.append(np.minimum(node[i[got]], node[j[got]]))
-            b.append(np.maximum(node[i[got]], node[j[got]]))
+            got, matches = likely(sig[i], sig[j], bounds)
+            i, j = i[got], j[got]
+            if len(i):
+                got = sampled(smallest(part.column("low").slice(s, e - s)), size[s:e], i - s, j - s, matches, least)
+                i, j = i[got], j[got]
+            a.append(np.minimum(node[i], node[j]))
+            b.append(np.maximum(node[i], node[j]))
         return a, b
 
     def run(batches):
@@ -301,13 +344,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     links = _linked(scratch, docs, pruned)
 
     groups = scratch.keep(components(scratch, links.unionByName(ties)), "groups")
-    rows = shared.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    more = scratch.keep(_across(rows, classes).join(pruned, ["a", "b"], "left_anti"), "across")
+    rows = scratch.keep(shared.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "rows")
+    scratch.drop(shared)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    mixed = scratch.keep(rows.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "mixed")
+    scratch.drop(rows)
+    sets = scratch.keep(_full_sets(docs, mixed.select("node").distinct()), "sets")
+    marks = sets.select("digest", (F.octet_length("shingles") / 8).cast("long").alias("size"), F.expr(f"substring(shingles, 1, {8 * SAMPLE})").alias("low"))
+    marks = classes.select("digest", "node", "signature").join(marks.dropDuplicates(["digest"]), "digest").drop("digest")
+    more = scratch.keep(_across(mixed, marks).join(pruned, ["a", "b"], "left_anti"), "across")
     if not more.isEmpty():
-        links = links.unionByName(_linked(scratch, docs, more))
+        links = links.unionByName(scratch.keep(_confirm(more, sets), "links"))
         again = components(scratch, links.unionByName(ties))
         groups = scratch.keep(again, "groups")
-    scratch.drop(shared)
+    scratch.drop(mixed, sets)
 
     of = rep.join(groups.toDF("rep", "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("node").alias("component"))
