@@ -43,7 +43,7 @@ MISS = 1e-6  # chance at which a candidate is given up
 NUMERATOR, DENOMINATOR = 75, 100
 FILTER_BITS = 1 << 26  # of the filter that spares texts without a candidate (8 MB)
 BLOCK = 512  # classes of a bucket that one block holds, about
-SAMPLE = 128  # smallest shingle hashes of a class that its blocks compare
+SAMPLE = 512  # smallest shingle hashes of a class that its blocks compare (4 KB)
 NO_ID = (1 << 63) - 1
 NO_HASH = np.uint64((1 << 64) - 1)
 
@@ -126,7 +126,7 @@ def likely(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> tuple
 
 def sampled(low: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, matches: np.ndarray, least: int) -> np.ndarray:
     """Which pairs (i, j) outlast the batch of smallest shingle hashes.  low: rows
-    of SAMPLE sorted hashes, closed by the largest integer; matches: equal
+    of up to SAMPLE sorted hashes, closed by the largest integer; matches: equal
     signature values of the pairs; least: what all values together must reach."""
     keep = []
     for s in range(0, len(i), 2048):
@@ -263,10 +263,10 @@ def _across(mixed: DataFrame, marks: DataFrame) -> DataFrame:
     )
 
     def smallest(column: pa.Array) -> np.ndarray:
-        out = np.full((len(column), SAMPLE), NO_HASH)
-        for row, value in zip(out, column):
-            found = np.frombuffer(value.as_buffer(), np.uint64)
-            row[: len(found)] = found
+        found = [np.frombuffer(value.as_buffer(), np.uint64) for value in column]
+        out = np.full((len(found), max(map(len, found))), NO_HASH)
+        for row, value in zip(out, found):
+            row[: len(value)] = value
         return out
 
     def pairs(part: pa.Table) -> tuple[list, list]:
