@@ -11,11 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def place(df: DataFrame, name: str) -> int:
+    """Where a column is: by exact name and first place, else whatever the case."""
+    return df.columns.index(name) if name in df.columns else [c.lower() for c in df.columns].index(name.lower())
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns renamed by place, so that names that differ by case only, or
+    repeat, do no harm."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, by exact name and first place, whatever other columns
-    there are (names that differ by case only, or repeat, do no harm)."""
-    at = [df.columns.index(n) if n in df.columns else [c.lower() for c in df.columns].index(n.lower()) for n in names]
-    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]).select(*[F.col(f"_c{i}").alias(n) for i, n in zip(at, names)])
+    """The named columns, whatever other columns there are."""
+    return numbered(df).select(*[F.col(f"_c{place(df, n)}").alias(n) for n in names])
+
+
+def over_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """mapInArrow over all columns, which stay as they are in name and type."""
+    plain = numbered(df)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

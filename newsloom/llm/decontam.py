@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import Scratch, pick, record
+from ._spark import Scratch, numbered, pick, place, record
 from ._text import ALNUM_WORDS, Words, buffers, slices
 
 WINDOW = 13
@@ -226,8 +226,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated; no shuffle."""
     scratch, blocks = Scratch(spark, "decontam"), list(map(spark.sparkContext.broadcast, _blocks(benchmark)))
-    at, width, schema = docs.columns.index("text"), len(docs.columns), docs.schema
-    more = f"{','.join(docs.columns)}_hits"  # a name that no column has
+    names, at, width = docs.columns, place(docs, "text"), len(docs.columns)
+    docs = numbered(docs)
+    schema = docs.schema
 
     def one_pass(rows: DataFrame, shared, earlier: bool, last: bool) -> DataFrame:
         def run(batches):
@@ -242,9 +243,9 @@ def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
                     dirty.append(len(found) > 0 and 20 * len(found) >= n)
                     hits.append(found.tobytes())
                 batch = batch.select(range(width))
-                yield batch.filter(pa.array([not d for d in dirty])) if last else batch.append_column(more, pa.array(hits, pa.binary()))
+                yield batch.filter(pa.array([not d for d in dirty])) if last else batch.append_column("_hits", pa.array(hits, pa.binary()))
 
-        return rows.mapInArrow(run, schema if last else T.StructType([*schema.fields, T.StructField(more, T.BinaryType())]))
+        return rows.mapInArrow(run, schema if last else T.StructType([*schema.fields, T.StructField("_hits", T.BinaryType())]))
 
     before = None
     for k, block in enumerate(blocks):
@@ -254,4 +255,4 @@ def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
             if before is not None:
                 scratch.drop(before)
             before = docs
-    return docs
+    return docs.toDF(*names)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, over_batches, pick, record
+from ._spark import Scratch, numbered, over_batches, pick, place, record
 from ._text import BLANK_WORDS, Words, mix, shingle_hashes, slices, stream
 
 SIZE = 5  # words of a shingle
@@ -379,8 +379,7 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     group; of rows that repeat an id one stays.  Rows without an id stay: they
     cannot be told apart."""
     names = docs.columns
-    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    doc_id = f"_c{names.index('doc_id')}"
+    plain, doc_id = numbered(docs), f"_c{place(docs, 'doc_id')}"
     kept = near_duplicates(spark, docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
     with_id = plain.where(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
     return with_id.unionByName(plain.where(F.col(doc_id).isNull())).toDF(*names)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import over_batches, pick, record
+from ._spark import over_batches, over_rows, pick, place, record
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2000
@@ -259,8 +259,7 @@ def redact(text: str, weights: Weights) -> str:
 
 def redact_documents(docs: DataFrame, weights: Weights) -> DataFrame:
     """docs with redacted text (and n_chars, where there is one, after it)."""
-    schema, at = docs.schema, docs.columns.index("text")
-    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    at, size = place(docs, "text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
         for batch in batches:
@@ -275,4 +274,4 @@ def redact_documents(docs: DataFrame, weights: Weights) -> DataFrame:
                 columns[size] = pa.array([o if a == b or a is None else len(a) for o, a, b in zip(old, after, before)], columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return over_rows(docs, run)

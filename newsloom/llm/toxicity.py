@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import over_batches, pick, record
+from ._spark import over_batches, over_rows, pick, place, record
 from ._text import ALNUM_WORDS, Words, slices
 
 BITS = 21  # hashed terms: 2 ** BITS buckets
@@ -162,8 +162,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, that the model does not call toxic."""
-    schema = docs.schema
-    at = docs.columns.index("text")
+    at = place(docs, "text")
 
     def run(batches):
         for batch in batches:
@@ -171,4 +170,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
                 got = [scores(model, data, offsets) for _, _, data, offsets in slices(batch.column(at))]
                 yield batch.filter(pa.array(np.round(np.concatenate(got), 9) < THRESHOLD))
 
-    return docs.mapInArrow(run, schema)
+    return over_rows(docs, run)

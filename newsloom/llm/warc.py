@@ -34,21 +34,31 @@ RECORDS = 2000
 _NONE = (1 << 63) - 1
 
 
-def records(pages: DataFrame) -> DataFrame:
+def records(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to."""
     rows = pick(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")
     )
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2("html", 256))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("order", F.coalesce("page_id", F.lit(_NONE)))
+    rows = rows.withColumn("order", F.coalesce("page_id", F.lit(_NONE)))
     large = rows.where(F.col("payload_bytes") >= LEAST)
-    first = large.groupBy("payload_digest").agg(F.min(F.struct("order", "row")).alias("first"))  # map-side minima: copies meet before the shuffle
-    is_first = (F.col("first.order") == F.col("order")) & (F.col("first.row") == F.col("row"))
-    judged = large.join(first, "payload_digest").withColumn("record_type", F.when(is_first, "response").otherwise("revisit"))
-    judged = judged.withColumn("refers_to", F.when(~is_first & (F.col("first.order") != _NONE), F.col("first.order")))
+    # copies of a payload meet on the map side; n: the rows that repeat its smallest id
+    first = large.groupBy("payload_digest", "order").agg(F.count("*").alias("n")).groupBy("payload_digest").agg(F.min(F.struct("order", "n")).alias("first"))
+    first = scratch.keep(first.select("payload_digest", F.col("first.order").alias("first"), "first.n"), "first")
+    judged = large.join(first, "payload_digest")
+    leads, refers = F.col("order") == F.col("first"), F.when(F.col("first") != _NONE, F.col("first"))
     names = ["page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    small = rows.where(F.col("payload_bytes") < LEAST).withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("long"))
-    return judged.select(names).unionByName(small.select(names))
+    kind = lambda lead: (F.when(lead, "response").otherwise("revisit").alias("record_type"), F.when(~lead, refers).alias("refers_to"))
+    small = rows.where(F.col("payload_bytes") < LEAST).select(*names[:5], F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    repeats = first.where("n > 1")
+    if repeats.isEmpty():
+        return judged.select(*names[:5], *kind(leads)).unionByName(small)
+    # rows that repeat the smallest id are counted, not told apart, and one leads
+    same = judged.where(leads & (F.col("n") > 1)).groupBy("payload_digest", "first", "page_id", "url", "payload_bytes").agg(F.first("html").alias("html"), F.count("*").alias("times"))
+    same = same.withColumn("place", F.row_number().over(Window.partitionBy("payload_digest").orderBy("url")))
+    same = same.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    same = same.select(*names[:5], *kind((F.col("place") == 1) & (F.col("time") == 1)))
+    return judged.where(~leads | (F.col("n") == 1)).select(*names[:5], *kind(leads)).unionByName(same).unionByName(small)
 
 
 def write(records: DataFrame, path: str) -> None:
@@ -249,5 +259,5 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     written to the shared folder and read back."""
     scratch = Scratch(spark, "warc")
     path = scratch.path("archive")
-    write(records(pages), path)
+    write(records(pages, scratch), path)
     return read(spark, path, scratch).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
