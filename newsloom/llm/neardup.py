@@ -43,9 +43,9 @@ MISS = 1e-6  # chance at which a candidate is given up
 NUMERATOR, DENOMINATOR = 75, 100
 FILTER_BITS = 1 << 26  # of the filter that spares texts without a candidate (8 MB)
 BLOCK = 512  # classes of a bucket that one block holds, about
-SAMPLE = 512  # smallest shingle hashes of a class that its blocks compare (4 KB)
+SAMPLE = 512  # smallest shingle hashes of a class that its blocks compare (their upper halves, 2 KB)
 NO_ID = (1 << 63) - 1
-NO_HASH = np.uint64((1 << 64) - 1)
+NO_HASH = np.uint32(0xFFFFFFFF)
 
 _MULTIPLY = (stream(101, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (stream(102, HASHES) >> np.uint64(32)).astype(np.uint32)
@@ -141,7 +141,8 @@ def sampled(low: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, ma
         seen = np.arange(1, both.shape[1]) + 1 - np.cumsum(again, axis=1)
         part = (again & (seen <= SAMPLE)).sum(1)
         small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-        ok = np.where(short, DENOMINATOR * common >= NUMERATOR * union, matches[s : s + 2048] + part >= least)
+        exact = DENOMINATOR * (common + 1) >= NUMERATOR * (union - 1)  # spare for upper halves that are alike within a text
+        ok = np.where(short, exact, matches[s : s + 2048] + part >= least)
         keep.append(s + np.flatnonzero(ok & (DENOMINATOR * small >= NUMERATOR * large)))
     return np.concatenate(keep) if keep else np.zeros(0, np.int64)
 
@@ -164,7 +165,7 @@ def _prune(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, digest, shingles) of the wanted nodes, without a shuffle of texts: a bitmap
+    """(node, digest, shingles, low) of the wanted nodes, without a shuffle of texts: a bitmap
     of FILTER_BITS bits, whatever the data, goes to every task, which skips texts
     whose bit is unset; an exact semi-join then drops what passed by chance."""
     bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
@@ -179,10 +180,19 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             at = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             if batch.num_rows:
-                out = [s.tobytes() for _, _, data, offsets in slices(batch.column(1)) for s in shingle_sets(data, offsets)]
-                yield record([("node", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())], batch.column(0), list(map(digest, out)), out)
+                found = [s for _, _, data, offsets in slices(batch.column(1)) for s in shingle_sets(data, offsets)]
+                out = [s.tobytes() for s in found]
+                yield record(_SET, batch.column(0), list(map(digest, out)), out, [smallest(s).tobytes() for s in found])
 
-    return docs.select("node", "text", bit.alias("bit")).mapInArrow(run, "node long, digest binary, shingles binary").join(nodes, "node", "left_semi")
+    return docs.select("node", "text", bit.alias("bit")).mapInArrow(run, "node long, digest binary, shingles binary, low binary").join(nodes, "node", "left_semi")
+
+
+_SET = [("node", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary()), ("low", pa.binary())]
+
+
+def smallest(shingles: np.ndarray) -> np.ndarray:
+    """The upper halves of the SAMPLE smallest hashes, which keep their order."""
+    return (shingles[:SAMPLE] >> np.uint64(32)).astype(np.uint32)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -262,8 +272,8 @@ def _across(mixed: DataFrame, marks: DataFrame) -> DataFrame:
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "signature", "size", "low")
     )
 
-    def smallest(column: pa.Array) -> np.ndarray:
-        found = [np.frombuffer(value.as_buffer(), np.uint64) for value in column]
+    def lows(column: pa.Array) -> np.ndarray:
+        found = [np.frombuffer(value.as_buffer(), np.uint32) for value in column]
         out = np.full((len(found), max(map(len, found))), NO_HASH)
         for row, value in zip(out, found):
             row[: len(value)] = value
@@ -286,7 +296,7 @@ def _across(mixed: DataFrame, marks: DataFrame) -> DataFrame:
             got, matches = likely(sig[i], sig[j], bounds)
             i, j = i[got], j[got]
             if len(i):
-                got = sampled(smallest(part.column("low").slice(s, e - s)), size[s:e], i - s, j - s, matches, least)
+                got = sampled(lows(part.column("low").slice(s, e - s)), size[s:e], i - s, j - s, matches, least)
                 i, j = i[got], j[got]
             a.append(np.minimum(node[i], node[j]))
             b.append(np.maximum(node[i], node[j]))
@@ -350,7 +360,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     mixed = scratch.keep(rows.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "mixed")
     scratch.drop(rows)
     sets = scratch.keep(_full_sets(docs, mixed.select("node").distinct()), "sets")
-    marks = sets.select("digest", (F.octet_length("shingles") / 8).cast("long").alias("size"), F.expr(f"substring(shingles, 1, {8 * SAMPLE})").alias("low"))
+    marks = sets.select("digest", (F.octet_length("shingles") / 8).cast("long").alias("size"), "low")
     marks = classes.select("digest", "node", "signature").join(marks.dropDuplicates(["digest"]), "digest").drop("digest")
     more = scratch.keep(_across(mixed, marks).join(pruned, ["a", "b"], "left_anti"), "across")
     if not more.isEmpty():
