@@ -9,10 +9,13 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import SUMMARY_MAX
 
 _LINK = re.compile(r"\[[^\]]*\]\(#\d+\)")
+_HREF = T.StructType([T.StructField("id", T.LongType()), T.StructField("href", T.StringType())])
+_TOKENS = T.StructType([T.StructField("body", T.StringType()), T.StructField("links", T.ArrayType(_HREF))])
 _BLANK = "\t\n\x0b\x0c\r \xa0                　﻿"
 
 
@@ -37,7 +40,7 @@ def clamp(text: str, most: int = SUMMARY_MAX) -> str:
     return text[:end].rstrip(_BLANK) + "…"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clamp_summary(texts: pd.Series) -> pd.Series:
     return texts.map(clamp, na_action="ignore")
 
@@ -56,7 +59,7 @@ def tokenise(text: str, spans: list[dict]) -> tuple[str, list[dict]]:
     return "".join(out) + _cut(text, at, _units(text)), links
 
 
-@F.pandas_udf("struct<body: string, links: array<struct<id: bigint, href: string>>>")
+@F.pandas_udf(_TOKENS)
 def tokenise_links(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     rows = [tokenise(t or "", [dict(s) for s in (x if x is not None else [])]) for t, x in zip(texts, spans)]
     return pd.DataFrame(rows, columns=["body", "links"])

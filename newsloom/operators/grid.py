@@ -47,6 +47,7 @@ def sort_order(df: DataFrame, column: str, descending: bool, tie: str) -> list[C
         blank, value = F.col(column).isNull(), F.col(column).cast("double")
     else:
         return [F.col(tie)]
+    value = F.when(~blank, value)  # blanks tie
     return [blank, value.desc() if descending else value.asc(), F.col(tie)]
 
 
