@@ -236,10 +236,10 @@ def headers(spark, sf):
 
 _BLOCKS_SQL = f"""{views.MESSAGES_SQL},
 lines AS (
-  SELECT DISTINCT l_orderkey, (epoch_us(l_shipdate) // 1000) AS ts, 's' || l_suppkey || '/' || l_partkey || lpad(CAST(l_linenumber AS VARCHAR), 3, '0') AS mid,
+  SELECT l_orderkey, (epoch_us(l_shipdate) // 1000) AS ts, 's' || l_suppkey || '/' || l_partkey || lpad(CAST(l_linenumber AS VARCHAR), 3, '0') AS mid,
          '🔘 <a href="http://x/?a=1&amp;p=' || l_partkey || '">part</a> &amp; ' || l_returnflag || ' &lt;' || l_linestatus || '&gt; ' || l_suppkey
          || ' - <a href="https://t.me/s' || l_suppkey || '/' || l_partkey || lpad(CAST(l_linenumber AS VARCHAR), 3, '0') || '">@c' || l_suppkey || '</a>' AS line
-  FROM lineitem),
+  FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey, l_partkey, l_linenumber ORDER BY l_shipdate, l_returnflag, l_linestatus) = 1),
 blocks AS (
   SELECT l_orderkey, string_agg(line, chr(10) ORDER BY ts, mid) AS body, count(*) AS n FROM (
     SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY ts, mid) <= 12) GROUP BY 1)"""

@@ -82,8 +82,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = F.struct(F.lit(1).cast("long").alias("id"), F.concat(F.lit("http://x/?a=1&p="), F.col("l_partkey").cast("string")).alias("href"))
     said = F.concat(F.lit("[part](#1) & "), F.col("l_returnflag"), F.lit(" <"), F.col("l_linestatus"), F.lit("> ["), F.col("l_suppkey").cast("string"), F.lit("](#2)"))
     block = F.struct(said.alias("summary"), F.array(link).alias("links"), F.concat(F.lit("c"), F.col("l_suppkey").cast("string")).alias("channel"), millis(li, "l_shipdate").alias("ts"))
-    member = li.select("l_orderkey", F.struct(F.concat_ws("/", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.col("l_partkey").cast("string"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"))).alias("key"), block.alias("value")).alias("m"))
-    members = member.groupBy("l_orderkey").agg(F.map_from_entries(F.array_distinct(F.collect_list("m"))).alias("members"))
+    key = F.concat_ws("/", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.col("l_partkey").cast("string"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0")))
+    member = li.select("l_orderkey", F.struct(key.alias("key"), "l_shipdate", "l_returnflag", "l_linestatus", block.alias("value")).alias("m"))
+    # lines that repeat a key count once, the earliest
+    lines = member.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    first = F.filter("m", lambda x, i: (i == 0) | (F.get("m", i - 1)["key"] != x["key"]))
+    members = lines.select("l_orderkey", F.map_from_entries(F.transform(first, lambda x: F.struct(x["key"], x["value"]))).alias("members"))
     base = o.select(
         F.concat(F.lit("web/"), F.col("o_orderkey").cast("string")).alias("id"), "o_orderkey", status.alias("status"), (millis(o, "o_orderdate") + F.col("o_orderkey")).alias("ts"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.lower(F.regexp_replace("o_orderpriority", "[0-9]-", "")).alias("title"),
