@@ -5,8 +5,10 @@ tokens that look alike (a number in another layout, an address without its full
 domain) are the free nodes of a conditional random field per document: base
 spans are observed nodes, neighbours in reading order share a weak edge, and
 distant tokens with the same or a similar key share a strong skip edge, strung
-from occurrence to occurrence.  Loopy sum-product messages then settle the free
-nodes, so a value found once is labelled alike where it returns in another form.
+from occurrence to occurrence, and from each free node to the nearest observed
+node of its key, so that free repeats in between do not outweigh it.  Loopy
+sum-product messages then settle the free nodes, so a value found once is
+labelled alike wherever, and however often, it returns in another form.
 
 The edge weights are learned from agreement counts in a bounded, documented
 sample (SAMPLE documents).  A document without a base span keeps its free nodes
@@ -18,6 +20,7 @@ extra columns are ignored (redaction keeps them)."""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from dataclasses import dataclass
@@ -131,7 +134,9 @@ def keys(token: str, address: bool) -> tuple[str, str]:
 
 def network(text: str, base: list[list[tuple[int, int]]]):
     """Nodes (start, end, address, label or 0) in reading order and edges
-    (i, j, type): 0 chain, 1 equal keys, 2 similar keys."""
+    (i, j, type): 0 chain, 1 equal keys, 2 similar keys.  Occurrences of a key
+    are strung in reading order; each free node also has an edge to the nearest
+    observed node of its exact key, or else of its similar key."""
     nodes = [(s, e, k == 0, k + 1) for k, found in enumerate(base) for s, e in found]
     taken, reach = [], -1
     for s, e, *_ in sorted(nodes):  # merged, so that both ends ascend
@@ -142,8 +147,8 @@ def network(text: str, base: list[list[tuple[int, int]]]):
         reach = max(reach, e)
     nodes += [(s, e, address, 0) for s, e, address in loose_spans(text, taken)]
     nodes.sort()
-    edges, last = [], {}
-    for i, (s, e, address, _) in enumerate(nodes):
+    edges, last, found, alike = [], {}, {}, []
+    for i, (s, e, address, label) in enumerate(nodes):
         if i and s - nodes[i - 1][1] <= NEAR:
             edges.append((i - 1, i, 0))
         exact, similar = keys(text[s:e], address)
@@ -153,6 +158,20 @@ def network(text: str, base: list[list[tuple[int, int]]]):
         elif (near := last.get((address, "~", similar))) is not None:
             edges.append((near, i, 2))
         last[(address, exact)] = last[(address, "~", similar)] = i
+        alike.append(((address, exact), (address, "~", similar)))
+        if label:
+            for key in alike[-1]:
+                found.setdefault(key, []).append(i)
+    strung = {(i, j) for i, j, kind in edges if kind}
+    for i, node in enumerate(nodes):
+        for kind, key in enumerate(alike[i], 1):
+            if node[3] or key not in found:
+                continue
+            at = bisect.bisect(found[key], i)
+            j = min(found[key][max(at - 1, 0) : at + 1], key=lambda j: abs(j - i))
+            if (min(i, j), max(i, j)) not in strung:
+                edges.append((min(i, j), max(i, j), kind))
+            break
     return nodes, edges
 
 
@@ -173,13 +192,20 @@ def settle(nodes, edges, weights: Weights) -> np.ndarray:
         src, dst = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
         back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
         pair = np.expand_dims(np.concatenate([gain, gain]), (1, 2)) * np.eye(labels)
+        # What observed nodes say is fixed: said in full from the start, or repeats
+        # that have not heard it yet would talk each other out of a label, and
+        # untouched by what comes in, or many repeats would outweigh it.
+        seen = np.array([label > 0 for *_, label in nodes])[src]
         sent = np.zeros((len(src), labels))
+        out = np.logaddexp.reduce(local[src[seen]][:, :, None] + pair[seen], axis=1)
+        sent[seen] = out - out.max(1, keepdims=True)
+        src, back, pair = src[~seen], back[~seen], pair[~seen]
         for _ in range(ROUNDS):
             belief = local.copy()
             np.add.at(belief, dst, sent)
             out = belief[src] - sent[back]
             out = np.logaddexp.reduce(out[:, :, None] + pair, axis=1)
-            sent = 0.5 * sent + 0.5 * (out - out.max(1, keepdims=True))
+            sent[~seen] = 0.5 * sent[~seen] + 0.5 * (out - out.max(1, keepdims=True))
         np.add.at(local, dst, sent)
     return local.argmax(1)
 

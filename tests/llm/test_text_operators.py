@@ -84,6 +84,22 @@ def test_skip_chain_labels_other_forms_alike():
     assert "0099" not in clean and "jo.do" not in clean and "8467215" in clean
 
 
+@pytest.mark.parametrize("weights", [pii.Weights(), pii.Weights(5.0, 6.5, 5.2, 0.05), pii.Weights(4.5, 8.0, 6.0, 0.3)])
+@pytest.mark.parametrize("gap", [" word" * 3, " word" * 100])
+@pytest.mark.parametrize("loose", ["1.555.010.0099", "555.010.0099", "jo.do (at) mail.example.com", "jo.do (at) other.example.com"])
+def test_every_repeat_of_a_base_span_is_added(loose, gap, weights):
+    """2, 5 and 20 loose repeats before, after and around one base span; repeats
+    of a value that no base span holds stay out."""
+    base = "jo.do@mail.example.com" if "(at)" in loose else "+1 (555) 010-0099"
+    for before, after in [(0, 1), *[x for n in (2, 5, 20) for x in ((n, 0), (0, n), (n, n))]]:
+        text = f"{gap} ".join([loose] * before + [base] + [loose] * after)
+        base_found, spans = pii.find(text, weights)
+        assert sum(map(len, spans)) - sum(map(len, base_found)) == before + after
+        assert pii.redact(text, weights).count("<") == before + after + 1
+        other = f"{gap} ".join([base] + ["846.721.5093"] * (before + after))
+        assert pii.find(other, weights)[1] == pii.base_spans(other)
+
+
 def test_quality_counts(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
