@@ -19,8 +19,10 @@ What is lost: only pairs that share no bucket (at similarity s,
 
 Edge cases: a null text or one without words has an empty set and links with
 nothing; rows that share a doc_id count as one document (their links are
-pooled, each row is returned); rows with a null id have component_id null when
-nothing with an id is linked to them, and are kept; extra columns are ignored.
+pooled, each row is returned).  Rows with a null id link by their text alone, as
+a node of its digest, and never join what their texts do not; one that is linked
+to nothing with an id has the smallest component_id of the rows with a null id,
+or null (and is kept) if none of these is linked.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +46,6 @@ NUMERATOR, DENOMINATOR = 75, 100
 FILTER_BITS = 1 << 26  # of the filter that spares texts without a candidate (8 MB)
 BLOCK = 512  # classes of a bucket that one block holds, about
 SAMPLE = 512  # smallest shingle hashes of a class that its blocks compare (their upper halves, 2 KB)
-NO_ID = (1 << 63) - 1
 NO_HASH = np.uint32(0xFFFFFFFF)
 
 _MULTIPLY = (stream(101, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -81,6 +82,11 @@ def digest(shingles: bytes) -> bytes:
     return hashlib.blake2b(shingles, digest_size=16).digest()
 
 
+def stray(digest: bytes) -> int:
+    """The node of a text whose rows have no id: 62 bits of its digest."""
+    return int.from_bytes(digest[:8], "little") >> 2 | 1 << 62
+
+
 def _fingerprints(batch: pa.RecordBatch) -> pa.RecordBatch:
     counts, digests, lows = [], [], []
     for _, _, data, offsets in slices(batch.column(1)):
@@ -90,10 +96,11 @@ def _fingerprints(batch: pa.RecordBatch) -> pa.RecordBatch:
             lows.append(minhash(found))
     low = np.array(lows)
     keys, small = band_keys(low), (low & np.uint32(0xFF)).astype(np.uint8)
-    return record(_FINGERPRINT, batch.column(0), counts, digests, [k.tobytes() for k in keys], [s.tobytes() for s in small])
+    nodes = [stray(d) if i is None else i for i, d in zip(batch.column(0).to_pylist(), digests)]
+    return record(_FINGERPRINT, batch.column(0), nodes, counts, digests, [k.tobytes() for k in keys], [s.tobytes() for s in small])
 
 
-_FINGERPRINT = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.binary()), ("signature", pa.binary())]
+_FINGERPRINT = [("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.binary()), ("signature", pa.binary())]
 
 
 def least_matches(threshold: float = NUMERATOR / DENOMINATOR, miss: float = MISS, batches=range(STEP, HASHES + 1, STEP)) -> list[tuple[int, int]]:
@@ -164,10 +171,11 @@ def _prune(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return over_batches(both, run, "a long, b long")
 
 
-def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _full_sets(docs: DataFrame, nodes: DataFrame, strays: bool) -> DataFrame:
     """(node, digest, shingles, low) of the wanted nodes, without a shuffle of texts: a bitmap
     of FILTER_BITS bits, whatever the data, goes to every task, which skips texts
-    whose bit is unset; an exact semi-join then drops what passed by chance."""
+    whose bit is unset; an exact semi-join then drops what passed by chance.  Of
+    rows without an id, whose node only their text tells, one for each node stays."""
     bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
     parts = nodes.select((bit + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -184,7 +192,20 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 out = [s.tobytes() for s in found]
                 yield record(_SET, batch.column(0), list(map(digest, out)), out, [smallest(s).tobytes() for s in found])
 
-    return docs.select("node", "text", bit.alias("bit")).mapInArrow(run, "node long, digest binary, shingles binary, low binary").join(nodes, "node", "left_semi")
+    def unnamed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = [s for _, _, data, offsets in slices(batch.column(0)) for s in shingle_sets(data, offsets)]
+                out = [s.tobytes() for s in found]
+                digests = list(map(digest, out))
+                yield record(_SET, list(map(stray, digests)), digests, out, [smallest(s).tobytes() for s in found])
+
+    schema = "node long, digest binary, shingles binary, low binary"
+    named = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
+    sets = named.select("node", "text", bit.alias("bit")).mapInArrow(run, schema).join(nodes, "node", "left_semi")
+    if not strays:
+        return sets
+    return sets.unionByName(docs.where("doc_id is null").select("text").mapInArrow(unnamed, schema).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
 
 _SET = [("node", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary()), ("low", pa.binary())]
@@ -331,17 +352,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     scratch = Scratch(spark, "neardup")
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    prints = scratch.keep(over_batches(docs, _fingerprints, "doc_id long, n_shingles long, digest binary, bands binary, signature binary"), "prints")
-    members = prints.select("doc_id", "n_shingles", "digest", F.coalesce("doc_id", F.lit(NO_ID)).alias("node"))
-    full = members.where("n_shingles > 0")
+    prints = scratch.keep(over_batches(docs, _fingerprints, "doc_id long, node long, n_shingles long, digest binary, bands binary, signature binary"), "prints")
+    full = prints.select("doc_id", "n_shingles", "digest").where("n_shingles > 0")
+    named = full.where("doc_id is not null").withColumnRenamed("doc_id", "node")
+    strays = not full.where("doc_id is null").isEmpty()
     # map-side minima: copies of a text meet their class before the shuffle
-    best = prints.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "bands", "signature")).alias("m"))
+    best = prints.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("stray"), "node", "bands", "signature")).alias("m"))
     classes = scratch.keep(best.select("digest", "m.*"), "classes")
-    rep = classes.select("digest", F.col("node").alias("rep"))
+    rep = classes.select("digest", F.col("node").alias("rep"), "stray")
 
     # documents whose repeated rows have different texts tie the classes of these together
-    mixed = full.groupBy("node").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).where("x <> y").select("node")
-    ties = scratch.keep(full.join(mixed, "node").join(rep, "digest").select(F.col("node").alias("a"), F.col("rep").alias("b")), "ties")
+    mixed = named.groupBy("node").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).where("x <> y").select("node")
+    ties = scratch.keep(named.join(mixed, "node").join(rep, "digest").select(F.col("node").alias("a"), F.col("rep").alias("b")), "ties")
 
     bands = scratch.keep(_bands(classes), "bands")
     leaders = bands.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("m"), F.count("*").alias("n")).where("n > 1")
@@ -350,8 +372,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     pairs = shared.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     pruned = scratch.keep(_prune(pairs, classes), "pruned")
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "text")
-    links = _linked(scratch, docs, pruned)
+    links = _linked(scratch, docs, pruned, strays)
 
     groups = scratch.keep(components(scratch, links.unionByName(ties)), "groups")
     rows = scratch.keep(shared.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "rows")
@@ -359,7 +380,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     mixed = scratch.keep(rows.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "mixed")
     scratch.drop(rows)
-    sets = scratch.keep(_full_sets(docs, mixed.select("node").distinct()), "sets")
+    sets = scratch.keep(_full_sets(docs, mixed.select("node").distinct(), strays), "sets")
     marks = sets.select("digest", (F.octet_length("shingles") / 8).cast("long").alias("size"), "low")
     marks = classes.select("digest", "node", "signature").join(marks.dropDuplicates(["digest"]), "digest").drop("digest")
     more = scratch.keep(_across(mixed, marks).join(pruned, ["a", "b"], "left_anti"), "across")
@@ -369,16 +390,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         groups = scratch.keep(again, "groups")
     scratch.drop(mixed, sets)
 
-    of = rep.join(groups.toDF("rep", "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("node").alias("component"))
-    out = full.join(of, "digest").select("doc_id", "n_shingles", "component").unionByName(alone)
-    out = out.select("doc_id", "n_shingles", F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"))
+    if strays:
+        # a component goes by its smallest id, or by none
+        ids = groups.join(classes.where("stray").select("node"), "node", "left_anti").groupBy("component").agg(F.min("node").alias("least"))
+        groups = scratch.keep(groups.join(ids, "component", "left").select("node", F.col("least").alias("component")), "named")
+    of = rep.join(groups.toDF("rep", "component"), "rep", "left").select("digest", F.coalesce("component", F.expr("if(stray, null, rep)")).alias("component_id"))
+    alone = prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = full.join(of, "digest").select("doc_id", "n_shingles", "component_id")
+    if strays:
+        out = scratch.keep(out, "rows")
+        least = out.where("doc_id is null").agg(F.min("component_id")).first()[0]
+        out = out.withColumn("component_id", F.when(F.col("doc_id").isNull(), F.coalesce("component_id", F.lit(least).cast("long"))).otherwise(F.col("component_id")))
+    out = out.unionByName(alone)
     return out.withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
-def _linked(scratch: Scratch, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _linked(scratch: Scratch, docs: DataFrame, pairs: DataFrame, strays: bool) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = scratch.keep(_full_sets(docs, nodes), "sets")
+    sets = scratch.keep(_full_sets(docs, nodes, strays), "sets")
     out = scratch.keep(_confirm(pairs, sets), "links")
     scratch.drop(sets)
     return out
@@ -386,10 +415,12 @@ def _linked(scratch: Scratch, docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose document is the smallest of its
-    group; of rows that repeat an id one stays.  Rows without an id stay: they
-    cannot be told apart."""
+    group; of rows that repeat an id the one with the longest text stays (in
+    code points), of equally long ones the one with the smallest xxhash64 of the
+    text.  Rows without an id stay: they cannot be told apart."""
     names = docs.columns
-    plain, doc_id = numbered(docs), f"_c{place(docs, 'doc_id')}"
+    plain, doc_id, text = numbered(docs), f"_c{place(docs, 'doc_id')}", f"_c{place(docs, 'text')}"
     kept = near_duplicates(spark, docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
-    with_id = plain.where(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
+    order = F.struct(-F.coalesce(F.length(text), F.lit(-1)), F.xxhash64(text))
+    with_id = plain.where(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").groupBy(F.col(doc_id).alias("id")).agg(F.min_by(F.struct(*plain.columns), order).alias("row")).select("row.*")
     return with_id.unionByName(plain.where(F.col(doc_id).isNull())).toDF(*names)

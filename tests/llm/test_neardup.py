@@ -88,6 +88,35 @@ def test_repeated_and_null_ids(spark):
     assert kept.columns == df.columns and sorted(r[0] or 0 for r in kept.collect()) == [0, 0, 1]
 
 
+def test_null_ids_join_nothing_but_their_texts(spark):
+    """Groups touched by rows without an id stay apart, whether these are exact or
+    near copies; texts without any id link what is near to them."""
+    rng = random.Random(8)
+    five, nine, lone, bridge = (words(rng, 60) for _ in range(4))
+    near = lambda t, k: " ".join([*t[: 20 * k], f"x{rng.randrange(10**6)}", *t[20 * k + 1 :]])
+    ends = [" ".join([*(f"y{k}" for k in range(4)), *bridge[4:]]), " ".join([*bridge[:-4], *(f"z{k}" for k in range(4))])]
+    big = (1 << 63) - 9
+    rows = [(5, " ".join(five)), (6, near(five, 1)), (9, " ".join(nine)), (None, " ".join(five)), (None, " ".join(nine)), (None, near(five, 2)), (None, near(nine, 1)), (None, near(nine, 2)), (None, near(nine, 2)), (None, " ".join(lone)), (None, None)]
+    rows += [(big, ends[0]), (big + 1, ends[1]), (None, " ".join(bridge)), (None, " ".join(bridge))]
+    df = spark.createDataFrame([(d, t, None, None) for d, t in rows], SCHEMA)
+    got = neardup.near_duplicates(spark, df.repartition(4)).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.component_id, r.kept) for r in got if r.doc_id} == {5: (5, True), 6: (5, False), 9: (9, True), big: (big, True), big + 1: (big, False)}
+    assert sorted(r.component_id or 0 for r in got if r.doc_id is None) == [0, 5, 5, 5, 9, 9, 9, 9, big, big]
+    assert sorted(r.doc_id or 0 for r in neardup.keep_one(spark, df).collect()) == [0] * 10 + [5, 9, big]
+    unnamed = spark.createDataFrame([(d, t, None, None) for d, t in rows if d is None], SCHEMA)
+    none = neardup.near_duplicates(spark, unnamed).collect()
+    assert {(r.component_id, r.kept) for r in none} == {(None, True)}
+
+
+def test_repeated_ids_keep_the_longest_text(spark):
+    rows = [(1, "short one"), (1, None), (1, "the longest text of the three"), (2, "other words"), (3, None), (3, "")]
+    for k in (1, 3, 6):
+        df = spark.createDataFrame([(d, t, None, None) for d, t in rows[k:] + rows[:k]], SCHEMA).coalesce(1)
+        kept = neardup.keep_one(spark, df)
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, rows[2][1]), (2, "other words"), (3, "")]
+
+
 def test_bounds_keep_similar_pairs():
     rng = np.random.default_rng(3)
     bounds = neardup.least_matches()
