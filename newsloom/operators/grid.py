@@ -55,6 +55,14 @@ def sort(df: DataFrame, column: str, descending: bool, tie: str = "id") -> DataF
     return df.orderBy(*sort_order(df, column, descending, tie))
 
 
+def ranked(df: DataFrame, column: str, descending: bool, tie: str = "id") -> DataFrame:
+    """Every row with its place (from 1) in the sort order: ranges of the order are
+    counted, and a row's number within its range goes on from the ranges before."""
+    rows = sort(df, column, descending, tie)
+    schema = T.StructType([*df.schema.fields, T.StructField("place", T.LongType(), False)])
+    return df.sparkSession.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema, verifySchema=False)
+
+
 def next_sort(current: tuple[str, str] | None, column: str) -> tuple[str, str] | None:
     """none, ascending, descending, none."""
     if current is None or current[0] != column:

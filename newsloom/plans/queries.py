@@ -366,6 +366,11 @@ def table_sort(spark, sf):
     return top.select("c_custkey", "c_acctbal", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).cast("long").alias("place"))
 
 
+@query("SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS place FROM customer")
+def table_sort_rank(spark, sf):
+    return grid.ranked(views.load(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", True, "c_custkey")
+
+
 @query("SELECT p_partkey || ',' || CASE WHEN regexp_matches(p_name, '[\",\\n\\r]') THEN '\"' || replace(p_name, '\"', '\"\"') || '\"' ELSE p_name END || ',\"' || p_brand || ', ' || p_type || '\"' AS line FROM part")
 def csv_export(spark, sf):
     p = views.load(spark, sf, "part").withColumn("both", F.concat_ws(", ", "p_brand", "p_type"))

@@ -120,3 +120,14 @@ def test_streams(spark, tmp_path):
     got = []
     flows.write_batches(stream, str(tmp_path / "check"), lambda batch, epoch: got.extend(batch.collect())).awaitTermination(120)
     assert sorted(r.runAt for r in got if r.message == "m") == [1704067560000, 1704067860000]
+
+
+def test_ranked_gives_every_row_its_place(spark):
+    """More than 100 rows, over many partitions, with ties and blanks."""
+    rows = [(k, None if k % 97 == 0 else float(k * 7919 % 500), ["", None, "b", "a"][k % 4]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, n double, s string").repartition(13)
+    for column, at, descending in (("n", 1, True), ("n", 1, False), ("s", 2, False)):
+        flip = -1 if descending else 1
+        order = lambda r: (r[at] in (None, ""), (flip * r[1] if at == 1 else r[2]) if r[at] else 0, r[0])
+        got = grid.ranked(df, column, descending).collect()
+        assert [(r.id, r.place) for r in sorted(got, key=lambda r: r.place)] == [(r[0], k) for k, r in enumerate(sorted(rows, key=order), 1)]
