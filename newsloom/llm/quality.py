@@ -6,6 +6,12 @@ suffixes.  LCP intervals of at least LEAST words are the maximal repeated
 substrings; the union of their spans must not cover more than COVERED of the
 words, and the longest must not pass LONGEST words.
 
+COVERED is the limit that the Gopher rules set for repeated 8-word windows
+(12 %), far below the base rule's 50 % of 3-word windows; LONGEST is the length
+from which exact substring deduplication removes a passage (50 tokens).  Either
+decides alone: a long text with one passage of 51 words twice passes the base
+rule and COVERED, one with many repeats of 8 words the base rule and LONGEST.
+
 Edge cases: a null or empty text has no words, fails the base rule (fewer than
 50 words) and has kept = false; repeated rows stay repeated; extra columns are
 ignored."""
@@ -21,8 +27,8 @@ from ._spark import over_batches, pick, record
 from ._text import BLANK_WORDS, Words, mix, slices
 
 LEAST = 8
-COVERED = 0.4
-LONGEST = 100
+COVERED = 0.12
+LONGEST = 50
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 

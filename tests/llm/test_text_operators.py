@@ -145,6 +145,20 @@ def test_repetition_decides():
         assert (got["longest"][0] <= quality.LONGEST) == kept
 
 
+def test_repetition_decides_apart_from_the_base_rule(spark):
+    """Passages around the longest repeat in long texts; short repeats that cover
+    more or less than the limit."""
+    rng = random.Random(2)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    twice = lambda n, rest: (p := fresh(n)) + fresh(rest) + p
+    spread = lambda n: sum((twice(10, 10) for _ in range(n)), []) + fresh(600 - 30 * n)
+    cases = [(twice(n, 2000), n <= 50) for n in (40, 50, 51, 75, 100)] + [(spread(n), n <= 3) for n in (1, 3, 4, 7, 11)]
+    docs = table(spark, [(k, " ".join(words)) for k, (words, _) in enumerate(cases)])
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[k].kept for k in range(len(cases))] == [kept for _, kept in cases]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score_documents(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where("held_out").toPandas()
