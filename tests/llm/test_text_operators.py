@@ -246,6 +246,41 @@ def test_token_counts_by_brute_force(spark):
         assert abs(r.score - sum(s for s, _ in found)) < 1e-4
 
 
+def test_token_counts_of_long_words_and_texts(monkeypatch):
+    """A rolling window and cut texts give what the trie gives; forgetting words changes nothing."""
+    pieces = tokencount.Pieces(tokencount.load_pieces(PIECES))
+    rng = random.Random(8)
+    for n in (1, 17, 200, 300, 2000):
+        word = "".join(rng.choice("theanorés日🔘▁") for _ in range(n))
+        whole = tokencount.branch_terminal(iter([word]), pieces)
+        assert whole == tokencount.branch_terminal(iter([word[: n // 3], word[n // 3 : n // 3 + 1], word[n // 3 + 1 :]]), pieces)
+        if n < tokencount.DEPTH:
+            assert whole == tuple(x[0] for x in tokencount.trie_terminals([word], pieces))
+    text = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.choice((1, 5, 9, 400, 30_000)))) for _ in range(300)).encode()
+    data = np.frombuffer(text, np.uint8)
+    words = tokencount.Words(data, np.array([0, len(data)]), tokencount.BLANK_WORDS)
+    count, score = tokencount.Known(pieces).look_up(words)
+    monkeypatch.setattr(tokencount, "SLICE_BYTES", 5000)
+    n, tokens, total = tokencount._long_text(data, tokencount.Known(pieces, most=20))
+    assert (n, tokens) == (len(count), count.sum()) and abs(total - score.sum()) < 1e-4
+
+
+def test_token_counts_match_a_unigram_tokenizer(spark):
+    """The tokenizers library's unigram model over the same pieces and scores."""
+    from tokenizers import models
+
+    pieces = tokencount.load_pieces(PIECES)
+    model = models.Unigram([("<unk>", -100.0), *pieces.items()], 0, False)
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").where("text is not null").collect()]
+    known = {c for p in pieces if len(p) == 1 for c in p}
+    words = sorted({w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t) if len(w) < 200 and set(w) <= known})
+    assert len(words) > 5000
+    got, scores = tokencount.terminals(words, tokencount.Pieces(pieces))
+    for word, n, score in zip(words, got.tolist(), scores.tolist()):
+        want = [t.value for t in model.tokenize(tokencount.MARK + word)]
+        assert abs(score - sum(pieces[t] for t in want)) < 1e-6 and n <= len(want)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
