@@ -6,10 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FILTER_BITS = 1 << 26  # of a bitmap that spares rows a shuffle (8 MB, whatever the data)
+HOT = 500  # keys that join_hot broadcasts at most
+
 
 def place(df: DataFrame, name: str) -> int:
     """Where a column is: by exact name and first place, else whatever the case."""
@@ -38,10 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a
-    local one is made only where the session names none, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where
+    the session names none, a local one is made in local mode alone."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="newsloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -53,11 +61,12 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.made = 0, []
 
     def path(self, label: str = "t") -> str:
         self.n += 1
-        return f"{self.root}/{label}{self.n}"
+        self.made.append(f"{self.root}/{label}{self.n}")
+        return self.made[-1]
 
     def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
         path, schema = self.path(label), df.schema
@@ -66,12 +75,55 @@ class Scratch:
         out._newsloom_path = path
         return out
 
+    def remove(self, *paths: str) -> None:
+        for path in paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            path = getattr(df, "_newsloom_path", None)
-            if path:
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.remove(*[path for df in frames if (path := getattr(df, "_newsloom_path", None))])
+
+    def drop_others(self, *paths: str) -> None:
+        """Removes all that was written so far but for these paths."""
+        self.remove(*[p for p in self.made if p not in paths])
+        self.made = [p for p in self.made if p in paths]
+
+
+def bitmap(rows: DataFrame, column: Column) -> Broadcast:
+    """FILTER_BITS bits, one of them set for each 64-bit hash in a column.  What
+    is unset is surely absent; what is set needs an exact join."""
+    at = F.pmod(column, F.lit(FILTER_BITS)) + 1
+    parts = rows.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in parts.collect():  # at most FILTER_BITS / 32768 rows of 4 KB
+        bits[(row.k - 1) * 4096 : row.k * 4096] = np.frombuffer(row.bits, np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def has_bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def may_be_in(shared: Broadcast, column: Column) -> Column:
+    """Whether a hash has its bit; only the hash travels to Python."""
+
+    @F.pandas_udf("boolean")
+    def test(at: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(shared.value, at.to_numpy()))
+
+    return test(F.pmod(column, F.lit(FILTER_BITS)))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are distinct and whose `count` tells how
+    many rows of left share a key.  Keys with more than 1 / HOT of the counted
+    rows (so fewer than HOT keys) are broadcast, so no task gets a hot key's rows;
+    the others are shuffled."""
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT > F.lit(total)
+    known = left.join(F.broadcast(right.where(hot)), key)
+    others = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot), key, how)
+    return known.unionByName(others)
 
 
 def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator | None], schema: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, numbered, over_batches, pick, place, record
+from ._spark import FILTER_BITS, Scratch, bitmap, has_bit, numbered, over_batches, pick, place, record
 from ._text import BLANK_WORDS, Words, mix, shingle_hashes, slices, stream
 
 SIZE = 5  # words of a shingle
@@ -43,7 +43,6 @@ HASHES = ROWS * BANDS
 STEP = 24  # signature values compared at a time
 MISS = 1e-6  # chance at which a candidate is given up
 NUMERATOR, DENOMINATOR = 75, 100
-FILTER_BITS = 1 << 26  # of the filter that spares texts without a candidate (8 MB)
 BLOCK = 512  # classes of a bucket that one block holds, about
 SAMPLE = 512  # smallest shingle hashes of a class that its blocks compare (their upper halves, 2 KB)
 NO_HASH = np.uint32(0xFFFFFFFF)
@@ -176,17 +175,11 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, strays: bool) -> DataFrame:
     of FILTER_BITS bits, whatever the data, goes to every task, which skips texts
     whose bit is unset; an exact semi-join then drops what passed by chance.  Of
     rows without an id, whose node only their text tells, one for each node stays."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    parts = nodes.select((bit + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in parts.collect():  # at most FILTER_BITS / 32768 rows of 4 KB
-        bits[(row.k - 1) * 4096 : row.k * 4096] = np.frombuffer(row.bits, np.uint8)
-    shared = nodes.sparkSession.sparkContext.broadcast(bits)
+    bit, shared = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)), bitmap(nodes, F.xxhash64("node"))
 
     def run(batches):
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            batch = batch.filter(pa.array(has_bit(shared.value, batch.column(2).to_numpy())))
             if batch.num_rows:
                 found = [s for _, _, data, offsets in slices(batch.column(1)) for s in shingle_sets(data, offsets)]
                 out = [s.tobytes() for s in found]

@@ -19,6 +19,7 @@ the end of its file is dropped; extra columns are ignored."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, pick
+from ._spark import Scratch, bitmap, join_hot, may_be_in, pick
 
 MAGIC = b"WARC/1.1\r\n"
 LEAST = 100
@@ -35,30 +36,41 @@ _NONE = (1 << 63) - 1
 
 
 def records(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to."""
+    """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to.
+
+    Payloads stay where they are read: digests are counted, a bitmap of those that
+    repeat tells which rows are judged, without their payloads, by an exact join,
+    and only one payload of each repeated digest is shuffled."""
     rows = pick(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")
     )
-    rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2("html", 256))
+    rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("digest", F.unhex(F.sha2("html", 256)))
     rows = rows.withColumn("order", F.coalesce("page_id", F.lit(_NONE)))
-    large = rows.where(F.col("payload_bytes") >= LEAST)
-    # copies of a payload meet on the map side; n: the rows that repeat its smallest id
-    first = large.groupBy("payload_digest", "order").agg(F.count("*").alias("n")).groupBy("payload_digest").agg(F.min(F.struct("order", "n")).alias("first"))
-    first = scratch.keep(first.select("payload_digest", F.col("first.order").alias("first"), "first.n"), "first")
-    judged = large.join(first, "payload_digest")
-    leads, refers = F.col("order") == F.col("first"), F.when(F.col("first") != _NONE, F.col("first"))
-    names = ["page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    kind = lambda lead: (F.when(lead, "response").otherwise("revisit").alias("record_type"), F.when(~lead, refers).alias("refers_to"))
-    small = rows.where(F.col("payload_bytes") < LEAST).select(*names[:5], F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    repeats = first.where("n > 1")
-    if repeats.isEmpty():
-        return judged.select(*names[:5], *kind(leads)).unionByName(small)
+    large, small = rows.where(F.col("payload_bytes") >= LEAST), rows.where(F.col("payload_bytes") < LEAST)
+    # copies of a payload meet on the map side
+    first = large.groupBy("digest").agg(F.min("order").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    first = scratch.keep(first, "first")
+    repeats = bitmap(first, F.xxhash64("digest"))
+    maybe = may_be_in(repeats, F.xxhash64("digest"))
+    judged = scratch.keep(join_hot(large.where(maybe).select("digest", "order", "page_id", "url", "payload_bytes"), first, "digest", "copies", "left"), "judged")
+    plain = ["page_id", "url", "payload_bytes", "digest"]
+    refers = F.when(F.col("first") != _NONE, F.col("first")).alias("refers_to")
+    later = judged.where(F.col("order") > F.col("first")).select(*plain, F.lit(False).alias("leads"), refers)
     # rows that repeat the smallest id are counted, not told apart, and one leads
-    same = judged.where(leads & (F.col("n") > 1)).groupBy("payload_digest", "first", "page_id", "url", "payload_bytes").agg(F.first("html").alias("html"), F.count("*").alias("times"))
-    same = same.withColumn("place", F.row_number().over(Window.partitionBy("payload_digest").orderBy("url")))
+    same = judged.where(F.col("order") == F.coalesce("first", "order")).groupBy(*plain, "order", "first").agg(F.count("*").alias("times"))
+    same = same.withColumn("place", F.when(F.col("first").isNull(), 1).otherwise(F.row_number().over(Window.partitionBy("digest").orderBy("url"))))
     same = same.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    same = same.select(*names[:5], *kind((F.col("place") == 1) & (F.col("time") == 1)))
-    return judged.where(~leads | (F.col("n") == 1)).select(*names[:5], *kind(leads)).unionByName(same).unionByName(small)
+    same = scratch.keep(same.select(*plain, "order", ((F.col("place") == 1) & (F.col("time") == 1)).alias("leads"), refers), "same")
+    leads = same.where("leads")
+    lead = F.xxhash64("digest", "order")
+    payloads = large.where(maybe & may_be_in(bitmap(leads, lead), lead)).groupBy("digest", "order").agg(F.first("html").alias("html"))
+    leading = leads.join(payloads, ["digest", "order"])
+    names = ["page_id", "url", "html", "payload_bytes", F.hex("digest").alias("payload_digest")]
+    response, revisit, none = F.lit("response").alias("record_type"), F.lit("revisit").alias("record_type"), F.lit(None).cast("long").alias("refers_to")
+    parts = [d.select(*names, response, none) for d in (small, large.where(~maybe), leading)]
+    parts += [d.withColumn("html", F.lit("")).select(*names, revisit, "refers_to") for d in (later, same.where("not leads").drop("order"))]
+    out = functools.reduce(DataFrame.unionByName, parts)
+    return out.withColumn("payload_digest", F.lower("payload_digest"))
 
 
 def write(records: DataFrame, path: str) -> None:
@@ -235,7 +247,7 @@ def read(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     torn = marked.where("real and not whole").select("file", F.col("at").alias("owner"))
     if torn.isEmpty():
         return simple
-    return simple.unionByName(_rejoin(marked, torn, _bytes(spark, path)))
+    return simple.unionByName(scratch.keep(_rejoin(marked, torn, _bytes(spark, path)), "torn"))
 
 
 def _rejoin(marked: DataFrame, torn: DataFrame, raw: DataFrame) -> DataFrame:
@@ -260,4 +272,7 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "warc")
     path = scratch.path("archive")
     write(records(pages, scratch), path)
-    return read(spark, path, scratch).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    scratch.drop_others(path)
+    found = read(spark, path, scratch)
+    scratch.remove(path)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
