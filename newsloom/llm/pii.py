@@ -7,13 +7,16 @@ spans are observed nodes, neighbours in reading order share a weak edge, and
 distant tokens with the same or a similar key share a strong skip edge, strung
 from occurrence to occurrence, and from each free node to the nearest observed
 node of its key, so that free repeats in between do not outweigh it.  Loopy
-sum-product messages then settle the free nodes, so a value found once is
+sum-product messages run until they no longer change, so a value found once is
 labelled alike wherever, and however often, it returns in another form.
 
-The edge weights are learned from agreement counts in a bounded, documented
-sample (SAMPLE documents).  A document without a base span keeps its free nodes
-unlabelled: without an observed node no message can beat their prior, so the
-network is not built there.
+The weights are learned from all documents: agreement over skip and chain edges
+between observed nodes, the share of free nodes, and the words that stand before
+observed nodes of each kind rather than before free ones.  A skip edge always
+outweighs the prior for "nothing", and a word alone never does, whatever the
+corpus says.  A document without a base span keeps its free nodes unlabelled:
+without an observed node nothing can beat their prior, so the network is not
+built there.
 
 Edge cases: null and empty texts have no spans; repeated rows stay repeated;
 extra columns are ignored (redaction keeps them)."""
@@ -23,7 +26,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ from pyspark.sql import functions as F
 from ._spark import over_batches, over_rows, pick, place, record
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 2000
-ROUNDS = 8
+CONTEXTS = 256  # words with weights that the fitted model holds at most, the most frequent first
+SETTLED = 1e-4  # change of a message below which it is at rest
 NEAR = 200  # code points between neighbours that share a chain edge
 
 # Fixed patterns of the contract; possessive or guarded so that long runs stay linear.
@@ -45,6 +48,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE_NUMBER = re.compile(r"[+(]?[0-9](?:(?:[\x20./-]|\)[\x20-]?|[\x20-]?\()?[0-9])+")
 _LOOSE_AT = re.compile(r"\x20?(?:@|\(at\)|\[at\])\x20?")
+_BEFORE = re.compile(r"([^\W\d_]+)\W*$")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?)[A-Za-z0-9-]+)*")
 
 
@@ -91,12 +95,20 @@ def joined(spans: list[list[tuple[int, int]]]) -> str:
 @dataclass
 class Weights:
     """Log-odds: of a free node for no label, of agreement over skip edges
-    between equal and between similar keys, and over chain edges."""
+    between equal and between similar keys, and over chain edges; and what the
+    word before a node adds for each kind."""
 
     nothing: float = 5.0
     same: float = 7.0
     similar: float = 5.5
     chain: float = 0.2
+    words: dict[str, tuple[float, ...]] = field(default_factory=dict)
+
+
+def word_before(text: str, start: int) -> str:
+    """The last word, lower-cased, of the 40 code points before a place."""
+    found = _BEFORE.search(text, max(0, start - 40), start)
+    return found[1].lower() if found else ""
 
 
 def loose_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, bool]]:
@@ -175,8 +187,14 @@ def network(text: str, base: list[list[tuple[int, int]]]):
     return nodes, edges
 
 
-def settle(nodes, edges, weights: Weights) -> np.ndarray:
-    """Labels by loopy sum-product: 0 none, else 1 + the place in KINDS."""
+def settle(nodes, edges, weights: Weights, before: list[str] | None = None) -> np.ndarray:
+    """Labels by loopy sum-product: 0 none, else 1 + the place in KINDS.  before:
+    the word before each node."""
+    return beliefs(nodes, edges, weights, before).argmax(1)
+
+
+def beliefs(nodes, edges, weights: Weights, before: list[str] | None = None) -> np.ndarray:
+    """Log beliefs of each node's labels, up to a constant."""
     n, labels = len(nodes), 1 + len(KINDS)
     local = np.zeros((n, labels))
     for i, (_, _, address, label) in enumerate(nodes):
@@ -185,6 +203,8 @@ def settle(nodes, edges, weights: Weights) -> np.ndarray:
             local[i, label] = 0
         else:
             local[i, 0] = weights.nothing
+            if before and before[i] in weights.words:
+                local[i, 1:] += weights.words[before[i]]
             local[i, [2, 3, 4] if address else [1]] = -50
     if edges:
         e = np.array(edges)
@@ -200,14 +220,17 @@ def settle(nodes, edges, weights: Weights) -> np.ndarray:
         out = np.logaddexp.reduce(local[src[seen]][:, :, None] + pair[seen], axis=1)
         sent[seen] = out - out.max(1, keepdims=True)
         src, back, pair = src[~seen], back[~seen], pair[~seen]
-        for _ in range(ROUNDS):
+        for _ in range(n + 50):  # enough to cross the longest chain; most come to rest in a few
             belief = local.copy()
             np.add.at(belief, dst, sent)
             out = belief[src] - sent[back]
             out = np.logaddexp.reduce(out[:, :, None] + pair, axis=1)
-            sent[~seen] = 0.5 * sent[~seen] + 0.5 * (out - out.max(1, keepdims=True))
+            change = 0.5 * (out - out.max(1, keepdims=True)) - 0.5 * sent[~seen]
+            sent[~seen] += change
+            if not change.size or np.abs(change).max() < SETTLED:
+                break
         np.add.at(local, dst, sent)
-    return local.argmax(1)
+    return local
 
 
 def find(text: str, weights: Weights) -> tuple[list, list]:
@@ -218,7 +241,7 @@ def find(text: str, weights: Weights) -> tuple[list, list]:
     nodes, edges = network(text, base)
     if all(label for *_, label in nodes):
         return base, base
-    labels = settle(nodes, edges, weights)
+    labels = settle(nodes, edges, weights, [word_before(text, s) for s, *_ in nodes] if weights.words else None)
     spans = [list(found) for found in base]
     for (s, e, _, label), new in zip(nodes, labels):
         if not label and new:
@@ -226,28 +249,62 @@ def find(text: str, weights: Weights) -> tuple[list, list]:
     return base, [sorted(found) for found in spans]
 
 
-def train(docs: DataFrame, most: int = SAMPLE) -> Weights:
-    """Weights from agreement over skip edges between observed nodes, in the
-    `most` documents with a digit or @ that have the smallest hash of their id."""
-    rows = pick(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    ids = rows.where(F.col("text").rlike("@|[0-9]{4}")).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+_EDGES = ""  # the row of edge counts; words are never empty
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = np.zeros(8, np.int64)  # by edge type: agree, differ; then free and observed nodes
-        for text in batch.column(1).to_pylist():
-            nodes, edges = network(text, base_spans(text))
-            for i, j, kind in edges:
-                if nodes[i][3] and nodes[j][3] and nodes[i][:2] != nodes[j][:2]:
-                    out[2 * kind + (nodes[i][3] != nodes[j][3])] += 1
-            out[6] += sum(not x[3] for x in nodes)
-            out[7] += sum(x[3] > 0 for x in nodes)
-        return record([(f"c{k}", pa.int64()) for k in range(8)], *[[int(v)] for v in out])
-
-    counts = over_batches(rows.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", "text"), run, ", ".join(f"c{k} long" for k in range(8)))
-    got = counts.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in range(8)]).first()
-    odds = lambda k, low, high: float(np.clip(np.log((got[2 * k] + 1) / (got[2 * k + 1] + 1)), low, high))
-    nothing = float(np.clip(np.log((got[6] + 1) / (got[7] + 1)) + 5, 4.5, 5.0))
-    return Weights(nothing, odds(1, 6.5, 8), odds(2, 5.2, 6), odds(0, 0.05, 0.3))
+
+def _counts(text: str) -> dict[str, np.ndarray]:
+    """Under _EDGES: observed pairs that agree and differ, by edge type, then free
+    and observed nodes.  Under a word: observed nodes behind it by kind, and free."""
+    nodes, edges = network(text, base_spans(text))
+    out = {_EDGES: np.zeros(8, np.int64)}
+    for i, j, kind in edges:
+        if nodes[i][3] and nodes[j][3] and nodes[i][:2] != nodes[j][:2]:
+            out[_EDGES][2 * kind + (nodes[i][3] != nodes[j][3])] += 1
+    for start, _, _, label in nodes:
+        out[_EDGES][6 + (label > 0)] += 1
+        if word := word_before(text, start):
+            out.setdefault(word, np.zeros(8, np.int64))[label] += 1
+    return out
+
+
+def train(docs: DataFrame) -> Weights:
+    """Weights from counts over all documents: sums by word, added up in each
+    task before the shuffle; the model takes the CONTEXTS most frequent words."""
+    rows = pick(docs, "text").where(F.col("text").rlike("@|[0-9]{4}"))
+    names = [f"c{k}" for k in range(8)]
+
+    def run(batches):
+        total: dict[str, np.ndarray] = {}
+
+        def flush():
+            found = np.array(list(total.values())).reshape(-1, 8)
+            out = record([("word", pa.string()), *[(c, pa.int64()) for c in names]], list(total), *[found[:, k] for k in range(8)])
+            total.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0):
+                for word, found in _counts(text.as_py()).items():
+                    total[word] = total.get(word, 0) + found
+            if len(total) > 100_000:
+                yield flush()
+        if total:
+            yield flush()
+
+    counts = rows.mapInArrow(run, "word string, " + ", ".join(f"{c} long" for c in names)).groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
+    most = F.when(F.col("word") == _EDGES, F.lit((1 << 63) - 1)).otherwise(sum((F.col(c) for c in names[1:5]), F.lit(0)))
+    got = {r.word: [r[c] for c in names] for r in counts.orderBy(most.desc(), "word").limit(CONTEXTS + 1).collect()}
+    edge = got.pop(_EDGES, [0] * 8)
+    odds = lambda k: float(np.log((edge[2 * k] + 1) / (edge[2 * k + 1] + 1)))
+    nothing = float(np.clip(np.log((edge[6] + 1) / (edge[7] + 1)) + 5, 3, 6))
+    kinds = np.maximum(np.array([sum(v[k] for v in got.values()) for k in range(5)], float), 1)
+    words = {}
+    for word, found in got.items():
+        share = (np.array(found[:5]) + 0.5) / (kinds + 1)
+        gain = np.clip(np.log(share[1:] / share[0]), 0, 1.5)
+        if gain.any():
+            words[word] = tuple(gain.tolist())
+    return Weights(nothing, nothing + float(np.clip(odds(1) - nothing, 1.5, 4)), nothing + float(np.clip(odds(2) - nothing, 0.7, 3)), float(np.clip(odds(0), 0, 0.3)), words)
 
 
 _OUT = [("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())]

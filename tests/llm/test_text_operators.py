@@ -84,7 +84,7 @@ def test_skip_chain_labels_other_forms_alike():
     assert "0099" not in clean and "jo.do" not in clean and "8467215" in clean
 
 
-@pytest.mark.parametrize("weights", [pii.Weights(), pii.Weights(5.0, 6.5, 5.2, 0.05), pii.Weights(4.5, 8.0, 6.0, 0.3)])
+@pytest.mark.parametrize("weights", [pii.Weights(), pii.Weights(5.0, 6.5, 5.7, 0.05), pii.Weights(3.0, 7.0, 6.0, 0.3), pii.Weights(6.0, 7.5, 6.7, 0.3)])
 @pytest.mark.parametrize("gap", [" word" * 3, " word" * 100])
 @pytest.mark.parametrize("loose", ["1.555.010.0099", "555.010.0099", "jo.do (at) mail.example.com", "jo.do (at) other.example.com"])
 def test_every_repeat_of_a_base_span_is_added(loose, gap, weights):
@@ -100,6 +100,66 @@ def test_every_repeat_of_a_base_span_is_added(loose, gap, weights):
         assert pii.find(other, weights)[1] == pii.base_spans(other)
 
 
+def exact_marginals(nodes, edges, weights):
+    """Log marginals by enumeration of all labellings."""
+    import itertools
+
+    allowed = [[label] if label else [0, *([1] if address else [2, 3, 4])] for _, _, address, label in nodes]
+    gain = [weights.chain, weights.same, weights.similar]
+    total = np.full((len(nodes), 5), -np.inf)
+    for labels in itertools.product(*allowed):
+        score = sum(weights.nothing for label, node in zip(labels, nodes) if not label and not node[3]) + sum(gain[k] for i, j, k in edges if labels[i] == labels[j])
+        for i, label in enumerate(labels):
+            total[i, label] = np.logaddexp(total[i, label], score)
+    return total
+
+
+def test_messages_against_exact_inference():
+    """On trees the beliefs are the exact marginals; with loops the labels agree
+    where the exact marginals are clear."""
+    rng = random.Random(5)
+    for _ in range(150):
+        n = rng.randrange(2, 8)
+        nodes = [(10 * k, 10 * k + 5, a := rng.random() < 0.3, (1 if a else rng.choice((2, 3, 4))) if rng.random() < 0.4 else 0) for k in range(n)]
+        weights = pii.Weights(rng.uniform(3, 6), rng.uniform(5, 9), rng.uniform(4, 7), rng.uniform(0, 0.5))
+        tree = [(rng.randrange(j), j, rng.randrange(3)) for j in range(1, n)]
+        for loops in (False, True):
+            edges = tree + ([(i, j, rng.choice((0, 1, 2))) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.2] if loops else [])
+            exact, got = exact_marginals(nodes, edges, weights), pii.beliefs(nodes, edges, weights)
+            for i, node in enumerate(nodes):
+                if node[3]:
+                    continue
+                want = exact[i] - exact[i].max()
+                have = got[i] - got[i].max()
+                if not loops:
+                    assert np.allclose(np.exp(want), np.exp(have), atol=1e-3)
+                elif sorted(want)[-2] < -3:
+                    assert want.argmax() == have.argmax()
+
+
+def test_a_word_alone_labels_nothing():
+    words = {"call": (1.5, 1.5, 1.5, 1.5)}
+    for nothing in (3.0, 6.0):
+        weights = pii.Weights(nothing, nothing + 1.5, nothing + 0.7, 0.3, words)
+        text = "mail a.b@x.com or call 846.721.5093 or call 846.721.5093"
+        assert pii.find(text, weights)[1] == pii.base_spans(text)
+        loose = "call +1 (555) 010-0099 then " + "call 1.555.010.0099 then " * 1000
+        assert len(pii.find(loose, weights)[1][3]) == 1001
+
+
+def test_learned_weights(spark):
+    """Planted forms of base spans are found with weights learned from a corpus;
+    its clean documents stay as they are."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    weights = pii.train(docs)
+    assert weights.same >= weights.nothing + 1.5 and weights.similar >= weights.nothing + 0.7 and weights.words
+    for n in (1, 2, 7, 30, 1000):
+        text = "Reach me: +1 (555) 010-0099. " + "some words between 1.555.010.0099 and more " * n
+        assert len(pii.find(text, weights)[1][3]) == n + 1
+    out = pii.detect(docs, weights)
+    assert out.where("n_email + n_ip + n_card + n_phone = 0 and n_added > 0").count() == 0
+
+
 def test_quality_counts(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
