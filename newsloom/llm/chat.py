@@ -8,9 +8,14 @@ A turn becomes one self-delimiting segment of the template; control strings in a
 role or text are escaped reversibly, so segments join in any number and read
 back exactly.  The loss mask covers the text of assistant turns.
 
-Edge cases: null roles and texts are empty; a record with no known layout has no
-turns; turns tie-break by role and text; rows with a null conversation id form
-one conversation; repeated rows are repeated turns; extra columns are ignored."""
+Edge cases: null roles and texts are empty; conversation ids are strings, whatever
+their JSON type, and a turn that is no whole number is null and comes first; of a
+list of content parts the texts are joined, other parts are left out; turns
+tie-break by role and text; rows with a null conversation id form one conversation;
+repeated rows are repeated turns; extra columns are ignored.  A record with the
+fields of several layouts takes the first that fits (n_layouts tells how many do).
+A record of no known layout, or that is no JSON object, has no turns; survey()
+counts these, by fingerprint."""
 
 from __future__ import annotations
 
@@ -35,14 +40,16 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 
 @dataclass(frozen=True)
 class Layout:
-    """turns: the list field with one object a turn, read by role and text; or
-    speakers: (role, fields joined by a blank line) in speaking order.  identity
-    and order name the conversation's id and a turn's number."""
+    """turns: the list field with one object a turn, read by role and text (part: the
+    field of each content part that says it); or speakers: (role, fields joined by a
+    blank line) in speaking order.  identity and order name the conversation's id and
+    a turn's number, of a list the first turn's."""
 
     name: str
     turns: str = ""
     role: str = ""
     text: str = ""
+    part: str = ""
     speakers: tuple[tuple[str, tuple[str, ...]], ...] = ()
     optional: frozenset[str] = field(default_factory=frozenset)
     identity: str = "conv_id"
@@ -50,13 +57,15 @@ class Layout:
 
     def paths(self) -> set[str]:
         if self.turns:
-            return {f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}"}
+            return {f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}" + (f"[].{self.part}" if self.part else "")}
         return {self.role, self.text} - {""} | {f for _, fs in self.speakers for f in fs}
 
 
 LAYOUTS = (
     Layout("turn_row", role="role", text="text", optional=frozenset({"turn"})),
     Layout("messages", turns="messages", role="role", text="content"),
+    Layout("content_parts", turns="messages", role="role", text="content", part="text"),
+    Layout("utterances", turns="turns", role="speaker", text="utterance"),
     Layout("conversations", turns="conversations", role="from", text="value"),
     Layout("prompt", speakers=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",))), optional=frozenset({"system"})),
     Layout("prompt_response", speakers=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))), optional=frozenset({"system"})),
@@ -92,48 +101,93 @@ def _known() -> tuple[dict[str, Layout], set[str]]:
 _TABLE, _PATHS = _known()
 
 
-def layout_of(value) -> Layout | None:
+def layouts_of(value) -> list[Layout]:
+    """The layouts that fit, the chosen one first."""
     paths = field_paths(value) & _PATHS
-    found = _TABLE.get(fingerprint(paths))
-    if found is None:  # a list with some items that lack a field, or fields of two layouts: the first that fits
-        found = next((x for x in LAYOUTS if x.paths() - x.optional <= paths), None)
-    return found
+    exact = _TABLE.get(fingerprint(paths))
+    # a list with some items that lack a field, or fields of two layouts: the first that fits
+    fit = [x for x in LAYOUTS if x.paths() - x.optional <= paths]
+    return ([exact] if exact else []) + [x for x in fit if x is not exact]
 
 
 def _say(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+def _whole(value) -> int | None:
+    """A turn's number, given as a number or in digits."""
+    if isinstance(value, bool) or value is None:
+        return None
+    try:
+        number = int(value) if isinstance(value, (int, str)) else int(value) if value == int(value) else None
+    except (ValueError, OverflowError, TypeError):
+        return None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
+
+
+def _parts(value, part: str) -> str:
+    if not part or not isinstance(value, list):
+        return _say(value)
+    return "".join(_say(x.get(part)) for x in value if isinstance(x, dict))
+
+
 def canonical(value, layout: Layout) -> list[tuple[int | None, str, str]]:
     """(turn, role, text) of one record."""
     if layout.turns:
-        items = [i for i in value.get(layout.turns) or [] if isinstance(i, dict)]
-        return [(n, ROLES.get(r := _say(i.get(layout.role)), r), _say(i.get(layout.text))) for n, i in enumerate(items)]
+        listed = value.get(layout.turns)
+        items = [i for i in listed if isinstance(i, dict)] if isinstance(listed, list) else []
+        start = _whole(value.get(layout.order)) or 0
+        return [(start + n, ROLES.get(r := _say(i.get(layout.role)), r), _parts(i.get(layout.text), layout.part)) for n, i in enumerate(items)]
     if layout.speakers:
         said = [(role, "\n\n".join(_say(value[f]) for f in fields if value.get(f) is not None)) for role, fields in layout.speakers if any(f in value and (value[f] is not None or f not in layout.optional) for f in fields)]
         return [(n, role, text) for n, (role, text) in enumerate(said)]
-    return [(value.get(layout.order), _say(value.get(layout.role)), _say(value.get(layout.text)))]
+    return [(_whole(value.get(layout.order)), _say(value.get(layout.role)), _say(value.get(layout.text)))]
+
+
+def _load(raw: str | None):
+    """The JSON object of a record, else None."""
+    try:
+        value = json.loads(raw or "null")
+    except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
 
 
-_TURN = [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("layout", pa.string())]
+_TURN = [("conv_id", pa.string()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("layout", pa.string()), ("n_layouts", pa.int32())]
 
 
 def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
-    """conv_id, turn, role, text, layout from a column of JSON records."""
+    """conv_id, turn, role, text, layout, n_layouts from a column of JSON records."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for raw in batch.column(0).to_pylist():
-            try:
-                value = json.loads(raw or "null")
-            except ValueError:
-                continue
-            layout = layout_of(value) if isinstance(value, dict) else None
-            if layout:
-                rows += [(value.get(layout.identity), *turn, layout.name) for turn in canonical(value, layout)]
-        return record(_TURN, *(map(list, zip(*rows)) if rows else [[]] * 5))
+            value = _load(raw)
+            fit = layouts_of(value) if value is not None else []
+            if fit:
+                name = value.get(fit[0].identity)
+                rows += [(None if name is None else _say(name), *turn, fit[0].name, len(fit)) for turn in canonical(value, fit[0])]
+        return record(_TURN, *(map(list, zip(*rows)) if rows else [[]] * 6))
+
+    return over_batches(pick(records, column), run, "conv_id string, turn long, role string, text string, layout string, n_layouts int")
+
+
+def survey(records: DataFrame, column: str = "record") -> DataFrame:
+    """layout, fingerprint, n: what every record is taken for; layout is null where
+    none fits (the fingerprint then covers all its fields) and fingerprint null where
+    the record is no JSON object.  Counted in the tasks first."""
+    schema = [("layout", pa.string()), ("fingerprint", pa.string()), ("n", pa.int64())]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: dict = {}
+        for raw in batch.column(0).to_pylist():
+            value = _load(raw)
+            fit = layouts_of(value)[:1] if value is not None else []
+            key = (fit[0].name, fingerprint(field_paths(value) & _PATHS)) if fit else (None, None if value is None else fingerprint(field_paths(value)))
+            found[key] = found.get(key, 0) + 1
+        return record(schema, [k[0] for k in found], [k[1] for k in found], list(found.values()))
 
-    return over_batches(pick(records, column), run, "conv_id long, turn long, role string, text string, layout string")
+    return over_batches(pick(records, column), run, "layout string, fingerprint string, n long").groupBy("layout", "fingerprint").agg(F.sum("n").alias("n"))
 
 
 _CONTROL = re.compile("|".join(re.escape(c) for c in ("\\", *CONTROLS)))
@@ -162,7 +216,8 @@ def read_back(formatted: str) -> list[tuple[str, str, int, int]]:
 
 def format_turns(turns: DataFrame) -> DataFrame:
     """Adds `formatted`, the segment of each turn, and where its loss mask lies
-    (loss_start, loss_end in code points; null if not the assistant's)."""
+    (loss_start, loss_end in code points; null if not the assistant's).  Conversation
+    ids are strings."""
     schema = [*_TURN[:4], ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -173,18 +228,19 @@ def format_turns(turns: DataFrame) -> DataFrame:
             spans.append((end - len(escape(text or "")), end) if role == "assistant" else (None, None))
         return record(schema, *[batch.column(k) for k in range(4)], out, *map(list, zip(*spans)))
 
-    turns = pick(turns, "conv_id", "turn", "role", "text")
-    return over_batches(turns, run, "conv_id long, turn long, role string, text string, formatted string, loss_start long, loss_end long")
+    turns = pick(turns, "conv_id", "turn", "role", "text").withColumn("conv_id", F.col("conv_id").cast("string"))
+    return over_batches(turns, run, "conv_id string, turn long, role string, text string, formatted string, loss_start long, loss_end long")
 
 
-_DIGEST = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+_DIGEST = [("conv_id", pa.string()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """One row for each conversation, read back from its formatted segments.
 
     The segments arrive sorted and are hashed as they stream by, so a very long
-    conversation is never held as a whole."""
+    conversation is never held as a whole; its digest is one running hash, so its
+    segments do pass through one task."""
 
     def run(batches):
         now, state = None, None
@@ -213,4 +269,4 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield record(_DIGEST, *([v] for v in close()))
 
     rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

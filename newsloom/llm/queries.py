@@ -52,8 +52,27 @@ def op6_chat_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     rows = rows.select(*[F.col(c).cast(t) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))]).unionByName(more)
-    records = rows.select(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
-    return chat.digests(chat.format_turns(chat.canonical_turns(records)))
+    digests = chat.digests(chat.format_turns(chat.canonical_turns(_in_layouts(rows))))
+    return digests.withColumn("conv_id", F.col("conv_id").cast("long"))
+
+
+def _in_layouts(turns: DataFrame) -> DataFrame:
+    """One JSON record for each turn, written in one of six layouts by a hash of it."""
+    role, text = F.col("role"), F.col("text")
+    called = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    says = lambda **fields: F.struct(*[v.alias(k) for k, v in fields.items()])
+    part = F.struct(F.lit("text").alias("type"), text.alias("text"))
+    layouts = [
+        (says(role=role, text=text),), (says(messages=F.array(says(role=role, content=text))),), (says(messages=F.array(says(role=role, content=F.array(part)))),),
+        (says(conversations=F.array(says(**{"from": called, "value": text}))),), (says(turns=F.array(says(speaker=role, utterance=text))),), (says(role=role, text=text, meta=F.lit("x")),),
+    ]
+    write = lambda body: F.to_json(F.struct("conv_id", "turn", body.alias("b")), {"ignoreNullFields": "false"})
+    kind = F.when(role.isin("user", "assistant", "system"), F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(len(layouts)))).otherwise(0)
+    record = F.lit(None).cast("string")
+    for k, (body,) in enumerate(layouts):
+        # the fields of the body stand beside the id and the turn
+        record = F.when(kind == k, F.regexp_replace(write(body), r'(?s)^(.*?),"b":\{(.*)\}\}$', r"$1,$2}")).otherwise(record)
+    return turns.select(record.alias("record"))
 
 
 def op7_language_compression(spark: SparkSession, sf_dir: str) -> DataFrame:

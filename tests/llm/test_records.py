@@ -75,18 +75,30 @@ def test_chat_layouts(spark):
         {"conv_id": 4, "prompt": "p", "completion": "c", "system": "s"},
         {"conv_id": 5, "question": "why", "answer": "so"},
         {"conv_id": 6, "unknown": 1},
+        {"conv_id": "abc", "messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": [{"type": "text", "text": "c"}]}]},
+        {"conv_id": 8, "turns": [{"speaker": "user", "utterance": "u"}, {"speaker": "bot", "utterance": "v"}]},
+        {"conv_id": 9, "turn": "second", "role": "user", "text": "odd turn"},
+        {"conv_id": 9, "turn": "2", "role": "assistant", "text": "fine"},
+        {"conv_id": 10, "messages": "no list", "prompt": "p", "completion": "c"},
+        {"conv_id": 11, "question": "q", "answer": "a", "prompt": "p", "response": "r"},
     ]
     rows = [json.dumps(r) for r in records] + [None, "not json", "[1]"]
     got = chat.canonical_turns(spark.createDataFrame([(r, 1) for r in rows], "record string, Record int"))
     said = {}
     for r in got.collect():
-        said.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+        said.setdefault(r.conv_id, []).append((r.turn if r.turn is not None else -1, r.role, r.text))
     assert {k: [x[1:] for x in sorted(v)] for k, v in said.items()} == {
-        1: [("user", "hi"), ("assistant", "yo")], 2: [("user", "q"), ("assistant", "")], 3: [("user", "do\n\nthis"), ("assistant", "done")],
-        4: [("system", "s"), ("user", "p"), ("assistant", "c")], 5: [("user", "why"), ("assistant", "so")],
+        "1": [("user", "hi"), ("assistant", "yo")], "2": [("user", "q"), ("assistant", "")], "3": [("user", "do\n\nthis"), ("assistant", "done")],
+        "4": [("system", "s"), ("user", "p"), ("assistant", "c")], "5": [("user", "why"), ("assistant", "so")],
+        "abc": [("user", "ab"), ("assistant", "c")], "8": [("user", "u"), ("assistant", "v")], "9": [("user", "odd turn"), ("assistant", "fine")],
+        "10": [("user", "p"), ("assistant", "c")], "11": [("user", "p"), ("assistant", "r")],
     }
+    assert {r.conv_id: r.n_layouts for r in got.collect()}["11"] == 2
+    seen = chat.survey(spark.createDataFrame([(r, 1) for r in rows], "record string, Record int")).collect()
+    assert sum(r.n for r in seen) == len(rows) and sum(r.n for r in seen if r.layout is None) == 4
+    assert sum(r.n for r in seen if r.fingerprint is None) == 3
     out = {r.conv_id: r for r in chat.digests(chat.format_turns(got)).collect()}
-    assert out[3].loss_chars == 4 and out[3].loss_sha256 == hashlib.sha256(b"done").hexdigest()
+    assert out["3"].loss_chars == 4 and out["3"].loss_sha256 == hashlib.sha256(b"done").hexdigest()
     assert chat.digests(chat.format_turns(got.limit(0))).count() == 0
 
 
