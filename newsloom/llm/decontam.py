@@ -6,9 +6,11 @@ words that follow (positions left out could not match even SEED words).  Every
 benchmark window is found by binary search in each shard's array; neighbouring
 hits on one diagonal join into the longest verbatim matches and their places.
 
-The benchmark is the query set.  It is read in blocks of at most BLOCK_WORDS
-words, one broadcast each (a proven size bound); with several blocks the
-documents and their hits so far are a written table between two passes.
+The benchmark is the query set.  Tasks turn it into word hashes and deal these into
+blocks of at most BLOCK_WORDS words (a longer item is cut, with WINDOW - 1 words of
+overlap), a written table.  One block at a time is loaded, broadcast (a proven size
+bound) and released; with several blocks the documents and their hits so far are a
+written table between two passes.
 
 Edge cases: null or empty texts have no words and are never contaminated; an
 item without words has no window; an item of fewer than WINDOW words is one
@@ -19,6 +21,9 @@ so repeated benchmark rows count once; repeated documents rows stay repeated.
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spark import Scratch, numbered, pick, place, record
-from ._text import ALNUM_WORDS, Words, buffers, slices
+from ._text import ALNUM_WORDS, Words, slices
 
 WINDOW = 13
 SEED = 3
@@ -61,8 +66,8 @@ def suffix_keys(words: Words, at: np.ndarray, depth: int) -> np.ndarray:
     return np.ascontiguousarray(out).view(f"S{8 * depth}").ravel()
 
 
-def make_block(ids: list[str], texts: list[str], window: int = WINDOW) -> Block:
-    words = Words(*buffers(pa.array(texts, pa.large_string())), ALNUM_WORDS, lower=True)
+def make_block(ids: list[str], words: Words, window: int = WINDOW) -> Block:
+    """The windows of items (or parts of items) given by their words."""
     counts = words.counts[words.doc]
     left = words.left()
     start = np.flatnonzero((left >= window) | ((counts < window) & (left == counts)))
@@ -140,19 +145,47 @@ def longest(block: Block, words: Words, window: np.ndarray, place: np.ndarray, t
     return most, name, where
 
 
-def _blocks(benchmark: DataFrame):
-    """Blocks of at most BLOCK_WORDS words, or one longer item alone."""
+def _dealt(benchmark: DataFrame) -> DataFrame:
+    """(block, item_id, words): word hashes of items, or of overlapping parts of
+    long ones; each task deals its items into blocks of at most BLOCK_WORDS words."""
+    most, step = BLOCK_WORDS, BLOCK_WORDS - WINDOW + 1
+    schema = [("block", pa.string()), ("item_id", pa.string()), ("words", pa.binary())]
+
+    def run(batches):
+        task, k, size = uuid.uuid4().hex, 0, 0
+        for batch in batches:
+            out = []
+            for i, j, data, offsets in slices(batch.column(1)):
+                words = Words(data, offsets, ALNUM_WORDS, lower=True)
+                for d in range(j - i):
+                    said = words.hash[words.first[d] : words.first[d + 1]]
+                    for at in range(0, max(len(said) - WINDOW + 1, min(len(said), 1)), step):
+                        part = said[at : at + most]
+                        if size + len(part) > most:
+                            k, size = k + 1, 0
+                        size += len(part)
+                        out.append((f"{task}-{k}", batch.column(0)[i + d].as_py(), part.tobytes()))
+            if out:
+                yield record(schema, *map(list, zip(*out)))
+
     rows = pick(benchmark, "item_id", "text").where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
-    ids, texts, size = [], [], 0
-    for row in rows.orderBy("item_id", "text").toLocalIterator():
-        n = row.text.count(" ") + len(row.text) // 8 + 1
-        if ids and size + n > BLOCK_WORDS:
-            yield make_block(ids, texts)
-            ids, texts, size = [], [], 0
-        ids.append(row.item_id)
-        texts.append(row.text)
-        size += n
-    yield make_block(ids, texts)
+    # a word has at least one byte and, but for the last, one byte behind it
+    bound = rows.agg(F.sum(F.ceil((F.octet_length("text") + 1) / 2))).first()[0] or 0
+    return rows.coalesce(math.ceil(bound / most) or 1).mapInArrow(run, "block string, item_id string, words binary")
+
+
+def _blocks(scratch: Scratch, benchmark: DataFrame) -> Iterator[tuple[Block, bool]]:
+    """(block, whether it is the last), loaded one by one."""
+    dealt = scratch.keep(_dealt(benchmark), "benchmark")
+    names = [r.block for r in dealt.select("block").distinct().orderBy("block").collect()]  # one for each block, so for each pass
+    for k, name in enumerate(names):
+        rows = dealt.where(F.col("block") == name).select("item_id", "words").orderBy("item_id", "words").toArrow()
+        parts = [np.frombuffer(x, np.uint64) for x in rows.column("words").to_pylist()]
+        words = Words.of_hashes(np.concatenate(parts), np.array(list(map(len, parts))))
+        yield make_block(rows.column("item_id").to_pylist(), words), k == len(names) - 1
+    if not names:
+        yield make_block([], Words.of_hashes(np.zeros(0, np.uint64), np.zeros(0, np.int64))), True
+    scratch.drop(dealt)
 
 
 def _search(batch_texts: pa.Array, block: Block):
@@ -210,13 +243,18 @@ def _verdicts(rows: DataFrame, shared, earlier: bool, last: bool) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each row of docs; no shuffle."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    scratch, blocks = Scratch(spark, "decontam"), list(map(spark.sparkContext.broadcast, _blocks(benchmark)))
-    before = None
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        rows = _verdicts(rows, block, k > 0, last)
+    return _passes(spark, rows, benchmark, lambda rows, block, k, last: _verdicts(rows, block, k > 0, last))
+
+
+def _passes(spark: SparkSession, rows: DataFrame, benchmark: DataFrame, one_pass) -> DataFrame:
+    """one_pass(rows, broadcast block, number, last) for each block in turn."""
+    scratch, before = Scratch(spark, "decontam"), None
+    for k, (block, last) in enumerate(_blocks(scratch, benchmark)):
+        shared = spark.sparkContext.broadcast(block)
+        rows = one_pass(rows, shared, k, last)
         if not last:
             rows = scratch.keep(rows, "hits")
+            shared.destroy()
             if before is not None:
                 scratch.drop(before)
             before = rows
@@ -225,12 +263,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated; no shuffle."""
-    scratch, blocks = Scratch(spark, "decontam"), list(map(spark.sparkContext.broadcast, _blocks(benchmark)))
     names, at, width = docs.columns, place(docs, "text"), len(docs.columns)
     docs = numbered(docs)
     schema = docs.schema
 
-    def one_pass(rows: DataFrame, shared, earlier: bool, last: bool) -> DataFrame:
+    def one_pass(rows: DataFrame, shared, k: int, last: bool) -> DataFrame:
+        earlier = k > 0
+
         def run(batches):
             for batch in batches:
                 if not batch.num_rows:
@@ -247,12 +286,4 @@ def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
 
         return rows.mapInArrow(run, schema if last else T.StructType([*schema.fields, T.StructField("_hits", T.BinaryType())]))
 
-    before = None
-    for k, block in enumerate(blocks):
-        docs = one_pass(docs, block, k > 0, k == len(blocks) - 1)
-        if k < len(blocks) - 1:
-            docs = scratch.keep(docs, "hits")
-            if before is not None:
-                scratch.drop(before)
-            before = docs
-    return docs.toDF(*names)
+    return _passes(spark, docs, benchmark, one_pass).toDF(*names)

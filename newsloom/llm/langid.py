@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import over_batches, pick, record
@@ -35,18 +35,24 @@ _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 def train(docs: DataFrame, held_out: bool = True) -> dict[str, bytes]:
     """Raw dictionary content by language.  Two narrow scans: the chosen hashes
-    (map-side minima, at most BUCKETS a language), then their texts."""
+    (map-side minima, at most BUCKETS a language), then their texts, of which only
+    what fits a dictionary leaves the executors."""
     rows = pick(docs, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null")
     rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).withColumn("h", F.xxhash64("doc_id"))
     chosen = rows.groupBy("lang", F.pmod("h", F.lit(BUCKETS)).alias("b")).agg(F.min("h").alias("h")).select("lang", "h")
-    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "text").toArrow()
-    by: dict[str, list[tuple[int, int, str]]] = {}
-    for lang, h, text in zip(*(texts.column(k).to_pylist() for k in ("lang", "h", "text"))):
-        by.setdefault(lang, []).append((len(text), h, text))
+    # of rows that repeat an id one text counts; then the shortest up to DICTIONARY bytes
+    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.struct(F.octet_length("text").alias("size"), F.substring("text", 1, DICTIONARY).alias("text"))).alias("t"))
+    order = Window.partitionBy("lang").orderBy("t.size", "h")  # at most BUCKETS rows
+    before = F.sum(F.col("t.size") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    texts = texts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < DICTIONARY)
+    texts = texts.select("lang", "before", F.substring("t.text", 1, DICTIONARY).alias("text")).toArrow()
+    by: dict[str, list[tuple[int, str]]] = {}
+    for lang, at, text in zip(*(texts.column(k).to_pylist() for k in ("lang", "before", "text"))):
+        by.setdefault(lang, []).append((at, text))
     out = {}
     for lang, items in sorted(by.items()):
         parts, left = [], DICTIONARY
-        for _, _, text in sorted(items):  # short texts first: more of them, more varied
+        for _, text in sorted(items):  # short texts first: more of them, more varied
             raw = text.encode() + b"\n"
             parts.append(raw[:left])
             left -= len(parts[-1])

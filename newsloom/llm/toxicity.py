@@ -68,7 +68,7 @@ def _term_lists(batch: pa.RecordBatch) -> pa.RecordBatch:
         doc, bucket = terms(data, offsets)
         cuts = np.searchsorted(doc, np.arange(j - i + 1))
         out += [bucket[cuts[k] : cuts[k + 1]].astype(np.int32).tobytes() for k in range(j - i)]
-    return record([("terms", pa.binary()), ("toxic", pa.int32())], out, batch.column(2).cast(pa.int32()))
+    return record([("doc_id", pa.int64()), ("terms", pa.binary()), ("toxic", pa.int32())], batch.column(0).cast(pa.int64()), out, batch.column(2).cast(pa.int32()))
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -81,7 +81,9 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     )
     # at most SAMPLE rows of two numbers each: small enough for any executor
     texts = pick(docs, "doc_id", "text").where("doc_id is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    return over_batches(texts, _term_lists, "terms binary, toxic int")
+    lists = over_batches(texts, _term_lists, "doc_id long, terms binary, toxic int")
+    # of rows that repeat an id one text counts, so the bound holds
+    return lists.groupBy("doc_id").agg(F.min("terms").alias("terms"), F.max("toxic").alias("toxic")).drop("doc_id")
 
 
 def fit(lists: list[np.ndarray], toxic: np.ndarray, least_z: float = 4.0) -> Model:
