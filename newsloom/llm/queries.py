@@ -21,7 +21,7 @@ def op1_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents")).drop("longest_repeat", "n_repeats")
 
 
 def op3_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,8 @@ def op7_language_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
-    return decontam.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("longest_match", "longest_item", "longest_at")
 
 
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +103,15 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 finds by its fixed patterns alone, which SQL can say too."""
+    from . import pii
+
+    return pii.detect(table(spark, sf_dir, "documents"), pii.Weights()).drop("spans", "n_added")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
+    return {name: fn for name, fn in globals().items() if (name.startswith("op") or name == "pii_base_spans") and callable(fn)}
 
 
 _WARC_SQL = """
@@ -136,5 +144,91 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id"""
 
 
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+
+def _spans_sql(kind: str, pattern: str, test: str) -> str:
+    """(doc_id, kind, start, end) of the matches m of a pattern that pass a test."""
+    return f"""SELECT doc_id, '{kind}' AS kind, start, start + length(m) AS stop FROM (
+      SELECT doc_id, m, CAST(sum(length(piece) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) - length(m) AS BIGINT) AS start FROM (
+        SELECT doc_id, unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(list_slice(string_split_regex(t, '{pattern}'), 1, -2)) AS piece,
+               unnest(range(len(regexp_extract_all(t, '{pattern}')))) AS k FROM d)) WHERE {test}"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum([CASE WHEN i % 2 = 0 THEN CAST(reverse({_DIGITS})[i + 1] AS INT) WHEN CAST(reverse({_DIGITS})[i + 1] AS INT) > 4
+    THEN 2 * CAST(reverse({_DIGITS})[i + 1] AS INT) - 9 ELSE 2 * CAST(reverse({_DIGITS})[i + 1] AS INT) END FOR i IN range(length({_DIGITS}))]) % 10 = 0"""
+_PII_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({_spans_sql('email', r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', 'true')}
+  UNION ALL {_spans_sql('ip', r'[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', "list_max([CAST(x AS DOUBLE) FOR x IN string_split(m, '.')]) <= 255")}
+  UNION ALL {_spans_sql('card', r'[0-9]([\x20-]?[0-9])+', f'length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}')}
+  UNION ALL {_spans_sql('phone', r'\+[0-9][\x20().0-9-]+[0-9]', f'length({_DIGITS}) BETWEEN 9 AND 15')}),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY list_position(['email', 'ip', 'card', 'phone'], kind), start) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256
+FROM documents LEFT JOIN g USING (doc_id)"""
+
+
+def _window_sql(name: str, size: int, rows: str, value: str) -> str:
+    """A table of the windows of `size` words from each word of `rows` on."""
+    said = " || ' ' || ".join([value] + [f"lead({value}, {k}) OVER w" for k in range(1, size)])
+    return f"{name} AS (SELECT rid, pos, {said} AS v FROM {rows} WINDOW w AS (PARTITION BY rid ORDER BY pos))"
+
+
+def _twice_sql(name: str, of: str, size: int) -> str:
+    """Words inside windows that occur twice or more in their text."""
+    return f"""{name} AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(pos, pos + {size})) AS p FROM {of}
+    WHERE v IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, v) > 1) GROUP BY rid)"""
+
+
+# 51 words are windows of 16 at 0, 16, 32 and of 3 at 48
+_QUALITY_SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+c AS (SELECT *, regexp_extract_all(t, {_WORD}) AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS lines FROM d),
+w AS (SELECT rid, unnest(words) AS said, unnest(range(len(words))) AS pos FROM c),
+{_window_sql('w3', 3, 'w', 'said')}, {_window_sql('w8', 8, 'w', 'said')}, {_twice_sql('r3', 'w3', 3)}, {_twice_sql('r8', 'w8', 8)},
+h AS (SELECT rid, pos, md5(v) AS said FROM w8 WHERE v IS NOT NULL), t AS (SELECT rid, pos, md5(v) AS said FROM w3 WHERE v IS NOT NULL),
+long AS (SELECT DISTINCT rid FROM (SELECT a.rid, a.said || b.said || c.said || e.said || f.said || g.said || t.said AS v FROM h a
+  JOIN h b ON b.rid = a.rid AND b.pos = a.pos + 8 JOIN h c ON c.rid = a.rid AND c.pos = a.pos + 16 JOIN h e ON e.rid = a.rid AND e.pos = a.pos + 24
+  JOIN h f ON f.rid = a.rid AND f.pos = a.pos + 32 JOIN h g ON g.rid = a.rid AND g.pos = a.pos + 40 JOIN t ON t.rid = a.rid AND t.pos = a.pos + 48
+  WHERE a.rid IN (SELECT rid FROM r8)) QUALIFY count(*) OVER (PARTITION BY rid, v) > 1),
+n AS (SELECT doc_id, rid, len(words) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN words]), 0) AS BIGINT) AS word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+        coalesce(r3.n, 0) AS n_repeat_words, coalesce(r8.n, 0) AS covered_words FROM c LEFT JOIN r3 USING (rid) LEFT JOIN r8 USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, covered_words,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= CAST(0.12 AS DOUBLE) * n_words AND rid NOT IN (SELECT rid FROM long) AS kept
+FROM n"""
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_DECONTAM_SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_ALNUM}) AS words FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_ALNUM}) AS words FROM benchmark),
+w AS (SELECT rid, unnest(words) AS said, unnest(range(len(words))) AS pos FROM d),
+i AS (SELECT row_number() OVER () AS rid, item_id, words FROM b WHERE len(words) >= 13),
+iw AS (SELECT rid, unnest(words) AS said, unnest(range(len(words))) AS pos FROM i),
+{_window_sql('dv', 13, 'w', 'said')}, {_window_sql('bv', 13, 'iw', 'said')},
+hits AS (SELECT DISTINCT dv.rid, dv.pos, 13 AS size, i.item_id FROM dv JOIN bv ON bv.v = dv.v JOIN i ON i.rid = bv.rid
+  UNION ALL SELECT DISTINCT w.rid, w.pos, len(b.words) AS size, b.item_id FROM w JOIN b ON len(b.words) BETWEEN 1 AND 12 AND w.said = b.words[1]
+    JOIN d ON d.rid = w.rid WHERE d.words[w.pos + 1 : w.pos + len(b.words)] = b.words),
+n AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + size)) AS p FROM hits) GROUP BY rid),
+m AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)"""
+
+_NEARDUP_SQL = f"""WITH RECURSIVE c AS (SELECT doc_id AS rid, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORD}) AS words FROM documents),
+w AS (SELECT rid, unnest(words) AS said, unnest(range(len(words))) AS pos FROM c WHERE len(words) >= 5),
+{_window_sql('w5', 5, 'w', 'said')},
+s AS (SELECT DISTINCT rid, v FROM w5 WHERE v IS NOT NULL UNION ALL SELECT rid, len(words) || ':' || array_to_string(words, ' ') FROM c WHERE len(words) BETWEEN 1 AND 4),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+l AS (SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS both_have FROM s x JOIN s y ON x.v = y.v AND x.rid < y.rid GROUP BY ALL) p
+  JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 100 * both_have >= 75 * (na.n + nb.n - both_have)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
+SELECT c.rid AS doc_id, coalesce(n.n, 0) AS n_shingles, least(c.rid, coalesce(m.b, c.rid)) AS component_id, c.rid <= coalesce(m.b, c.rid) AS kept
+FROM c LEFT JOIN n ON n.rid = c.rid LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = c.rid"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_boundary_chain": _WARC_SQL, "op6_chat_schema_fingerprint": _CHAT_SQL}
+    return {
+        "op2_suffix_repetition": _QUALITY_SQL, "op3_warc_boundary_chain": _WARC_SQL, "op6_chat_schema_fingerprint": _CHAT_SQL,
+        "op8_suffix_array_decontamination": _DECONTAM_SQL, "op10_minhash_bayes": _NEARDUP_SQL, "pii_base_spans": _PII_SQL,
+    }

@@ -8,6 +8,8 @@ import pytest
 
 from newsloom.llm import neardup
 
+from ..conftest import DATA
+
 SCHEMA = "doc_id long, text string, lang string, DOC_ID string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -143,3 +145,26 @@ def test_samples_keep_linked_pairs():
         matches = np.array([round(neardup.HASHES * both / (2 * n - both))])
         got = neardup.sampled(low, np.array([n, n]), np.array([0]), np.array([1]), matches, least)
         assert len(got) == want
+
+
+def test_no_link_of_the_query_set_is_missed(spark):
+    """Every row whose id is divisible by 100 against all rows, on full sets."""
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    sets, held = {}, {}
+    for r in rows:
+        sets[r.doc_id] = shingles(r.text)
+        for s in sets[r.doc_id]:
+            held.setdefault(s, []).append(r.doc_id)
+    component = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark, docs).collect()}
+    links = found = 0
+    for a in (r.doc_id for r in rows if r.doc_id % 100 == 0):
+        common = {}
+        for s in sets[a]:
+            for b in held[s]:
+                common[b] = common.get(b, 0) + 1
+        for b, n in common.items():
+            if b != a and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                links += 1
+                found += component[a] == component[b]
+    assert links > 20 and found == links

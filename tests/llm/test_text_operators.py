@@ -228,6 +228,25 @@ def test_toxicity_held_out(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_scores_by_brute_force(spark):
+    """The factorization machine's formula, term by term and pair by pair."""
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert len(model.buckets) > 20
+    place = {int(b): k for k, b in enumerate(model.buckets)}
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    one = lambda said, size: toxicity.Words(np.frombuffer(said, np.uint8), np.array([0, len(said)]), toxicity.ALNUM_WORDS).span_hash(np.array([0]), np.array([len(said)]), size)[0]
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in toxicity.score_documents(docs, model).where("doc_id % 7 = 0").collect():
+        keys = set()
+        for word in set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(texts[r.doc_id]))):
+            raw = word.encode()
+            keys |= {int(one(raw[:size] if size else raw, size)) >> (64 - toxicity.BITS) for size in (0, *toxicity.PREFIXES) if len(raw) > size}
+        at = sorted(place[k] for k in keys if k in place)
+        out = model.bias + sum(model.weights[k] for k in at) + sum(model.factors[i] @ model.factors[j] for x, i in enumerate(at) for j in at[x + 1 :])
+        assert abs(r.score - 1 / (1 + math.exp(-out))) < 1e-6
+
+
 def test_pairs_that_additive_weights_miss():
     """Two terms that are toxic only together."""
     rng = random.Random(3)
@@ -253,6 +272,28 @@ def test_language_held_out(spark):
     assert none[1] == none[2] == "und" != none[3]
 
 
+def test_language_by_brute_force(spark):
+    """Sizes of plain one-shot compressions decide, ties in alphabetical order."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    learned = langid.train(docs)
+    assert all(0 < len(d) <= langid.DICTIONARY for d in learned.values())
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in langid.identify(docs, learned).collect():
+        if not any(c.isalpha() for c in texts[r.doc_id]):
+            assert r.lang_pred == "und"
+            continue
+        sizes = {}
+        for lang in sorted(learned):
+            content = zstandard.ZstdCompressionDict(learned[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            coder = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=content, write_content_size=False, write_dict_id=False)
+            sizes[lang] = len(coder.compress(texts[r.doc_id].encode()))
+        assert r.lang_pred == min(sizes, key=sizes.get)
+        second = sorted(sizes.values())[1]
+        assert r.margin_bytes == second - min(sizes.values()) and r.accepted == (r.margin_bytes > langid.MARGIN * second)
+
+
 def brute_hits(text, items):
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     cut = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
