@@ -9,10 +9,13 @@
    the posterior chance that its similarity reaches the threshold is below MISS.
    Survivors are confirmed on full sets.
 5. Links become components (contracting minimum hooks).  Buckets that still hold
-   classes of several components compare all pairs across components, in
-   blocks, so that no pair of a bucket goes unseen; there a last batch, the SAMPLE
+   classes of several components compare the signatures of all pairs across
+   components, in blocks, so that no pair of a bucket goes unseen; the SAMPLE
    smallest shingle hashes of the union (all of them in short texts, whose
-   similarity it gives exactly), prunes too.  These links join the rest.
+   similarity they give exactly) prune what is left.  These links join the rest.
+
+Signatures and sets stay where they are written unless a bitmap of wanted nodes
+says that a join may need them.
 
 What is lost: only pairs that share no bucket (at similarity s,
 (1 - s ** ROWS) ** BANDS: 2e-6 at 0.75, less above) or fall to step 4's bound.
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import FILTER_BITS, Scratch, bitmap, has_bit, numbered, over_batches, pick, place, record
+from ._spark import FILTER_BITS, Scratch, bitmap, has_bit, join_hot, may_be_in, numbered, over_batches, pick, place, record
 from ._text import BLANK_WORDS, Words, mix, shingle_hashes, slices, stream
 
 SIZE = 5  # words of a shingle
@@ -130,27 +133,23 @@ def likely(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> tuple
     return alive, seen
 
 
-def sampled(low: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, matches: np.ndarray, least: int) -> np.ndarray:
-    """Which pairs (i, j) outlast the batch of smallest shingle hashes.  low: rows
-    of up to SAMPLE sorted hashes, closed by the largest integer; matches: equal
-    signature values of the pairs; least: what all values together must reach."""
-    keep = []
-    for s in range(0, len(i), 2048):
-        a, b = i[s : s + 2048], j[s : s + 2048]
-        both = np.sort(np.concatenate([low[a], low[b]], axis=1), axis=1)
-        again = both[:, 1:] == both[:, :-1]
-        again &= both[:, 1:] != NO_HASH
-        short = np.maximum(sizes[a], sizes[b]) <= SAMPLE
-        common = again.sum(1)
-        union = sizes[a] + sizes[b] - common
-        # of larger sets the SAMPLE smallest of the union are a fair sample of it
-        seen = np.arange(1, both.shape[1]) + 1 - np.cumsum(again, axis=1)
-        part = (again & (seen <= SAMPLE)).sum(1)
-        small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-        exact = DENOMINATOR * (common + 1) >= NUMERATOR * (union - 1)  # spare for upper halves that are alike within a text
-        ok = np.where(short, exact, matches[s : s + 2048] + part >= least)
-        keep.append(s + np.flatnonzero(ok & (DENOMINATOR * small >= NUMERATOR * large)))
-    return np.concatenate(keep) if keep else np.zeros(0, np.int64)
+def sampled(low_a: np.ndarray, low_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, matches: np.ndarray, least: int) -> np.ndarray:
+    """Which pairs outlast the batch of smallest shingle hashes.  low: rows of up to
+    SAMPLE sorted hashes, closed by the largest integer; matches: equal signature
+    values of the pairs; least: what all values together must reach."""
+    both = np.sort(np.concatenate([low_a, low_b], axis=1), axis=1)
+    again = both[:, 1:] == both[:, :-1]
+    again &= both[:, 1:] != NO_HASH
+    short = np.maximum(size_a, size_b) <= SAMPLE
+    common = again.sum(1)
+    union = size_a + size_b - common
+    # of larger sets the SAMPLE smallest of the union are a fair sample of it
+    seen = np.arange(1, both.shape[1]) + 1 - np.cumsum(again, axis=1)
+    part = (again & (seen <= SAMPLE)).sum(1)
+    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+    exact = DENOMINATOR * (common + 1) >= NUMERATOR * (union - 1)  # spare for upper halves that are alike within a text
+    ok = np.where(short, exact, matches + part >= least)
+    return np.flatnonzero(ok & (DENOMINATOR * small >= NUMERATOR * large))
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -165,7 +164,8 @@ def _prune(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
         got, _ = likely(_rows(batch.column(2)), _rows(batch.column(3)), bounds)
         return batch.select([0, 1]).take(pa.array(got))
 
-    sig = signatures.select("node", "signature")
+    wanted = bitmap(_ends(pairs), F.xxhash64("node"))
+    sig = signatures.where(may_be_in(wanted, F.xxhash64("node"))).select("node", "signature")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return over_batches(both, run, "a long, b long")
 
@@ -271,35 +271,27 @@ def _bands(classes: DataFrame) -> DataFrame:
     return over_batches(classes.select("node", "bands"), run, "key long, node long")
 
 
-def _across(mixed: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs (a, b) that outlast the comparison, of classes that share a key and
-    differ in component.  mixed: key, blocks, node, component; marks: signature,
-    size and smallest hashes by node.  A key's classes are dealt into blocks of
-    about BLOCK; each pair of blocks is compared once, and only likely pairs
-    leave the task."""
+def _across(mixed: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(a, b, matches): pairs that outlast the comparison of signatures, of classes
+    that share a key and differ in component.  mixed: key, blocks, node, component.
+    A key's classes are dealt into blocks of about BLOCK; each pair of blocks is
+    compared once, and only likely pairs leave the task."""
     bounds = least_matches()
-    ((_, least),) = least_matches(batches=[HASHES + SAMPLE])
+    wanted = may_be_in(bitmap(mixed, F.xxhash64("node")), F.xxhash64("node"))
     dealt = (
-        mixed.join(marks, "node")
+        mixed.join(signatures.where(wanted).select("node", "signature"), "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "signature", "size", "low")
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "signature")
     )
 
-    def lows(column: pa.Array) -> np.ndarray:
-        found = [np.frombuffer(value.as_buffer(), np.uint32) for value in column]
-        out = np.full((len(found), max(map(len, found))), NO_HASH)
-        for row, value in zip(out, found):
-            row[: len(value)] = value
-        return out
-
-    def pairs(part: pa.Table) -> tuple[list, list]:
+    def pairs(part: pa.Table) -> tuple[list, list, list]:
         node, comp = part.column("node").to_numpy(), part.column("component").to_numpy()
-        own, lo, hi, size = (part.column(c).to_numpy() for c in ("own", "lo", "hi", "size"))
+        own, lo, hi = (part.column(c).to_numpy() for c in ("own", "lo", "hi"))
         sig = _rows(part.column("signature"))
         change = np.any([part.column(c).to_numpy()[1:] != part.column(c).to_numpy()[:-1] for c in ("key", "lo", "hi")], axis=0)
         cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(node)]])
-        a, b = [], []
+        a, b, n = [], [], []
         for s, e in zip(cuts[:-1], cuts[1:]):
             if e - s < 2:
                 continue
@@ -308,22 +300,18 @@ def _across(mixed: DataFrame, marks: DataFrame) -> DataFrame:
             ok = (comp[i] != comp[j]) & (node[i] != node[j]) & ((lo[s] == hi[s]) | (own[i] != own[j]))
             i, j = i[ok], j[ok]
             got, matches = likely(sig[i], sig[j], bounds)
-            i, j = i[got], j[got]
-            if len(i):
-                got = sampled(lows(part.column("low").slice(s, e - s)), size[s:e], i - s, j - s, matches, least)
-                i, j = i[got], j[got]
-            a.append(np.minimum(node[i], node[j]))
-            b.append(np.maximum(node[i], node[j]))
-        return a, b
+            a.append(np.minimum(node[i[got]], node[j[got]]))
+            b.append(np.maximum(node[i[got]], node[j[got]]))
+            n.append(matches)
+        return a, b, n
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "matches")])
 
         def emit(part: pa.Table):
-            a, b = pairs(part.combine_chunks())
             none = np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *c])) for c in pairs(part.combine_chunks())], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -338,30 +326,62 @@ def _across(mixed: DataFrame, marks: DataFrame) -> DataFrame:
         if held:
             yield emit(pa.Table.from_batches(held))
 
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long, matches long").distinct()
+
+
+def _sampled(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs that outlast the comparison of smallest hashes.  marks: size and
+    low by node."""
+    ((_, least),) = least_matches(batches=[HASHES + SAMPLE])
+
+    def lows(column: pa.Array) -> np.ndarray:
+        found = [np.frombuffer(value.as_buffer(), np.uint32) for value in column]
+        out = np.full((len(found), SAMPLE), NO_HASH)
+        for row, value in zip(out, found):
+            row[: len(value)] = value
+        return out
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                sizes = [part.column(k).to_numpy() for k in (2, 3, 4)]
+                got = sampled(lows(part.column(5)), lows(part.column(6)), sizes[1], sizes[2], sizes[0], least)
+                yield part.select([0, 1]).take(pa.array(got))
+
+    both = pairs.join(marks.toDF("a", "na", "la"), "a").join(marks.toDF("b", "nb", "lb"), "b")
+    return both.select("a", "b", "matches", "na", "nb", "la", "lb").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     scratch = Scratch(spark, "neardup")
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    prints = scratch.keep(over_batches(docs, _fingerprints, "doc_id long, node long, n_shingles long, digest binary, bands binary, signature binary"), "prints")
-    full = prints.select("doc_id", "n_shingles", "digest").where("n_shingles > 0")
+    wide = scratch.keep(over_batches(docs, _fingerprints, "doc_id long, node long, n_shingles long, digest binary, bands binary, signature binary"), "wide")
+    prints = scratch.keep(wide.select("doc_id", "n_shingles", "digest"), "prints")
+    full = prints.where("n_shingles > 0")
     named = full.where("doc_id is not null").withColumnRenamed("doc_id", "node")
     strays = not full.where("doc_id is null").isEmpty()
-    # map-side minima: copies of a text meet their class before the shuffle
-    best = prints.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("stray"), "node", "bands", "signature")).alias("m"))
-    classes = scratch.keep(best.select("digest", "m.*"), "classes")
-    rep = classes.select("digest", F.col("node").alias("rep"), "stray")
+    # only rows whose digest may repeat are shuffled; these meet their class in map-side minima
+    again = bitmap(full.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), F.xxhash64("digest"))
+    maybe, some = may_be_in(again, F.xxhash64("digest")), wide.where("n_shingles > 0")
+    stray = F.col("doc_id").isNull().alias("stray")
+    best = some.where(maybe).groupBy("digest").agg(F.min(F.struct(stray, "node", "bands", "signature")).alias("m"), F.count("*").alias("copies"))
+    single = some.where(~maybe).select("digest", stray, "node", "bands", "signature", F.lit(1).cast("long").alias("copies"))
+    classes = scratch.keep(best.select("digest", "m.*", "copies").unionByName(single), "classes")
+    scratch.drop(wide)
+    rep = scratch.keep(classes.select("digest", F.col("node").alias("rep"), "stray", "copies"), "reps")
 
     # documents whose repeated rows have different texts tie the classes of these together
     mixed = named.groupBy("node").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).where("x <> y").select("node")
-    ties = scratch.keep(named.join(mixed, "node").join(rep, "digest").select(F.col("node").alias("a"), F.col("rep").alias("b")), "ties")
+    ties = scratch.keep(named.join(mixed, "node").join(rep.select("digest", "rep"), "digest").select(F.col("node").alias("a"), F.col("rep").alias("b")), "ties")
 
     bands = scratch.keep(_bands(classes), "bands")
     leaders = bands.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("m"), F.count("*").alias("n")).where("n > 1")
-    shared = scratch.keep(bands.join(leaders, "key").select("key", "node", F.col("m").bitwiseXOR(F.col("key")).alias("leader")), "shared")
-    scratch.drop(bands)
+    leaders = scratch.keep(leaders, "leaders")
+    some = bands.where(may_be_in(bitmap(leaders, F.xxhash64("key")), F.xxhash64("key")))
+    shared = scratch.keep(join_hot(some, leaders, "key", "n").select("key", "node", F.col("m").bitwiseXOR(F.col("key")).alias("leader")), "shared")
+    scratch.drop(bands, leaders)
 
     pairs = shared.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     pruned = scratch.keep(_prune(pairs, classes), "pruned")
@@ -373,23 +393,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     mixed = scratch.keep(rows.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "mixed")
     scratch.drop(rows)
-    sets = scratch.keep(_full_sets(docs, mixed.select("node").distinct(), strays), "sets")
-    marks = sets.select("digest", (F.octet_length("shingles") / 8).cast("long").alias("size"), "low")
-    marks = classes.select("digest", "node", "signature").join(marks.dropDuplicates(["digest"]), "digest").drop("digest")
-    more = scratch.keep(_across(mixed, marks).join(pruned, ["a", "b"], "left_anti"), "across")
+    likely_pairs = scratch.keep(_across(mixed, classes).join(pruned, ["a", "b"], "left_anti"), "likely")
+    sets = scratch.keep(_full_sets(docs, _ends(likely_pairs), strays), "sets")
+    # of documents whose rows differ the text of the class counts here
+    marks = sets.join(rep.select("digest", F.col("rep").alias("node")), ["digest", "node"], "left_semi").dropDuplicates(["node"])
+    marks = marks.select("node", (F.octet_length("shingles") / 8).cast("long").alias("size"), "low")
+    more = scratch.keep(_sampled(likely_pairs, marks), "across")
     if not more.isEmpty():
         links = links.unionByName(scratch.keep(_confirm(more, sets), "links"))
         again = components(scratch, links.unionByName(ties))
         groups = scratch.keep(again, "groups")
-    scratch.drop(mixed, sets)
+    scratch.drop(mixed, sets, classes, likely_pairs, pruned)
 
     if strays:
         # a component goes by its smallest id, or by none
-        ids = groups.join(classes.where("stray").select("node"), "node", "left_anti").groupBy("component").agg(F.min("node").alias("least"))
+        ids = groups.join(rep.where("stray").select(F.col("rep").alias("node")), "node", "left_anti").groupBy("component").agg(F.min("node").alias("least"))
         groups = scratch.keep(groups.join(ids, "component", "left").select("node", F.col("least").alias("component")), "named")
-    of = rep.join(groups.toDF("rep", "component"), "rep", "left").select("digest", F.coalesce("component", F.expr("if(stray, null, rep)")).alias("component_id"))
+    of = rep.join(groups.toDF("rep", "component"), "rep", "left").select("digest", "copies", F.coalesce("component", F.expr("if(stray, null, rep)")).alias("component_id"))
     alone = prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = full.join(of, "digest").select("doc_id", "n_shingles", "component_id")
+    out = join_hot(full, scratch.keep(of, "of"), "digest", "copies").select("doc_id", "n_shingles", "component_id")
     if strays:
         out = scratch.keep(out, "rows")
         least = out.where("doc_id is null").agg(F.min("component_id")).first()[0]
@@ -398,9 +420,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def _linked(scratch: Scratch, docs: DataFrame, pairs: DataFrame, strays: bool) -> DataFrame:
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = scratch.keep(_full_sets(docs, nodes, strays), "sets")
+    sets = scratch.keep(_full_sets(docs, _ends(pairs), strays), "sets")
     out = scratch.keep(_confirm(pairs, sets), "links")
     scratch.drop(sets)
     return out
