@@ -9,7 +9,7 @@
    the posterior chance that its similarity reaches the threshold is below MISS.
    Survivors are confirmed on full sets.
 5. Links become components (contracting minimum hooks).  Buckets that still hold
-   classes of several components compare the signatures of all pairs across
+   classes of several components compare the signatures of all other pairs across
    components, in blocks, so that no pair of a bucket goes unseen; the SAMPLE
    smallest shingle hashes of the union (all of them in short texts, whose
    similarity they give exactly) prune what is left.  These links join the rest.
@@ -271,47 +271,72 @@ def _bands(classes: DataFrame) -> DataFrame:
     return over_batches(classes.select("node", "bands"), run, "key long, node long")
 
 
-def _across(mixed: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(a, b, matches): pairs that outlast the comparison of signatures, of classes
-    that share a key and differ in component.  mixed: key, blocks, node, component.
-    A key's classes are dealt into blocks of about BLOCK; each pair of blocks is
-    compared once, and only likely pairs leave the task."""
+def _lows(column: pa.Array) -> np.ndarray:
+    found = [np.frombuffer(value.as_buffer(), np.uint32) for value in column]
+    out = np.full((len(found), max(map(len, found))), NO_HASH)
+    for row, value in zip(out, found):
+        row[: len(value)] = value
+    return out
+
+
+def _across(mixed: DataFrame, marks: DataFrame, sampling: bool) -> DataFrame:
+    """Compares all pairs of classes that share a key and differ in component, but
+    for those with the key's leader, which are known.  mixed: key, blocks, node,
+    leads, component; marks: signature by node, when sampling also
+    size and low.  A key's classes are dealt into blocks of about BLOCK; each pair of
+    blocks meets once.  Pairs that are not likely never leave the task: without
+    sampling the (key, node) that are in a likely pair come out, no more rows than
+    went in; with sampling the pairs (a, b) that outlast that as well."""
     bounds = least_matches()
-    wanted = may_be_in(bitmap(mixed, F.xxhash64("node")), F.xxhash64("node"))
+    ((_, least),) = least_matches(batches=[HASHES + SAMPLE])
+    more = ["size", "low"] if sampling else []
     dealt = (
-        mixed.join(signatures.where(wanted).select("node", "signature"), "node")
+        mixed.join(marks.select("node", "signature", *more), "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "signature")
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "leads", "component", "signature", *more)
     )
+    names = ["a", "b"] if sampling else ["key", "node"]
 
-    def pairs(part: pa.Table) -> tuple[list, list, list]:
+    def compared(part: pa.Table) -> list[list]:
         node, comp = part.column("node").to_numpy(), part.column("component").to_numpy()
-        own, lo, hi = (part.column(c).to_numpy() for c in ("own", "lo", "hi"))
+        key, own, lo, hi, leads = (part.column(c).to_numpy() for c in ("key", "own", "lo", "hi", "leads"))
         sig = _rows(part.column("signature"))
-        change = np.any([part.column(c).to_numpy()[1:] != part.column(c).to_numpy()[:-1] for c in ("key", "lo", "hi")], axis=0)
+        size = part.column("size").to_numpy() if sampling else None
+        change = np.any([x[1:] != x[:-1] for x in (key, lo, hi)], axis=0)
         cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(node)]])
-        a, b, n = [], [], []
+        out = [[], []]
         for s, e in zip(cuts[:-1], cuts[1:]):
             if e - s < 2:
                 continue
             i, j = np.triu_indices(e - s, 1)
             i, j = i + s, j + s
-            ok = (comp[i] != comp[j]) & (node[i] != node[j]) & ((lo[s] == hi[s]) | (own[i] != own[j]))
+            ok = (comp[i] != comp[j]) & (node[i] != node[j]) & ~leads[i] & ~leads[j] & ((lo[s] == hi[s]) | (own[i] != own[j]))
             i, j = i[ok], j[ok]
             got, matches = likely(sig[i], sig[j], bounds)
-            a.append(np.minimum(node[i[got]], node[j[got]]))
-            b.append(np.maximum(node[i[got]], node[j[got]]))
-            n.append(matches)
-        return a, b, n
+            i, j = i[got], j[got]
+            if not len(i):
+                continue
+            if not sampling:
+                ends = np.unique(node[np.concatenate([i, j])])
+                out[0].append(np.full(len(ends), key[s]))
+                out[1].append(ends)
+                continue
+            low = _lows(part.column("low").slice(s, e - s))
+            for at in range(0, len(i), 2048):
+                x, y = i[at : at + 2048], j[at : at + 2048]
+                keep = sampled(low[x - s], low[y - s], size[x], size[y], matches[at : at + 2048], least)
+                out[0].append(np.minimum(node[x[keep]], node[y[keep]]))
+                out[1].append(np.maximum(node[x[keep]], node[y[keep]]))
+        return out
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "matches")])
+        schema = pa.schema([(c, pa.int64()) for c in names])
 
         def emit(part: pa.Table):
             none = np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *c])) for c in pairs(part.combine_chunks())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *c])) for c in compared(part.combine_chunks())], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -326,31 +351,7 @@ def _across(mixed: DataFrame, signatures: DataFrame) -> DataFrame:
         if held:
             yield emit(pa.Table.from_batches(held))
 
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long, matches long").distinct()
-
-
-def _sampled(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs that outlast the comparison of smallest hashes.  marks: size and
-    low by node."""
-    ((_, least),) = least_matches(batches=[HASHES + SAMPLE])
-
-    def lows(column: pa.Array) -> np.ndarray:
-        found = [np.frombuffer(value.as_buffer(), np.uint32) for value in column]
-        out = np.full((len(found), SAMPLE), NO_HASH)
-        for row, value in zip(out, found):
-            row[: len(value)] = value
-        return out
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                sizes = [part.column(k).to_numpy() for k in (2, 3, 4)]
-                got = sampled(lows(part.column(5)), lows(part.column(6)), sizes[1], sizes[2], sizes[0], least)
-                yield part.select([0, 1]).take(pa.array(got))
-
-    both = pairs.join(marks.toDF("a", "na", "la"), "a").join(marks.toDF("b", "nb", "lb"), "b")
-    return both.select("a", "b", "matches", "na", "nb", "la", "lb").mapInArrow(run, "a long, b long")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -388,22 +389,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     links = _linked(scratch, docs, pruned, strays)
 
     groups = scratch.keep(components(scratch, links.unionByName(ties)), "groups")
-    rows = scratch.keep(shared.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "rows")
+    rows = scratch.keep(shared.join(groups, "node", "left").select("key", "node", (F.col("node") == F.col("leader")).alias("leads"), F.coalesce("component", "node").alias("component")), "rows")
     scratch.drop(shared)
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     mixed = scratch.keep(rows.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "mixed")
     scratch.drop(rows)
-    likely_pairs = scratch.keep(_across(mixed, classes).join(pruned, ["a", "b"], "left_anti"), "likely")
-    sets = scratch.keep(_full_sets(docs, _ends(likely_pairs), strays), "sets")
+    wanted = may_be_in(bitmap(mixed, F.xxhash64("node")), F.xxhash64("node"))
+    marks = scratch.keep(classes.where(wanted).select("node", "signature"), "marks")
+    flagged = scratch.keep(_across(mixed, marks, False), "flagged")
+    sets = scratch.keep(_full_sets(docs, flagged.select("node").distinct(), strays), "sets")
     # of documents whose rows differ the text of the class counts here
-    marks = sets.join(rep.select("digest", F.col("rep").alias("node")), ["digest", "node"], "left_semi").dropDuplicates(["node"])
-    marks = marks.select("node", (F.octet_length("shingles") / 8).cast("long").alias("size"), "low")
-    more = scratch.keep(_sampled(likely_pairs, marks), "across")
+    lows = sets.join(rep.select("digest", F.col("rep").alias("node")), ["digest", "node"], "left_semi").dropDuplicates(["node"])
+    lows = lows.select("node", (F.octet_length("shingles") / 8).cast("long").alias("size"), "low").join(marks, "node")
+    more = _across(mixed.join(flagged, ["key", "node"], "left_semi"), lows, True)
+    more = scratch.keep(more.join(pruned, ["a", "b"], "left_anti"), "across")
     if not more.isEmpty():
         links = links.unionByName(scratch.keep(_confirm(more, sets), "links"))
         again = components(scratch, links.unionByName(ties))
         groups = scratch.keep(again, "groups")
-    scratch.drop(mixed, sets, classes, likely_pairs, pruned)
+    scratch.drop(mixed, sets, classes, marks, flagged, pruned)
 
     if strays:
         # a component goes by its smallest id, or by none
