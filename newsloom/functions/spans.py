@@ -24,7 +24,8 @@ def _units(text: str) -> int:
 
 
 def _cut(text: str, start: int, end: int) -> str:
-    return text.encode("utf-16-le", "surrogatepass")[2 * start : 2 * end].decode("utf-16-le", "surrogatepass")
+    """A cut within a surrogate pair gives a replacement character, as encoders do."""
+    return text.encode("utf-16-le", "surrogatepass")[2 * start : 2 * end].decode("utf-16-le", "replace")
 
 
 def clamp(text: str, most: int = SUMMARY_MAX) -> str:

@@ -96,9 +96,9 @@ def read_record(path: str) -> dict | None:
 def production_blocker(record: dict | None) -> str | None:
     """Why the thresholds in use are not calibrated; None if they are."""
     if record is None:
-        return "no calibration record"
+        return "thresholds were never calibrated"
     if record["pairs"] < MIN_LABELLED_PAIRS:
-        return f"calibrated on {record['pairs']} pairs, fewer than {MIN_LABELLED_PAIRS}"
+        return f"{record['pairs']} labelled pairs are too few: {MIN_LABELLED_PAIRS} are needed"
     if (record["distinctThreshold"], record["mergeThreshold"]) != (DISTINCT_THRESHOLD, MERGE_THRESHOLD):
-        return "recorded thresholds are not those in use"
-    return None if record["weights"] == WEIGHTS else "recorded weights are not those in use"
+        return "other thresholds are in use than were calibrated"
+    return None if record["weights"] == WEIGHTS else "other weights are in use than were calibrated"

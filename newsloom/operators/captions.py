@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CHUNK_SECONDS, VIDEOS_PER_RUN
 from ..functions.dates import clock
-from ..functions.text import col, squeeze, watch_url
+from ..functions.text import col, squeeze, unavailable_reason, watch_url
 from .items import live
 
 JSON3 = "events array<struct<tStartMs: double, segs: array<struct<utf8: string>>>>"
@@ -74,3 +74,29 @@ def settled_entries(playlist: DataFrame, videos: DataFrame) -> DataFrame:
 
 def next_videos(videos: DataFrame) -> DataFrame:
     return videos.where(live() & (F.col("status") == "todo")).orderBy("addedAt", "id").limit(VIDEOS_PER_RUN)
+
+
+def outcome(track, raw, said) -> Column:
+    """(status, note) of a caption fetch: unavailable with its reason where the tool
+    said so, skipped without a track or without lines, else fetched."""
+    lost = unavailable_reason(said)
+    reason = lambda status, note: F.struct(F.lit(status).alias("status"), note.alias("note"))
+    return (
+        F.when(lost.isNotNull(), reason("unavailable", lost))
+        .when(col(track).isNull(), reason("skipped", F.lit("no captions")))
+        .when(F.size(caption_lines(raw)) == 0, reason("skipped", F.lit("empty captions")))
+        .otherwise(reason("fetched", F.lit(None).cast("string")))
+    )
+
+
+def absorb_fetches(videos: DataFrame, fetches: DataFrame) -> DataFrame:
+    """Videos after a run.  fetches: id, track (lang, kind), raw, said, channel,
+    duration; only videos that were to do change."""
+    out = fetches.select("id", F.struct("track", "raw", outcome("track", "raw", "said").alias("o"), "channel", "duration").alias("_f"))
+    rows = videos.join(out, "id", "left")
+    done = F.col("_f").isNotNull() & (F.col("status") == "todo")
+    parts = chunks(caption_lines("_f.raw"))
+    body = transcript("id", "title", "_f.channel", "_f.duration", F.col("_f.track.lang"), parts)
+    fetched = done & (F.col("_f.o.status") == "fetched")
+    new = {"status": F.when(done, F.col("_f.o.status")), "note": F.when(done, F.col("_f.o.note")), "lang": F.when(fetched, F.col("_f.track.lang")), "kind": F.when(fetched, F.col("_f.track.kind")), "transcript": F.when(fetched, body)}
+    return rows.select(*[F.coalesce(new[c], F.col(c)).alias(c) if c in new else F.col(c) for c in videos.columns])

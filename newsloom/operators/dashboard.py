@@ -74,7 +74,8 @@ def members_of(messages: DataFrame, id: str) -> DataFrame:
 
 def audit_page(audit: DataFrame, message: str | None = None) -> DataFrame:
     rows = audit if message is None else audit.where(F.col("messageId") == message)
-    return rows.orderBy(F.desc("at")).limit(AUDIT_PAGE) if message is None else rows.orderBy(F.desc("at"))
+    rows = rows.orderBy(F.desc("at"), "messageId", "target", "itemId", "error")
+    return rows.limit(AUDIT_PAGE) if message is None else rows
 
 
 def find_by_tags(messages: DataFrame, tags: list[str], limit: int = FOUND_MESSAGES) -> DataFrame:

@@ -30,11 +30,9 @@ def select_sources(sources: DataFrame, now_ms: int, kind: str = "telegram", limi
 
 def source_previews(sources: DataFrame, now_ms: int) -> DataFrame:
     """Enabled sources; those of the next run first, then by due time."""
-    types = [r[0] for r in sources.select(F.coalesce("type", F.lit("telegram"))).distinct().limit(16).collect()]
-    chosen = None
-    for kind in types or ["telegram"]:
-        part = select_sources(sources, now_ms, kind).select("id")
-        chosen = part if chosen is None else chosen.unionByName(part)
+    order = Window.partitionBy(F.coalesce("type", F.lit("telegram"))).orderBy("lastUpdated", "id")
+    due = sources.where(live() & (F.col("status") == "ok") & (due_at() <= now_ms))
+    chosen = due.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= SOURCES_PER_RUN).select("id")
     rows = sources.where(live() & (F.col("status") == "ok")).join(chosen.withColumn("next", F.lit(True)), "id", "left")
     rows = rows.select("id", F.coalesce("type", F.lit("telegram")).alias("type"), due_at().alias("dueAt"), F.coalesce("next", F.lit(False)).alias("next"), "lastCount", F.nullif("lastError", F.lit("")).alias("lastError"))
     return rows.orderBy(F.desc("next"), "dueAt", "id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import PHOTO_LIMIT, RENDERED_MEMBERS
+from ..config import PHOTO_LIMIT, RENDERED_MEMBERS, TEXT_LIMIT
 from ..functions.text import chat_id, col, escape_html, first_fit, hashtag_line, header, member_line, render_template, target_ids, trim, utf16_length
 from .items import live
 
@@ -55,8 +55,8 @@ def assemble(rows: DataFrame) -> DataFrame:
     """Adds text, method, photo, chatId, noPreview to message rows that carry
     target, messageTemplate and post.
 
-    Candidates in falling size (all members with hashtags, without, then fewer
-    members down to one) are built once; the first that fits is the text."""
+    Candidates fall in size: all members with hashtags, without, then fewer members
+    down to one; the first that fits is the text, else the last."""
     line = hashtag_line("location", "peoples", "tags", "title", "date", "ts")
     rows = rows.withColumn("_blocks", rendered_members()).withColumn("_tags", line).withColumn("_head", header("date", "country", "location"))
     built_in = trim(F.coalesce("messageTemplate", F.lit(""))) == ""
@@ -72,14 +72,15 @@ def assemble(rows: DataFrame) -> DataFrame:
         return F.when(built_in, plain).otherwise(render_template("messageTemplate", values))
 
     n = F.size("_blocks")
+    rows = rows.withColumn("_full", compose(n, F.col("_tags")))  # most fit as they are; only others try more
     fewer = F.when(n > 1, F.transform(F.sequence(n - 1, F.lit(1), F.lit(-1)), lambda k: compose(k, F.lit("")))).otherwise(F.array().cast("array<string>"))
-    text = first_fit(F.concat(F.array(compose(n, F.col("_tags")), compose(n, F.lit(""))), fewer))
+    text = F.when(utf16_length("_full") <= TEXT_LIMIT, F.col("_full")).otherwise(first_fit(F.concat(F.array(compose(n, F.lit(""))), fewer)))
     rows = rows.withColumn("text", text)
     has = lambda c: trim(F.coalesce(col(c), F.lit(""))) != ""
     photo = has("image") & (utf16_length("text") <= PHOTO_LIMIT)
     method = F.when(has("post.tgId"), "editMessageText").when(photo, "sendPhoto").otherwise("sendMessage")
     rows = rows.withColumn("method", method).withColumn("photo", F.when(F.col("method") == "sendPhoto", F.col("image")))
-    return rows.withColumn("chatId", chat_id("target")).withColumn("noPreview", has("title") | has("image")).drop("_blocks", "_tags", "_head")
+    return rows.withColumn("chatId", chat_id("target")).withColumn("noPreview", has("title") | has("image")).drop("_blocks", "_tags", "_head", "_full")
 
 
 def sends(messages: DataFrame, targets: DataFrame) -> DataFrame:
@@ -93,14 +94,17 @@ def sends(messages: DataFrame, targets: DataFrame) -> DataFrame:
 
 def request(rows: DataFrame, parse_mode: str = "HTML") -> DataFrame:
     """The JSON body of each send, by method."""
-    body = F.when(F.col("method") == "sendPhoto", F.to_json(F.struct(F.col("chatId").alias("chat_id"), "photo", F.col("text").alias("caption"), F.lit(parse_mode).alias("parse_mode"))))
-    body = body.when(F.col("method") == "sendMessage", F.to_json(F.struct(F.col("chatId").alias("chat_id"), "text", F.lit(parse_mode).alias("parse_mode"), F.col("noPreview").alias("disable_web_page_preview"))))
-    body = body.otherwise(F.to_json(F.struct(F.col("chatId").alias("chat_id"), message_number("post.tgId").alias("message_id"), "text", F.lit(parse_mode).alias("parse_mode"), F.col("noPreview").alias("disable_web_page_preview"))))
+    mode, quiet = F.lit(parse_mode).alias("parse_mode"), F.col("noPreview").alias("disable_web_page_preview")
+    chat = F.col("chatId").alias("chat_id")
+    edit = lambda number: F.to_json(F.struct(chat, number.alias("message_id"), "text", mode, quiet))
+    body = F.when(F.col("method") == "sendPhoto", F.to_json(F.struct(chat, "photo", F.col("text").alias("caption"), mode)))
+    body = body.when(F.col("method") == "sendMessage", F.to_json(F.struct(chat, "text", mode, quiet)))
+    body = body.when(message_number("post.tgId").isNotNull(), edit(message_number("post.tgId"))).otherwise(edit(F.col("post.tgId")))
     return rows.select("id", "target", "method", body.alias("body"))
 
 
 def message_number(c) -> Column:
-    """The id as a number where it is one, else null (the text then stays)."""
+    """The id as a number where it is one, else null (the request then keeps the text)."""
     return col(c).try_cast("long")
 
 
@@ -108,7 +112,7 @@ def envelope(body) -> Column:
     """A response's ok, description, message_id and retry_after; null when ok is
     no boolean."""
     got = F.from_json(col(body), "ok boolean, description string, result struct<message_id: bigint>, parameters struct<retry_after: double>")
-    return F.when(got["ok"].isNotNull(), F.struct(got["ok"].alias("ok"), got["description"].alias("description"), got["result.message_id"].alias("messageId"), got["parameters.retry_after"].alias("retryAfter")))
+    return F.when(got["ok"].isNotNull(), F.struct(got["ok"].alias("ok"), got["description"].alias("description"), got["result"]["message_id"].alias("messageId"), got["parameters"]["retry_after"].alias("retryAfter")))
 
 
 def retry_delay(retry_after, status) -> Column:
@@ -120,15 +124,17 @@ def pause(delay) -> Column:
 
 
 def explanation(status, description, chat) -> Column:
-    bad_token = F.concat(col(description), F.lit(": the bot token is invalid"))
-    no_chat = F.concat(col(description), F.lit(": no public channel "), col(chat), F.lit(", or a private one without the bot"))
+    bad_token = F.concat(col(description), F.lit(" (check the token of the bot)"))
+    no_chat = F.concat(col(description), F.lit(" (is "), col(chat), F.lit(" public, and does the bot belong to it?)"))
     return F.when(col(status).isin(401, 404), bad_token).when(col(description) == "Bad Request: chat not found", no_chat).otherwise(col(description))
 
 
 def published_state(messages: DataFrame, results: DataFrame, now_ms: int) -> DataFrame:
-    """Messages after a round of sends.  results: message, target, ok, tgId.
-    Posts are recorded; a message with a rejected send stays to be retried."""
-    done = results.groupBy("message").agg(
+    """Messages after a round of sends.  results: message, target, method, ok, tgId,
+    error, at; of several for one target the last counts.  Posts are recorded, an
+    edited one keeps its id; a message with a rejected send stays to be retried."""
+    last = results.groupBy("message", "target").agg(F.max(F.struct("at", "ok", "tgId", "method", "error")).alias("r")).select("message", "target", "r.*")
+    done = last.groupBy("message").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("ok"), F.struct("target", F.struct("tgId", F.lit(now_ms).alias("tgAt")))))).alias("new"),
         F.array_join(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.concat("target", F.lit(" ("), "method", F.lit("): "), "error")))), "; ").alias("rejected"),
     )

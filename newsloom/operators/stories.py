@@ -2,8 +2,10 @@
 
 Blocking is an inverted-index join: pairs of one day that share no term score 0
 and are distinct under any band whose lower threshold is at least 0, so only
-pairs that share a term are scored.  The sequential merge keeps one day's stories
-as state and streams the day's items past it."""
+pairs that share a term are scored; pairs above a threshold are found by prefixes
+of rare terms.  The sequential merge keeps one day's stories (identities and keys,
+no texts) as state and streams the day's items past it; member blocks are joined
+afterwards."""
 
 from __future__ import annotations
 
@@ -20,6 +22,9 @@ from ..functions.match import PARTS, match_key, match_score, message_tags
 from ..functions.text import col
 
 
+TITLE = 0.4  # likeness of titles from which prefixes of titles find a pair; below, entities must
+
+
 def with_key(items: DataFrame) -> DataFrame:
     return items.withColumn("key", match_key("title", "peoples", "properNames", "tags"))
 
@@ -43,6 +48,29 @@ def pair_scores(left: DataFrame, right: DataFrame, weights: dict[str, float] = W
     return shared.groupBy("date", "item", "story").agg((x + y + z).alias("score"))
 
 
+def candidate_pairs(left: DataFrame, right: DataFrame, least: float = DISTINCT_THRESHOLD, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """date, item, story, score of the pairs of one day that score above `least`.
+
+    Exact prefix blocking: such a pair has titles alike to TITLE or entities alike
+    to what the score then still lacks, and two sets that are alike to t share one
+    of the |x| - ceil(t |x|) + 1 rarest terms of each.  So a tag, or a word that all
+    of a day's reports have, pairs nothing by itself."""
+    need = {"titleTokens": TITLE, "entities": (least - weights["titleTokens"] * TITLE - weights["tags"]) / weights["entities"]}
+    if need["entities"] <= 0:  # tags and half a title would do: every shared term counts
+        return pair_scores(left, right, weights).where(F.col("score") > least)
+    terms = _terms(left.unionByName(right).select("id", "date", "key").distinct(), "id").where(F.col("part").isin(*need))
+    often = terms.groupBy("date", "part", "term").agg(F.count("*").alias("often"))
+    share = F.when(F.col("part") == "titleTokens", need["titleTokens"]).otherwise(need["entities"])
+    place = F.row_number().over(Window.partitionBy("id", "date", "part").orderBy("often", "term"))
+    kept = terms.join(often, ["date", "part", "term"]).withColumn("place", place)
+    kept = kept.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).select("id", "date", "part", "term")
+    side = lambda rows, name: kept.join(rows.select("id").distinct(), "id", "left_semi").withColumnRenamed("id", name)
+    pairs = side(left, "item").join(side(right, "story"), ["date", "part", "term"]).select("date", "item", "story").distinct()
+    a, b = left.select(F.col("id").alias("item"), F.col("key").alias("ka")), right.select(F.col("id").alias("story"), F.col("key").alias("kb"))
+    scored = pairs.join(a, "item").join(b, "story").select("date", "item", "story", match_score("ka", "kb", weights).alias("score"))
+    return scored.where(F.col("score") > least)
+
+
 def best_candidate(scores: DataFrame) -> DataFrame:
     """The best story of each item; ties go to the first by id."""
     order = Window.partitionBy("item").orderBy(F.desc("score"), "story")
@@ -93,24 +121,35 @@ class Story:
 
 
 class Day:
-    """One day's stories, with an index from term to stories."""
+    """One day's stories, with an index from term to stories.
+
+    Serial: every item sees what the ones before it did, and a pair inside the band
+    is settled at once.  Deferred: only stored members count as replays, and pairs
+    inside the band are settled after all other items (finish)."""
 
-    def __init__(self, band: tuple[float, float], weights: dict[str, float], verdicts, now_ms: int):
+    def __init__(self, band: tuple[float, float], weights: dict[str, float], now_ms: int, deferred: bool = False):
         self.stories: dict[str, Story] = {}
         self.index: dict[tuple[str, str], set[str]] = defaultdict(set)
         self.member_of: dict[str, str] = {}
         self.distinct, self.merge = band
-        self.weights, self.verdicts, self.now = weights, verdicts, now_ms
+        self.weights, self.now, self.deferred = weights, now_ms, deferred
         self.counts = {"created": 0, "merged": 0, "capped": 0, "adjudicated": 0}
+        self.waiting: list[tuple[dict, str]] = []
+        self.pairs: list[tuple] = []
+        self.steps = 0
 
     def enter(self, story: Story) -> None:
+        """A stored story; the first that has an item keeps it."""
         self.stories[story.id] = story
+        for member in story.members:
+            self.member_of.setdefault(member, story.id)
         for part, terms in story.sets.items():
             for term in terms:
                 self.index[part, term].add(story.id)
 
     def best(self, sets: dict[str, set]) -> tuple[str, float] | None:
-        """The best story; fresh ones come before stored ones on a tie."""
+        """The best story; on a tie touched ones come first, in the order of their
+        first touch, then stored ones."""
         shared: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
         for part, terms in sets.items():
             for term in terms:
@@ -128,22 +167,52 @@ class Day:
         return found and (found[1], found[2])
 
     def take(self, item: dict) -> str:
+        into = self.member_of.get(item["id"])
+        if into is not None:
+            return self.absorb(item, into, "replayed")
+        best = self.best({p: set(item["key"][p]) for p in PARTS})
+        if best is None or best[1] <= self.distinct:
+            return self.absorb(item, None, "created")
+        if best[1] >= self.merge:
+            return self.absorb(item, best[0], "merged")
+        self.counts["adjudicated"] += 1
+        if self.deferred:
+            self.waiting.append((item, best[0]))
+            return "waiting"
+        return self.settle(item, best[0])
+
+    def settle(self, item: dict, story: str) -> str:
+        """A pair inside the band: described, then merged where its verdict says so."""
+        self.pairs.append(self.describe(item, self.stories[story]))
+        same = story in item["same"]
+        return self.absorb(item, story if same else None, "adjudicated" if same else "created")
+
+    def finish(self) -> None:
+        for item, story in self.waiting:
+            self.pairs.append(self.describe(item, self.stories[story]))
+        for item, story in self.waiting:
+            same = story in item["same"]
+            self.absorb(item, story if same else None, "adjudicated" if same else "created")
+        self.waiting = []
+
+    def describe(self, item: dict, story: Story) -> tuple:
+        """What an adjudicator is told: no bodies; a title that is missing is its
+        sorted tokens."""
+        said = lambda title, sets: title if title is not None else " ".join(sorted(sets["titleTokens"]))
+        mine = {p: set(item["key"][p]) for p in PARTS}
+        return (
+            f"{item['id']}->{story.id}", item["id"], story.id,
+            said(item["title"], mine), sorted(mine["entities"]), item["message_tags"], item["location"],
+            said(story.last.get("title"), story.sets), sorted(story.sets["entities"]), story.tags, story.last.get("location"),
+        )
+
+    def absorb(self, item: dict, into: str | None, outcome: str) -> str:
         sets = {p: set(item["key"][p]) for p in PARTS}
-        into, outcome = self.member_of.get(item["id"]), "replayed"
-        if into is None:
-            outcome = "created"
-            best = self.best(sets)
-            if best:
-                if best[1] >= self.merge:
-                    into, outcome = best[0], "merged"
-                elif best[1] > self.distinct:
-                    self.counts["adjudicated"] += 1
-                    if self.verdicts.get(f"{item['id']}->{best[0]}"):
-                        into, outcome = best[0], "adjudicated"
         story = self.stories.get(into) if into else None
         if story is None:
-            story = Story(item["id"], len(self.stories), {p: set() for p in PARTS}, [], None)
-            self.stories[story.id] = story
+            # a repeated id starts its story anew, as a write of the same key does
+            self.forget(item["id"])
+            story = self.stories[item["id"]] = Story(item["id"], 0, {p: set() for p in PARTS}, [], None)
             self.counts["created"] += 1
         elif len(story.members) >= MAX_MEMBERS and item["id"] not in story.members:
             self.counts["capped"] += 1
@@ -160,31 +229,62 @@ class Day:
         story.members[item["id"]] = story.members.get(item["id"], self.now)
         story.tags = list(dict.fromkeys([*item["message_tags"], *story.tags]))
         story.image = story.image if story.image is not None else item["image"]
-        story.last, story.touched = item, True
-        self.member_of[item["id"]] = story.id
+        story.last = item
+        if not story.touched:
+            self.steps += 1
+            story.touched, story.order = True, self.steps
+        if not self.deferred:
+            self.member_of[item["id"]] = story.id
         return outcome
 
-
-_FOLDED = "date string, id string, memberIds array<string>, memberCount long, title string, country string, location string, peoples string, tags array<string>, image string, keyEntities array<string>, keyTitle array<string>, keyTags array<string>, ts long, n_created long, n_merged long, n_capped long, n_adjudicated long"
-
-
-def fold_stories(items: DataFrame, now_ms: int, verdicts: dict[str, bool] | None = None, band: tuple[float, float] = (DISTINCT_THRESHOLD, MERGE_THRESHOLD), weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """The serial merge: each item of a day, by (seq, id), joins the best story or
-    starts one; a pair inside the band merges where its verdict says so.
-
-    Days are independent and run in parallel; a day's rows stream past its state
-    (its stories), so the rows themselves are never held together."""
-    rows = with_key(items.dropDuplicates(["id"])).withColumn("message_tags", message_tags("category", "tags"))
-    rows = rows.select("date", "seq", "id", "key", "message_tags", "image", "title", "country", "location", "peoples")
-    said = dict(verdicts or {})
+    def forget(self, id: str) -> None:
+        old = self.stories.pop(id, None)
+        for part, terms in (old.sets if old else {}).items():
+            for term in terms:
+                self.index[part, term].discard(id)
+
+
+_ROW = "kind string, date string, id string, stored boolean, memberIds array<string>, memberCount long, title string, country string, location string, peoples string, tags array<string>, image string, keyEntities array<string>, keyTitle array<string>, keyTags array<string>, ts long, n_created long, n_merged long, n_capped long, n_adjudicated long, item string, itemTitle string, itemEntities array<string>, itemTags array<string>, itemLocation string"
+_STATE = ("id", "date", "keyEntities", "keyTitle", "keyTags", "memberIds", "tags", "image", "title", "country", "location", "peoples")
+
+
+def fold(items: DataFrame, now_ms: int, stored: DataFrame | None = None, verdicts: DataFrame | dict[str, bool] | None = None, band: tuple[float, float] = (DISTINCT_THRESHOLD, MERGE_THRESHOLD), weights: dict[str, float] = WEIGHTS, deferred: bool = False) -> DataFrame:
+    """The sequential merge: each item of a day, by (seq, id), joins the best story or
+    starts one.  Rows of kind story are the stories touched, of kind pair the pairs
+    inside the band as an adjudicator is told them (id item->story), of kind count a
+    day without either; counts stand in a day's first row.
+
+    stored: stories of earlier batches (id, date, key and descriptive fields,
+    memberIds).  verdicts: table (or dict) of pair id and whether it is one story; a
+    pair without one splits.  Days are independent and run in parallel; a day's rows
+    stream past its state, so the rows themselves are never held together.  The limit
+    is one day's stories: their keys must fit a task."""
+    spark = items.sparkSession
+    if not isinstance(verdicts, DataFrame):
+        verdicts = spark.createDataFrame(list((verdicts or {}).items()), "id string, same boolean")
+    said = verdicts.where("same").select(F.split("id", "->", 2).alias("p")).groupBy(F.col("p")[0].alias("id")).agg(F.collect_set(F.col("p")[1]).alias("same"))
+    none = F.array().cast("array<string>")
+    rows = with_key(items).withColumn("message_tags", message_tags("category", "tags")).join(said, "id", "left")
+    rows = rows.select("date", F.lit(1).alias("side"), F.col("seq").cast("long").alias("seq"), "id", "key.*", "message_tags", "image", "title", "country", "location", "peoples", F.coalesce("same", none).alias("same"), none.alias("members"))
+    if stored is not None:
+        old = stored.where(F.col("date") != "").select(*_STATE)
+        old = old.select("date", F.lit(0).alias("side"), F.lit(0).cast("long").alias("seq"), "id", *[F.coalesce(k, none).alias(p) for k, p in zip(("keyEntities", "keyTitle", "keyTags"), PARTS)], F.coalesce("tags", none).alias("message_tags"), "image", "title", "country", "location", "peoples", none.alias("same"), F.coalesce("memberIds", none).alias("members"))
+        rows = old.unionByName(rows)
+    names = [f.split()[0] for f in _ROW.split(", ")]
 
     def close(date: str, day: Day) -> pd.DataFrame:
+        day.finish()
         out = []
-        for k, s in enumerate(day.stories.values()):
-            c = day.counts if k == 0 else dict.fromkeys(day.counts, 0)  # a day's counts stand in its first row
-            key = [sorted(s.sets[p]) for p in PARTS]
-            out.append((date, s.id, list(s.members), len(s.members), *(s.last.get(f) for f in ("title", "country", "location", "peoples")), s.tags, s.image, *key, now_ms, c["created"], c["merged"], c["capped"], c["adjudicated"]))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in _FOLDED.split(", ")])
+        for s in day.stories.values():
+            if s.touched:
+                out.append({"kind": "story", "id": s.id, "stored": s.stored, "memberIds": list(s.members), "memberCount": len(s.members), "tags": s.tags, "image": s.image, "ts": now_ms, **{f: s.last.get(f) for f in ("title", "country", "location", "peoples")}, **{k: sorted(s.sets[p]) for k, p in zip(("keyEntities", "keyTitle", "keyTags"), PARTS)}})
+        for pair, item, story, title, entities, tags, location, *other in day.pairs:
+            out.append({"kind": "pair", "id": pair, "item": item, "itemTitle": title, "itemEntities": entities, "itemTags": tags, "itemLocation": location, "title": other[0], "keyEntities": other[1], "tags": other[2], "location": other[3]})
+        out = out or [{"kind": "count"}]
+        for k, row in enumerate(out):
+            row |= {"date": date, **{f"n_{c}": n if k == 0 else 0 for c, n in day.counts.items()}}
+        frame = pd.DataFrame([[row.get(c) for c in names] for row in out], columns=names, dtype=object)
+        return frame.astype({"memberCount": "Int64", "ts": "Int64", "stored": "boolean"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         date, day = None, None
@@ -193,12 +293,45 @@ def fold_stories(items: DataFrame, now_ms: int, verdicts: dict[str, bool] | None
                 if day is None or row["date"] != date:
                     if day is not None:
                         yield close(date, day)
-                    date, day = row["date"], Day(band, weights, said, now_ms)
-                row = {k: None if v is None or v is pd.NA else v for k, v in row.items()}
-                row["key"] = {p: list(row["key"][p]) for p in PARTS}
-                row["message_tags"] = list(row["message_tags"])
-                day.take(row)
+                    date, day = row["date"], Day(band, weights, now_ms, deferred)
+                row = {k: None if v is None or v is pd.NA or v != v else v for k, v in row.items() if k not in (*PARTS, "message_tags", "same", "members")} | {k: list(row[k]) for k in (*PARTS, "message_tags", "same", "members")}
+                if row["side"] == 0:
+                    day.enter(Story(row["id"], len(day.stories), {p: set(row[p]) for p in PARTS}, row["message_tags"], row["image"], dict.fromkeys(row["members"], now_ms), row, stored=True))
+                else:
+                    day.take(row | {"key": {p: row[p] for p in PARTS}})
         if day is not None:
             yield close(date, day)
 
-    return rows.repartition("date").sortWithinPartitions("date", "seq", "id").mapInPandas(run, _FOLDED)
+    return rows.repartition("date").sortWithinPartitions("date", "side", "seq", "id").mapInPandas(run, _ROW)
+
+
+def fold_stories(items: DataFrame, now_ms: int, verdicts: DataFrame | dict[str, bool] | None = None, band: tuple[float, float] = (DISTINCT_THRESHOLD, MERGE_THRESHOLD), weights: dict[str, float] = WEIGHTS, stored: DataFrame | None = None, deferred: bool = False) -> DataFrame:
+    """The stories that a batch touches (see fold)."""
+    return fold(items, now_ms, stored, verdicts, band, weights, deferred).where("kind = 'story'").drop("kind", "item", "itemTitle", "itemEntities", "itemTags", "itemLocation")
+
+
+def band_pairs(folded: DataFrame) -> DataFrame:
+    """The pairs to adjudicate of a fold, both sides described."""
+    both = [F.col(c).alias(n) for c, n in (("title", "storyTitle"), ("keyEntities", "storyEntities"), ("tags", "storyTags"), ("location", "storyLocation"))]
+    return folded.where("kind = 'pair'").select("id", "date", "item", "itemTitle", "itemEntities", "itemTags", "itemLocation", F.substring_index("id", "->", -1).alias("story"), *both)
+
+
+def merge_writes(folded: DataFrame, items: DataFrame, stored: DataFrame) -> DataFrame:
+    """The messages that a fold writes: member blocks (of a batch's item the new text,
+    of a known member the time it was added), and status topublish where what readers
+    see has changed; `republish` tells."""
+    now = folded.where("kind = 'story'").drop("kind", "item", "itemTitle", "itemEntities", "itemTags", "itemLocation")
+    of = now.select("id", "ts", F.posexplode("memberIds").alias("pos", "member"))
+    fresh = items.groupBy(F.col("id").alias("member")).agg(F.max_by(F.struct("summary", "links"), "seq").alias("new"))
+    known = stored.select("id", F.explode("members").alias("member", "old"))
+    both = of.join(fresh, "member", "left").join(known, ["id", "member"], "left")
+    channel, at = F.substring_index("member", "/", 1), F.coalesce("old.ts", "ts")
+    block = F.when(F.col("new").isNotNull(), F.struct(F.col("new.summary").alias("summary"), F.col("new.links").alias("links"), channel.alias("channel"), at.alias("ts"))).otherwise(F.struct("old.summary", "old.links", "old.channel", "old.ts"))
+    blocks = both.select("id", F.struct("pos", "member", block.alias("block")).alias("e")).groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("e"))  # at most MAX_MEMBERS each
+    members = F.map_from_entries(F.transform("e", lambda x: F.struct(x["member"], x["block"])))
+    rows = now.join(blocks.select("id", members.alias("members")), "id")
+    content = ["members", "title", "country", "location", "peoples", "tags", "image"]
+    old = stored.select("id", F.col("status").alias("_status"), F.struct(*content).alias("_old"))
+    rows = rows.join(old, "id", "left").withColumn("_new", F.struct(*content))
+    rows = rows.withColumn("republish", publish_changed("_new", "_old"))
+    return rows.withColumn("status", F.when(F.col("republish"), "topublish").otherwise(F.col("_status"))).drop("_new", "_old", "_status")

@@ -75,7 +75,7 @@ def failure_audit(items: DataFrame, outcomes: DataFrame, now_ms: int) -> DataFra
 
 def reclaim(items: DataFrame, now_ms: int) -> DataFrame:
     """A running item past its lease is one failed attempt."""
-    lost = expired_leases(items, now_ms).select("id", F.lit(False).alias("ok"), F.lit("lease expired: its drain died or timed out").alias("error"), F.lit(None).cast("string").alias("cause"))
+    lost = expired_leases(items, now_ms).select("id", F.lit(False).alias("ok"), F.lit("the lease ran out before the work was finished").alias("error"), F.lit(None).cast("string").alias("cause"))
     return settle(items, lost, now_ms)
 
 

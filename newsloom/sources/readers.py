@@ -10,13 +10,29 @@ from ..functions.text import trim
 
 
 def labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(a, b, label) of JSON lines; blank lines are skipped, a bad line is an
-    error that quotes it."""
-    lines = spark.read.text(path).where(trim("value") != "")
+    """(a, b, label) of JSON lines; blank lines are skipped, a bad line is an error
+    that quotes it with its number (from 1)."""
+    lines = spark.read.text(path)
     row = F.from_json("value", "a string, b string, label string")
     good = row["a"].isNotNull() & row["b"].isNotNull() & row["label"].isin("same", "different")
-    checked = F.when(good, row).otherwise(F.raise_error(F.concat(F.lit("not a labelled pair: "), F.left(F.col("value"), F.lit(200)))).cast("struct<a: string, b: string, label: string>"))
-    return lines.select(checked.alias("p")).select("p.*")
+    lines = lines.where(trim("value") != "").select("value", row.alias("p"), good.alias("good"))
+    bad = lines.where("not coalesce(good, false)").select(F.min("value").alias("v")).first().v
+    if bad is not None:
+        raise ValueError(f"line {_line_number(spark, path, bad)} is not a labelled pair: {bad[:200]}")
+    return lines.select("p.*")
+
+
+def _line_number(spark: SparkSession, path: str, line: str) -> int:
+    """The first place of a line, counted over the files in order of their names;
+    only read when a line is bad, file by file through the reader's own offsets."""
+    whole = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("f"), F.split("value", "\r?\n").alias("lines"))
+    before = whole.select("f", F.array_position("lines", line).alias("at"), F.size("lines").alias("n")).orderBy("f")
+    total = 0
+    for r in before.toLocalIterator():
+        if r.at:
+            return total + r.at
+        total += r.n
+    return total
 
 
 def calibration_items(spark: SparkSession, path: str) -> DataFrame:
@@ -68,6 +84,40 @@ class _ChannelReader(DataSourceReader):
             yield partition.value, str(id), body, posted
 
 
+class Playlist(DataSource):
+    """format("playlist"): the videos of a playlist, page by page, through an injected
+    reader.  Option playlist: its id; option reader: module:function(playlist, token)
+    that returns ([(videoId, title)], next token or None)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "playlist"
+
+    def schema(self) -> str:
+        return "videoId string, title string, pos long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _PlaylistReader(self.options)
+
+
+class _PlaylistReader(DataSourceReader):
+    def __init__(self, options):
+        self.options = dict(options)
+
+    def read(self, partition):
+        import importlib
+
+        module, _, function = self.options["reader"].partition(":")
+        page, token, pos = getattr(importlib.import_module(module), function), None, 0
+        while True:
+            found, token = page(self.options["playlist"], token)
+            for video, title in found:
+                yield video, title, pos
+                pos += 1
+            if not token:
+                return
+
+
 def emulated_posts(spark: SparkSession, now_ms: int, bodies: list[str], n: int = 1, seed: int = 0) -> DataFrame:
     """Synthetic posts that pick one of the bodies each."""
     texts = F.array(*[F.lit(b) for b in bodies])
