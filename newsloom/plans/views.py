@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW_MS = 1_706_572_800_000  # 2024-01-30T00:00:00Z
+SCRAPE_MS = 1_704_412_800_000  # 2024-01-05T00:00:00Z, when some posts are old and some are not
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
