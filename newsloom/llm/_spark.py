@@ -59,7 +59,10 @@ class Scratch:
     """Written tables in the shared folder.  They cut lineage, survive lost
     executors, and are dropped as soon as later tables replace them."""
 
+    opened: list["Scratch"] = []  # by this driver, not yet released
+
     def __init__(self, spark: SparkSession, label: str):
+        Scratch.opened.append(self)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n, self.made = 0, []
 
@@ -83,6 +86,12 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         self.remove(*[path for df in frames if (path := getattr(df, "_newsloom_path", None))])
 
+    def release_others(self) -> None:
+        """Removes what all others hold, once their results are written or not wanted."""
+        for other in [x for x in Scratch.opened if x is not self]:
+            other.remove(other.root)
+            Scratch.opened.remove(other)
+
     def drop_others(self, *paths: str) -> None:
         """Removes all that was written so far but for these paths."""
         self.remove(*[p for p in self.made if p not in paths])

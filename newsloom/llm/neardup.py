@@ -415,12 +415,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         groups = scratch.keep(groups.join(ids, "component", "left").select("node", F.col("least").alias("component")), "named")
     of = rep.join(groups.toDF("rep", "component"), "rep", "left").select("digest", "copies", F.coalesce("component", F.expr("if(stray, null, rep)")).alias("component_id"))
     alone = prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = join_hot(full, scratch.keep(of, "of"), "digest", "copies").select("doc_id", "n_shingles", "component_id")
+    of = scratch.keep(of, "of")
+    held = [prints, of]
+    out = join_hot(full, of, "digest", "copies").select("doc_id", "n_shingles", "component_id")
     if strays:
         out = scratch.keep(out, "rows")
+        held.append(out)
         least = out.where("doc_id is null").agg(F.min("component_id")).first()[0]
         out = out.withColumn("component_id", F.when(F.col("doc_id").isNull(), F.coalesce("component_id", F.lit(least).cast("long"))).otherwise(F.col("component_id")))
     out = out.unionByName(alone)
+    scratch.drop_others(*[df._newsloom_path for df in held])
     return out.withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
