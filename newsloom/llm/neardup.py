@@ -385,6 +385,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch.drop(bands, leaders)
 
     pairs = shared.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    pairs = scratch.keep(pairs, "pairs")
     pruned = scratch.keep(_prune(pairs, classes), "pruned")
     links = _linked(scratch, docs, pruned, strays)
 
@@ -429,7 +430,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
 
 
 def _linked(scratch: Scratch, docs: DataFrame, pairs: DataFrame, strays: bool) -> DataFrame:
@@ -444,9 +445,14 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     group; of rows that repeat an id the one with the longest text stays (in
     code points), of equally long ones the one with the smallest xxhash64 of the
     text.  Rows without an id stay: they cannot be told apart."""
-    names = docs.columns
+    names, scratch = docs.columns, Scratch(spark, "keepone")
     plain, doc_id, text = numbered(docs), f"_c{place(docs, 'doc_id')}", f"_c{place(docs, 'text')}"
-    kept = near_duplicates(spark, docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
+    said = scratch.keep(near_duplicates(spark, docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "said")
+    # only rows that may go, or whose id repeats, are shuffled; the others stay as they are
+    key = F.col(doc_id).cast("long")
+    touched = may_be_in(bitmap(said.where("n > 1 or not kept"), F.xxhash64("doc_id")), F.xxhash64(key))
     order = F.struct(-F.coalesce(F.length(text), F.lit(-1)), F.xxhash64(text))
-    with_id = plain.where(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").groupBy(F.col(doc_id).alias("id")).agg(F.min_by(F.struct(*plain.columns), order).alias("row")).select("row.*")
-    return with_id.unionByName(plain.where(F.col(doc_id).isNull())).toDF(*names)
+    kept = said.where("kept").select(F.col("doc_id").alias("_id"))
+    judged = plain.where(key.isNotNull() & touched).withColumn("_id", key).join(kept, "_id", "left_semi")
+    judged = judged.groupBy("_id").agg(F.min_by(F.struct(*plain.columns), order).alias("row")).select("row.*")
+    return judged.unionByName(plain.where(key.isNull() | ~touched)).toDF(*names)
