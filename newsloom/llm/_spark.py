@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,9 +115,9 @@ def has_bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 def may_be_in(shared: Broadcast, column: Column) -> Column:
     """Whether a hash has its bit; only the hash travels to Python."""
 
-    @F.pandas_udf("boolean")
-    def test(at: pd.Series) -> pd.Series:
-        return pd.Series(has_bit(shared.value, at.to_numpy()))
+    @F.arrow_udf("boolean")
+    def test(at: pa.Array) -> pa.Array:
+        return pa.array(has_bit(shared.value, at.to_numpy(zero_copy_only=False)))
 
     return test(F.pmod(column, F.lit(FILTER_BITS)))
 

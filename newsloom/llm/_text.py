@@ -14,8 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Texts are handled in runs of about this many bytes; one text is never cut.
-SLICE_BYTES = 2 << 20
+#: Texts are handled in runs of about this many bytes (a run takes some 60 times
+#: its size in a worker); one text is never cut.
+SLICE_BYTES = 1 << 20
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _BASE = 0xD1342543DE82EF95
