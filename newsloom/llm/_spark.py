@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILTER_BITS = 1 << 26  # of a bitmap that spares rows a shuffle (8 MB, whatever the data)
+BATCH_BYTES = 4 << 20  # of an Arrow batch: ten thousand long texts would fill a worker
 HOT = 500  # keys that join_hot broadcasts at most
 
 
@@ -39,6 +40,11 @@ def over_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder.  The session's Arrow batches are bounded in bytes, unless
+    it has a bound of its own."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(bound):
+        spark.conf.set(bound, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
