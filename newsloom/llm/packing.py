@@ -34,7 +34,7 @@ from ._text import BLANK_WORDS, Words, slices
 CAPACITY = 2048
 SEPARATOR = 0
 FIT_STEPS = 60
-_CACHE = 3_000_000  # ids held for words seen before; beyond it the memory starts anew
+_CACHE = 3_000_000  # ids a task holds for words seen before; beyond it the memory starts anew
 
 
 def _byte_characters() -> dict[str, int]:
@@ -171,6 +171,7 @@ def pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
                         length.append(e - s)
                         crc.append(zlib.crc32(ids[s:e]))
                 yield record(_PIECE, batch.column(0).take(pa.array(doc, pa.int64())), piece, start, length, crc)
+        coder.forget()  # workers live on and run other stages
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
