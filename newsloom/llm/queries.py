@@ -3,12 +3,13 @@ its whole table."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import pick, table
+from ._spark import over_batches, pick, record, table
 
 
 def op1_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +104,47 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lexical
+
+    return lexical.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import periodic
+
+    return periodic.report(_with_planted_runs(table(spark, sf_dir, "documents")))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents; those whose crc32 of the id ends in 0 repeat a few of their words
+    from some word on."""
+    import pyarrow as pa
+
+    schema = [("doc_id", pa.int64()), ("text", pa.string())]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(1).to_pylist()
+        for k, doc_id in enumerate(batch.column(0).to_pylist()):
+            h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+            words = (texts[k] or "").encode().split() if h % 10 == 0 else []
+            if words:
+                n, g = len(words), h // 10
+                a = g % n
+                period = words[a : a + 1 + (n - a) // (3 + g % 8)]
+                texts[k] = b" ".join(words[:a] + (period * (n // len(period) + 1))[: n - a]).decode()
+        return record(schema, batch.column(0), texts)
+
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    return over_batches(rows, run, "doc_id long, text string")
+
+
 def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op1 finds by its fixed patterns alone, which SQL can say too."""
     from . import pii
@@ -227,8 +269,22 @@ SELECT c.rid AS doc_id, coalesce(n.n, 0) AS n_shingles, least(c.rid, coalesce(m.
 FROM c LEFT JOIN n ON n.rid = c.rid LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = c.rid"""
 
 
+_SEARCH_SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_ALNUM}) AS words FROM documents),
+t AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(words) AS term FROM d) GROUP BY ALL),
+g AS (SELECT count(*) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_terms FROM d WHERE len(words) > 0),
+i AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_ALNUM}) AS words FROM benchmark),
+q AS (SELECT item, term, count(*) AS times FROM (SELECT item, unnest(words) AS term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM t, g WHERE term IN (SELECT term FROM q) GROUP BY term, n_docs),
+m AS (SELECT rid, doc_id, 75 + (25 * len(words) * n_docs) // n_terms AS m FROM d, g WHERE len(words) > 0),
+s AS (SELECT item, rid, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY ALL),
+r AS (SELECT item, rid, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s JOIN m USING (rid) WHERE score > 0 QUALIFY rank <= 20)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r JOIN i USING (item) JOIN m USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_suffix_repetition": _QUALITY_SQL, "op3_warc_boundary_chain": _WARC_SQL, "op6_chat_schema_fingerprint": _CHAT_SQL,
-        "op8_suffix_array_decontamination": _DECONTAM_SQL, "op10_minhash_bayes": _NEARDUP_SQL, "pii_base_spans": _PII_SQL,
+        "op8_suffix_array_decontamination": _DECONTAM_SQL, "op10_minhash_bayes": _NEARDUP_SQL, "op12_lexical_search": _SEARCH_SQL, "pii_base_spans": _PII_SQL,
     }
