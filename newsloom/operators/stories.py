@@ -136,8 +136,19 @@ class Day:
         self.counts = {"created": 0, "merged": 0, "capped": 0, "adjudicated": 0}
         self.waiting: list[tuple[dict, str]] = []
         self.pairs: list[tuple] = []
+        self.changed: set[tuple[str, str]] = set()  # terms whose stories are others than before
         self.steps = 0
 
+    # A subclass may bring these in as they are asked for.
+    def ids_of(self, part: str, term: str) -> set[str]:
+        return self.index[part, term]
+
+    def story(self, id: str) -> Story | None:
+        return self.stories.get(id)
+
+    def home(self, item: str) -> str | None:
+        return self.member_of.get(item)
+
     def enter(self, story: Story) -> None:
         """A stored story; the first that has an item keeps it."""
         self.stories[story.id] = story
@@ -153,21 +164,21 @@ class Day:
         shared: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
         for part, terms in sets.items():
             for term in terms:
-                for story in self.index.get((part, term), ()):
+                for story in self.ids_of(part, term):
                     shared[story][part] += 1
         found = None
         for name, parts in shared.items():
-            story, score = self.stories[name], 0.0
+            story, score = self.story(name), 0.0
             for p in PARTS:
                 union = len(sets[p]) + len(story.sets[p]) - parts.get(p, 0)
                 score += self.weights[p] * (parts.get(p, 0) / union if union else 0.0)
-            rank = (-score, not story.touched, story.order)
+            rank = (-score, not story.touched, story.order, name)
             if found is None or rank < found[0]:
                 found = (rank, name, score)
         return found and (found[1], found[2])
 
     def take(self, item: dict) -> str:
-        into = self.member_of.get(item["id"])
+        into = self.home(item["id"])
         if into is not None:
             return self.absorb(item, into, "replayed")
         best = self.best({p: set(item["key"][p]) for p in PARTS})
@@ -183,13 +194,13 @@ class Day:
 
     def settle(self, item: dict, story: str) -> str:
         """A pair inside the band: described, then merged where its verdict says so."""
-        self.pairs.append(self.describe(item, self.stories[story]))
+        self.pairs.append(self.describe(item, self.story(story)))
         same = story in item["same"]
         return self.absorb(item, story if same else None, "adjudicated" if same else "created")
 
     def finish(self) -> None:
         for item, story in self.waiting:
-            self.pairs.append(self.describe(item, self.stories[story]))
+            self.pairs.append(self.describe(item, self.story(story)))
         for item, story in self.waiting:
             same = story in item["same"]
             self.absorb(item, story if same else None, "adjudicated" if same else "created")
@@ -208,7 +219,7 @@ class Day:
 
     def absorb(self, item: dict, into: str | None, outcome: str) -> str:
         sets = {p: set(item["key"][p]) for p in PARTS}
-        story = self.stories.get(into) if into else None
+        story = self.story(into) if into else None
         if story is None:
             # a repeated id starts its story anew, as a write of the same key does
             self.forget(item["id"])
@@ -222,9 +233,10 @@ class Day:
         for part in PARTS:
             grown = set(sorted(story.sets[part] | sets[part])[:KEY_CAP])
             for term in story.sets[part] - grown:
-                self.index[part, term].discard(story.id)
+                self.ids_of(part, term).discard(story.id)
             for term in grown - story.sets[part]:
-                self.index[part, term].add(story.id)
+                self.ids_of(part, term).add(story.id)
+            self.changed |= {(part, term) for term in story.sets[part] ^ grown}
             story.sets[part] = grown
         story.members[item["id"]] = story.members.get(item["id"], self.now)
         story.tags = list(dict.fromkeys([*item["message_tags"], *story.tags]))
@@ -238,16 +250,38 @@ class Day:
         return outcome
 
     def forget(self, id: str) -> None:
-        old = self.stories.pop(id, None)
-        for part, terms in (old.sets if old else {}).items():
+        old = self.story(id)
+        if old is None:
+            return
+        del self.stories[id]
+        for part, terms in old.sets.items():
             for term in terms:
-                self.index[part, term].discard(id)
+                self.ids_of(part, term).discard(id)
+                self.changed.add((part, term))
 
 
 _ROW = "kind string, date string, id string, stored boolean, memberIds array<string>, memberCount long, title string, country string, location string, peoples string, tags array<string>, image string, keyEntities array<string>, keyTitle array<string>, keyTags array<string>, ts long, n_created long, n_merged long, n_capped long, n_adjudicated long, item string, itemTitle string, itemEntities array<string>, itemTags array<string>, itemLocation string"
 _STATE = ("id", "date", "keyEntities", "keyTitle", "keyTags", "memberIds", "tags", "image", "title", "country", "location", "peoples")
 
 
+def day_rows(date: str, day: Day, now_ms: int, finish: bool = True, more: list[dict] | None = None, names: list[str] | None = None) -> pd.DataFrame:
+    """The touched stories and described pairs of a day as rows of fold()."""
+    if finish:
+        day.finish()
+    out = list(more or [])
+    for s in day.stories.values():
+        if s.touched:
+            out.append({"kind": "story", "id": s.id, "stored": s.stored, "memberIds": list(s.members), "memberCount": len(s.members), "tags": s.tags, "image": s.image, "ts": now_ms, **{f: s.last.get(f) for f in ("title", "country", "location", "peoples")}, **{k: sorted(s.sets[p]) for k, p in zip(("keyEntities", "keyTitle", "keyTags"), PARTS)}})
+    for pair, item, story, title, entities, tags, location, *other in day.pairs:
+        out.append({"kind": "pair", "id": pair, "item": item, "itemTitle": title, "itemEntities": entities, "itemTags": tags, "itemLocation": location, "title": other[0], "keyEntities": other[1], "tags": other[2], "location": other[3]})
+    out = out or [{"kind": "count"}]
+    for k, row in enumerate(out):
+        row |= {"date": date, **{f"n_{c}": n if k == 0 else 0 for c, n in day.counts.items()}}
+    names = names or [f.split()[0] for f in _ROW.split(", ")]
+    frame = pd.DataFrame([[row.get(c) for c in names] for row in out], columns=names, dtype=object)
+    return frame.astype({"memberCount": "Int64", "ts": "Int64", "stored": "boolean"})
+
+
 def fold(items: DataFrame, now_ms: int, stored: DataFrame | None = None, verdicts: DataFrame | dict[str, bool] | None = None, band: tuple[float, float] = (DISTINCT_THRESHOLD, MERGE_THRESHOLD), weights: dict[str, float] = WEIGHTS, deferred: bool = False) -> DataFrame:
     """The sequential merge: each item of a day, by (seq, id), joins the best story or
     starts one.  Rows of kind story are the stories touched, of kind pair the pairs
@@ -270,29 +304,13 @@ def fold(items: DataFrame, now_ms: int, stored: DataFrame | None = None, verdict
         old = stored.where(F.col("date") != "").select(*_STATE)
         old = old.select("date", F.lit(0).alias("side"), F.lit(0).cast("long").alias("seq"), "id", *[F.coalesce(k, none).alias(p) for k, p in zip(("keyEntities", "keyTitle", "keyTags"), PARTS)], F.coalesce("tags", none).alias("message_tags"), "image", "title", "country", "location", "peoples", none.alias("same"), F.coalesce("memberIds", none).alias("members"))
         rows = old.unionByName(rows)
-    names = [f.split()[0] for f in _ROW.split(", ")]
-
-    def close(date: str, day: Day) -> pd.DataFrame:
-        day.finish()
-        out = []
-        for s in day.stories.values():
-            if s.touched:
-                out.append({"kind": "story", "id": s.id, "stored": s.stored, "memberIds": list(s.members), "memberCount": len(s.members), "tags": s.tags, "image": s.image, "ts": now_ms, **{f: s.last.get(f) for f in ("title", "country", "location", "peoples")}, **{k: sorted(s.sets[p]) for k, p in zip(("keyEntities", "keyTitle", "keyTags"), PARTS)}})
-        for pair, item, story, title, entities, tags, location, *other in day.pairs:
-            out.append({"kind": "pair", "id": pair, "item": item, "itemTitle": title, "itemEntities": entities, "itemTags": tags, "itemLocation": location, "title": other[0], "keyEntities": other[1], "tags": other[2], "location": other[3]})
-        out = out or [{"kind": "count"}]
-        for k, row in enumerate(out):
-            row |= {"date": date, **{f"n_{c}": n if k == 0 else 0 for c, n in day.counts.items()}}
-        frame = pd.DataFrame([[row.get(c) for c in names] for row in out], columns=names, dtype=object)
-        return frame.astype({"memberCount": "Int64", "ts": "Int64", "stored": "boolean"})
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         date, day = None, None
         for batch in batches:
             for row in batch.to_dict("records"):
                 if day is None or row["date"] != date:
                     if day is not None:
-                        yield close(date, day)
+                        yield day_rows(date, day, now_ms)
                     date, day = row["date"], Day(band, weights, now_ms, deferred)
                 row = {k: None if v is None or v is pd.NA or v != v else v for k, v in row.items() if k not in (*PARTS, "message_tags", "same", "members")} | {k: list(row[k]) for k in (*PARTS, "message_tags", "same", "members")}
                 if row["side"] == 0:
@@ -300,7 +318,7 @@ def fold(items: DataFrame, now_ms: int, stored: DataFrame | None = None, verdict
                 else:
                     day.take(row | {"key": {p: row[p] for p in PARTS}})
         if day is not None:
-            yield close(date, day)
+            yield day_rows(date, day, now_ms)
 
     return rows.repartition("date").sortWithinPartitions("date", "side", "seq", "id").mapInPandas(run, _ROW)
 

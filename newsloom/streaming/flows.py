@@ -1,18 +1,14 @@
-"""Structured Streaming: settle windows, hourly counters, the story merge."""
+"""Structured Streaming: settle windows, hourly counters, idempotent batch writes."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..config import DAY_MS, DISTINCT_THRESHOLD, HOUR_MS, MERGE_THRESHOLD, SETTLE_MS, WEIGHTS
-from ..functions.match import PARTS, match_key, message_tags
-from ..operators.stories import Day, Story
+from ..config import HOUR_MS, SETTLE_MS
 
 
 def settled_publishes(changes: DataFrame, lateness: str = "10 minutes") -> DataFrame:
@@ -38,54 +34,6 @@ def late_split(items: DataFrame, now_ms: int, max_age_ms: int) -> tuple[DataFram
     return items.where(~late), facts.select("hour", F.lit("ItemsDropped").alias("name"), F.lit("obsolete").alias("by"), "value")
 
 
-class _Merge(StatefulProcessor):
-    """The story merge of one day: a map from story to its sets and members."""
-
-    def __init__(self, now_ms: int, band: tuple[float, float], keep_ms: int):
-        self.now_ms, self.band, self.keep_ms = now_ms, band, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        value = "ord int, entities array<string>, titleTokens array<string>, tags array<string>, labels array<string>, image string, members array<string>"
-        self.stories = handle.getMapState("stories", "id string", value, ttlDurationMs=self.keep_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        day, size = Day(self.band, WEIGHTS, self.now_ms), 0
-        for (name,), (order, e, t, g, labels, image, members) in sorted(self.stories.iterator(), key=lambda x: x[1][0]):
-            day.enter(Story(name, order, dict(zip(PARTS, (set(e), set(t), set(g)))), list(labels), image, dict.fromkeys(members, self.now_ms), stored=True))
-            size = max(size, order + 1)
-        out = []
-        batch = pd.concat(rows).sort_values(["seq", "id"])
-        for row in batch.to_dict("records"):
-            row["key"] = {p: list(row.pop(p)) for p in PARTS}
-            row["message_tags"], row["same"] = list(row["message_tags"]), list(row["same"])
-            row = {k: None if isinstance(v, float) and v != v else v for k, v in row.items()}
-            outcome = day.take(row)
-            out.append((key[0], row["id"], day.member_of.get(row["id"], ""), outcome))
-        for s in day.stories.values():
-            if s.touched:
-                order, size = (s.order, size) if s.stored else (size, size + 1)
-                self.stories.updateValue((s.id,), (order, *[sorted(s.sets[p]) for p in PARTS], s.tags, s.image, list(s.members)))
-        yield pd.DataFrame(out, columns=["date", "item", "story", "outcome"])
-
-    def close(self) -> None:
-        pass
-
-
-def merge_stories(items: DataFrame, now_ms: int, band: tuple[float, float] = (DISTINCT_THRESHOLD, MERGE_THRESHOLD), verdicts: DataFrame | None = None, keep_ms: int = 30 * DAY_MS) -> DataFrame:
-    """(date, item, story, outcome) for a stream of analyzed items; the day's stories
-    live in the state store (RocksDB) and go keep_ms after their last change.
-    verdicts: a static table of pair id (item->story) and whether it is one story."""
-    key = match_key("title", "peoples", "properNames", "tags")
-    none = F.array().cast("array<string>")
-    if verdicts is None:
-        items = items.withColumn("same", none)
-    else:
-        said = verdicts.where("same").select(F.split("id", "->", 2).alias("p")).groupBy(F.col("p")[0].alias("id")).agg(F.collect_set(F.col("p")[1]).alias("same"))
-        items = items.join(said, "id", "left").withColumn("same", F.coalesce("same", none))
-    rows = items.select("date", "seq", "id", message_tags("category", "tags").alias("message_tags"), "image", "title", "location", "same", key.alias("k")).select("date", "seq", "id", "message_tags", "image", "title", "location", "same", "k.*")
-    return rows.groupBy("date").transformWithStateInPandas(_Merge(now_ms, band, keep_ms), "date string, item string, story string, outcome string", "append", "processingTime")
-
-
 def write_batches(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Runs apply(batch, epoch) on what is available; the sink makes it idempotent
     by message and target."""

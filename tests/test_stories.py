@@ -1,4 +1,4 @@
-"""The story merge against a plain replay of its rules, its outputs and its stream."""
+"""The story merge against a plain replay of its rules and its outputs."""
 
 import random
 
@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import stories
-from newsloom.streaming import flows
 
 ITEM = "id string, seq long, date string, title string, peoples string, properNames string, tags array<string>, category string, image string, country string, location string, summary string, links array<struct<id: bigint, href: string>>"
 BAND, WEIGHTS = (0.35, 0.72), {"e": 0.6, "t": 0.25, "g": 0.15}
@@ -123,20 +122,3 @@ def test_candidate_pairs_are_exact(spark):
     odd = [(f"s/{k}", k, "2024-01-03", f"today {k} a{k} b{k}", "", f"N{k}", ["news"], "war", None, "", "", "", None) for k in range(300)]
     lone = stories.with_key(spark.createDataFrame(odd, ITEM)).select("id", "date", "key")
     assert stories.candidate_pairs(lone, lone).where("item <> story").count() == 0
-
-
-def test_stream_merges_once(spark, tmp_path):
-    """The stream gives the same stories as the batch, and a second run nothing new."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = spark.createDataFrame(batch(40, 6), ITEM)
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    got = []
-    for _ in range(2):
-        stream = flows.merge_stories(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 5)
-        flows.write_batches(stream, str(tmp_path / "check"), lambda b, epoch: got.extend(b.collect())).awaitTermination(300)
-    assert len(got) == 40
-    of = {}
-    for r in got:
-        of.setdefault(r.story, set()).add(r.item)
-    want = {r.id: set(r.memberIds) for r in stories.fold_stories(rows, 5).collect()}
-    assert {k: v & want[k] for k, v in of.items() if k in want} == {k: v for k, v in want.items() if k in of}
