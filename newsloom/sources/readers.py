@@ -1,4 +1,4 @@
-"""Readers of labelled pairs, items, snapshots and channel posts."""
+"""Readers of labelled pairs, items, snapshots and playlists."""
 
 from __future__ import annotations
 
@@ -48,42 +48,6 @@ def snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-class ChannelPosts(DataSource):
-    """format("channel_posts"): posts of channels through an injected page reader.
-
-    Option channels: comma-separated ids, one partition each; option after: JSON of
-    the last id by channel; option reader: module:function(channel, after) that
-    yields (id, body, postedAt)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "channel_posts"
-
-    def schema(self) -> str:
-        return "source_id string, id string, body string, postedAt string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _ChannelReader(self.options)
-
-
-class _ChannelReader(DataSourceReader):
-    def __init__(self, options):
-        self.options = dict(options)
-
-    def partitions(self):
-        return [InputPartition(c.strip()) for c in self.options["channels"].split(",") if c.strip()]
-
-    def read(self, partition):
-        import importlib
-        import json
-
-        module, _, function = self.options["reader"].partition(":")
-        page = getattr(importlib.import_module(module), function)
-        after = json.loads(self.options.get("after", "{}")).get(partition.value)
-        for id, body, posted in page(partition.value, after):
-            yield partition.value, str(id), body, posted
-
-
 class Playlist(DataSource):
     """format("playlist"): the videos of a playlist, page by page, through an injected
     reader.  Option playlist: its id; option reader: module:function(playlist, token)
