@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..config import DISTINCT_THRESHOLD, KEY_CAP, MAX_MEMBERS, MERGE_THRESHOLD, WEIGHTS
 from ..functions.match import PARTS, match_key, match_score, message_tags
 from ..functions.text import col
-
+from .graph import components
 
 TITLE = 0.4  # likeness of titles from which prefixes of titles find a pair; below, entities must
 
@@ -55,7 +55,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, least: float = DISTINCT_T
     to what the score then still lacks, and two sets that are alike to t share one
     of the |x| - ceil(t |x|) + 1 rarest terms of each.  So a tag, or a word that all
     of a day's reports have, pairs nothing by itself."""
-    need = {"titleTokens": TITLE, "entities": (least - weights["titleTokens"] * TITLE - weights["tags"]) / weights["entities"]}
+    need = _needs(least, weights)
     if need["entities"] <= 0:  # tags and half a title would do: every shared term counts
         return pair_scores(left, right, weights).where(F.col("score") > least)
     terms = _terms(left.unionByName(right).select("id", "date", "key").distinct(), "id").where(F.col("part").isin(*need))
@@ -282,7 +282,50 @@ def day_rows(date: str, day: Day, now_ms: int, finish: bool = True, more: list[d
     return frame.astype({"memberCount": "Int64", "ts": "Int64", "stored": "boolean"})
 
 
-def fold(items: DataFrame, now_ms: int, stored: DataFrame | None = None, verdicts: DataFrame | dict[str, bool] | None = None, band: tuple[float, float] = (DISTINCT_THRESHOLD, MERGE_THRESHOLD), weights: dict[str, float] = WEIGHTS, deferred: bool = False) -> DataFrame:
+def _needs(least: float, weights: dict[str, float]) -> dict[str, float]:
+    """How alike titles or else entities are, at least, where a score is above `least`."""
+    return {"titleTokens": TITLE, "entities": (least - weights["titleTokens"] * TITLE - weights["tags"]) / weights["entities"]}
+
+
+def day_parts(items: DataFrame, stored: DataFrame, least: float, weights: dict[str, float]) -> DataFrame:
+    """(date, id, part): the parts of a day that the merge may fold apart.
+
+    items: id, date, key; stored: the same with memberIds.  An item that joins a story
+    shares ceil(t |x|) of its |x| title terms or entities with the union of the story's
+    keys (t by _needs), so at least one of its |x| - ceil(t |x|) + 1 rarest with some
+    member or stored story.  All holders of such a term are connected, as are a stored
+    story and its members, and rows of one id; parts are the connected components.
+    A pair across parts scores `least` at most, as tags alone do."""
+    need = _needs(least, weights)
+    if need["entities"] <= 0:
+        raise ValueError("parts need a lower threshold above the weight of tags and what titles add to it")
+    node = lambda id: F.xxhash64("date", F.lit("id"), id)
+    rows = items.select("id", "date", "key", F.lit(True).alias("asks")).unionByName(stored.select("id", "date", "key", F.lit(False).alias("asks"))).distinct()
+    terms = _terms(rows.withColumn("row", F.xxhash64("key")), "id", "row", "asks")  # rows that repeat an id have their own keys each
+    terms = terms.where(F.col("part").isin(*need)).withColumn("node", node("id"))
+    often = terms.groupBy("date", "part", "term").agg(F.count("*").alias("often"))
+    share = F.when(F.col("part") == "titleTokens", need["titleTokens"]).otherwise(need["entities"])
+    place = F.row_number().over(Window.partitionBy("node", "row", "part").orderBy("often", "term"))
+    rare = terms.where("asks").join(often, ["date", "part", "term"]).withColumn("place", place)
+    rare = rare.where((F.col("often") > 1) & (F.col("place") <= F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1))
+    rare = rare.select("date", "part", "term").distinct()
+    held = terms.join(rare, ["date", "part", "term"], "left_semi").select(F.col("node").alias("a"), F.xxhash64("date", "part", "term").alias("b"))
+    members = stored.select("date", "id", F.explode("memberIds").alias("member")).select(node("id").alias("a"), node("member").alias("b"))
+    found = components(held.unionByName(members))
+    every = items.select("date", "id").unionByName(stored.select("date", "id")).distinct().withColumn("node", node("id"))
+    return every.join(found, "node", "left").select("date", "id", F.coalesce("component", "node").alias("part"))
+
+
+def fold(
+    items: DataFrame,
+    now_ms: int,
+    stored: DataFrame | None = None,
+    verdicts: DataFrame | dict[str, bool] | None = None,
+    band: tuple[float, float] = (DISTINCT_THRESHOLD, MERGE_THRESHOLD),
+    weights: dict[str, float] = WEIGHTS,
+    deferred: bool = False,
+    parts: bool = False,
+) -> DataFrame:
     """The sequential merge: each item of a day, by (seq, id), joins the best story or
     starts one.  Rows of kind story are the stories touched, of kind pair the pairs
     inside the band as an adjudicator is told them (id item->story), of kind count a
@@ -292,7 +335,9 @@ def fold(items: DataFrame, now_ms: int, stored: DataFrame | None = None, verdict
     memberIds).  verdicts: table (or dict) of pair id and whether it is one story; a
     pair without one splits.  Days are independent and run in parallel; a day's rows
     stream past its state, so the rows themselves are never held together.  The limit
-    is one day's stories: their keys must fit a task."""
+    is one day's stories: their keys must fit a task.  With `parts` a day is folded in
+    parts that cannot meet (day_parts), each of which must fit; the result is the same,
+    but for counts, which then stand in the first row of each part."""
     spark = items.sparkSession
     if not isinstance(verdicts, DataFrame):
         verdicts = spark.createDataFrame(list((verdicts or {}).items()), "id string, same boolean")
@@ -304,28 +349,34 @@ def fold(items: DataFrame, now_ms: int, stored: DataFrame | None = None, verdict
         old = stored.where(F.col("date") != "").select(*_STATE)
         old = old.select("date", F.lit(0).alias("side"), F.lit(0).cast("long").alias("seq"), "id", *[F.coalesce(k, none).alias(p) for k, p in zip(("keyEntities", "keyTitle", "keyTags"), PARTS)], F.coalesce("tags", none).alias("message_tags"), "image", "title", "country", "location", "peoples", none.alias("same"), F.coalesce("memberIds", none).alias("members"))
         rows = old.unionByName(rows)
+    day = ["date"]
+    if parts:
+        rows = rows.withColumn("_day", F.coalesce("date", F.lit("")))
+        keyed = rows.select(F.col("_day").alias("date"), "side", "id", F.struct(*PARTS).alias("key"), "members")
+        of = day_parts(keyed.where("side = 1").select("id", "date", "key"), keyed.where("side = 0").select("id", "date", "key", F.col("members").alias("memberIds")), band[0], weights)
+        rows, day = rows.join(of.toDF("_day", "id", "_part"), ["_day", "id"]), ["date", "_part"]
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        date, day = None, None
+        key, day = None, None
         for batch in batches:
             for row in batch.to_dict("records"):
-                if day is None or row["date"] != date:
+                if day is None or (row["date"], row.get("_part")) != key:
                     if day is not None:
-                        yield day_rows(date, day, now_ms)
-                    date, day = row["date"], Day(band, weights, now_ms, deferred)
+                        yield day_rows(key[0], day, now_ms)
+                    key, day = (row["date"], row.get("_part")), Day(band, weights, now_ms, deferred)
                 row = {k: None if v is None or v is pd.NA or v != v else v for k, v in row.items() if k not in (*PARTS, "message_tags", "same", "members")} | {k: list(row[k]) for k in (*PARTS, "message_tags", "same", "members")}
                 if row["side"] == 0:
                     day.enter(Story(row["id"], len(day.stories), {p: set(row[p]) for p in PARTS}, row["message_tags"], row["image"], dict.fromkeys(row["members"], now_ms), row, stored=True))
                 else:
                     day.take(row | {"key": {p: row[p] for p in PARTS}})
         if day is not None:
-            yield day_rows(date, day, now_ms)
+            yield day_rows(key[0], day, now_ms)
 
-    return rows.repartition("date").sortWithinPartitions("date", "side", "seq", "id").mapInPandas(run, _ROW)
+    return rows.repartition(*day).sortWithinPartitions(*day, "side", "seq", "id").mapInPandas(run, _ROW)
 
 
-def fold_stories(items: DataFrame, now_ms: int, verdicts: DataFrame | dict[str, bool] | None = None, band: tuple[float, float] = (DISTINCT_THRESHOLD, MERGE_THRESHOLD), weights: dict[str, float] = WEIGHTS, stored: DataFrame | None = None, deferred: bool = False) -> DataFrame:
+def fold_stories(items: DataFrame, now_ms: int, verdicts: DataFrame | dict[str, bool] | None = None, band: tuple[float, float] = (DISTINCT_THRESHOLD, MERGE_THRESHOLD), weights: dict[str, float] = WEIGHTS, stored: DataFrame | None = None, deferred: bool = False, parts: bool = False) -> DataFrame:
     """The stories that a batch touches (see fold)."""
-    return fold(items, now_ms, stored, verdicts, band, weights, deferred).where("kind = 'story'").drop("kind", "item", "itemTitle", "itemEntities", "itemTags", "itemLocation")
+    return fold(items, now_ms, stored, verdicts, band, weights, deferred, parts).where("kind = 'story'").drop("kind", "item", "itemTitle", "itemEntities", "itemTags", "itemLocation")
 
 
 def band_pairs(folded: DataFrame) -> DataFrame:

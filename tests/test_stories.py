@@ -122,3 +122,39 @@ def test_candidate_pairs_are_exact(spark):
     odd = [(f"s/{k}", k, "2024-01-03", f"today {k} a{k} b{k}", "", f"N{k}", ["news"], "war", None, "", "", "", None) for k in range(300)]
     lone = stories.with_key(spark.createDataFrame(odd, ITEM)).select("id", "date", "key")
     assert stories.candidate_pairs(lone, lone).where("item <> story").count() == 0
+
+
+def busy(n, seed, start=0):
+    """Items over some hundred words and names, so that a day has many parts."""
+    rng, rows = random.Random(seed), []
+    for k in range(start, start + n):
+        event = rng.randrange(30)
+        words = [f"w{event}_{j}" for j in rng.sample(range(6), rng.randrange(2, 6))] + rng.sample(["today", "city"], rng.randrange(2))
+        names = [f"N{event} {j}" for j in rng.sample(range(4), rng.randrange(1, 4))] + ([f"N{rng.randrange(30)} 0"] if rng.random() < 0.1 else [])
+        id = f"s/{k}" if rng.random() < 0.9 or not rows else rng.choice(rows)[0]
+        rows.append((id, k, rng.choice(["2024-01-01", None]), " ".join(words), "", ",".join(names), ["news", rng.choice("xy")], "war", None, "UA", None, f"said {k}", None))
+    return rows
+
+
+@pytest.mark.parametrize("deferred", [False, True])
+def test_parts_of_a_day_give_the_same_stories(deferred, spark):
+    """Folded in parts or whole: the same stories, pairs and counts, stored ones too."""
+    first, second = busy(250, 7), busy(150, 8, 250) + [(*r[:3], "w1_1 w2_2", *r[4:]) for r in busy(250, 7)[:20]]
+    stored = None
+    for rows in (first, second):
+        df = spark.createDataFrame(rows, ITEM).repartition(4)
+        whole, apart = (stories.fold(df, 5, stored, deferred=deferred, parts=p) for p in (False, True))
+        content = lambda rows: sorted((r.kind, r.date or "", r.id, tuple(r.memberIds or ()), tuple(r.keyEntities or ()), tuple(r.tags or ()), r.title or "") for r in rows if r.kind != "count")
+        held, parts = whole.collect(), apart.collect()
+        assert content(parts) == content(held) and len(held) > 40
+        for n in ("n_created", "n_merged", "n_capped", "n_adjudicated"):
+            assert sum(r[n] for r in parts) == sum(r[n] for r in held)
+        keep = [c for c in whole.columns if not c.startswith("n_")]
+        stored = spark.createDataFrame([tuple(r[c] for c in keep) for r in held if r.kind == "story"], whole.select(*keep).schema)
+    keyed = stories.with_key(spark.createDataFrame(first, ITEM)).withColumn("date", F.coalesce("date", F.lit(""))).select("id", "date", "key")
+    none = keyed.limit(0).withColumn("memberIds", F.array("id"))
+    parts = stories.day_parts(keyed, none, *[0.35, {"entities": 0.6, "titleTokens": 0.25, "tags": 0.15}])
+    sizes = sorted((r["count"] for r in parts.groupBy("date", "part").count().collect()), reverse=True)
+    assert len(sizes) > 20 and sizes[0] < 100  # a word of the whole day joins nothing
+    with pytest.raises(ValueError):
+        stories.day_parts(keyed, none, 0.2, {"entities": 0.6, "titleTokens": 0.25, "tags": 0.15})
