@@ -5,12 +5,16 @@ mutual exclusion of a stage is Spark's (one query for each stage)."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ATTEMPTS, DONE_TTL_MS, ERROR_PAGE, ITEMS_PAGE, PAYLOAD_CHARS, PREVIEW_CHARS, PUBLISH_NOW, QUEUE_PREVIEW, SETTLE_MS, STAGES
 from ..functions.dates import backoff, settle_bucket
 from ..functions.text import ref_of
+from .graph import checkpoints
 
 
 def _set(rows: DataFrame, where: Column, **values) -> DataFrame:
@@ -79,6 +83,29 @@ def reclaim(items: DataFrame, now_ms: int) -> DataFrame:
     return settle(items, lost, now_ms)
 
 
+def drain(items: DataFrame, controls: DataFrame, stage: str, run: Callable[[DataFrame], DataFrame], clock: Callable[[], int], concurrency: int = 5, lease_ms: int = 300_000) -> tuple[DataFrame, DataFrame, int]:
+    """(items, controls, how many ran) after a stage has run its due items, `concurrency`
+    at a time, until none is due, a paused stage's budget is spent or half the lease
+    is over.  run: claimed items to outcomes (id, ok, error, cause); each round is a
+    checkpoint, so that its work is done once."""
+    checkpoints(items.sparkSession)
+    start, ran = clock(), 0
+    (control,) = read_controls(controls).where(F.col("stage") == stage).collect()
+    left = control.budget if control.paused else math.inf
+    while left > 0 and (now := clock()) < start + lease_ms // 2:
+        claimed = claim(items, stage, now, start + lease_ms, min(concurrency, left)).checkpoint()
+        mine = claimed.where((F.col("stage") == stage) & (F.col("status") == "running") & (F.col("startedAt") == now) & (F.col("leaseUntil") == start + lease_ms))
+        n = mine.count()
+        if not n:
+            break
+        items = settle(claimed, run(mine).checkpoint(), clock()).checkpoint()
+        left, ran = left - n, ran + n
+    if control.paused and ran:
+        spent = F.when(F.col("stage") == stage, F.col("budget") - ran).otherwise(F.col("budget"))
+        controls = read_controls(controls).withColumn("budget", spent)
+    return items, controls, ran
+
+
 def restart(items: DataFrame, ids: DataFrame, run_at: int, statuses: tuple[str, ...] = ("error",)) -> DataFrame:
     """The named items pending again from the beginning."""
     rows = items.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
