@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DISTINCT_THRESHOLD, MERGE_THRESHOLD, MIN_LABELLED_PAIRS, WEIGHTS
@@ -41,19 +41,33 @@ def scored_pairs(pairs: DataFrame, items: DataFrame, weights: dict[str, float] =
 
 
 def sweep(scored: DataFrame, step: float) -> DataFrame:
-    """The curve.  Pairs are first counted by score, so the grid multiplies
-    distinct scores, not pairs; the grid itself has at most 5151 points."""
+    """The curve.  Pairs are counted once, by the number of thresholds that a score
+    reaches and whether it is one; running sums over these at most 202 bins give what
+    lies above and below each threshold, and a point of the curve is two look-ups."""
     spark = scored.sparkSession
     values = threshold_grid(step)
-    grid = spark.createDataFrame([(d, m) for m in values for d in values if d <= m], "distinctThreshold double, mergeThreshold double")
-    by_score = scored.groupBy("score").agg(F.sum(F.col("same").cast("long")).alias("same"), F.sum((~F.col("same")).cast("long")).alias("different"))
-    merge, split = F.col("score") >= F.col("mergeThreshold"), F.col("score") <= F.col("distinctThreshold")
-    count = lambda test, c: F.sum(F.when(test, F.col(c)).otherwise(0))
-    both = by_score.crossJoin(F.broadcast(grid)).groupBy("distinctThreshold", "mergeThreshold").agg(
-        count(merge, "same").alias("ms"), count(merge, "different").alias("md"), count(split & ~merge, "different").alias("ok"),
-        F.sum("different").alias("different"), F.sum(F.col("same") + F.col("different")).alias("total"),
-        (count(~merge & ~split, "same") + count(~merge & ~split, "different")).alias("band"),
+    every = F.array(*[F.lit(v) for v in values])
+    reached = F.when(F.col("score").isNotNull(), F.size(F.filter(every, lambda v: v <= F.col("score"))))
+    bins = scored.select("same", reached.alias("reached"), F.array_contains(every, F.col("score")).alias("exact"))
+    bins = bins.groupBy("reached", "exact").agg(F.sum(F.col("same").cast("long")).alias("same"), F.sum((~F.col("same")).cast("long")).alias("different"))
+    spine = spark.createDataFrame([(k, v, e) for k, v in [*enumerate(values, 1), (0, None)] for e in (True, False)], "reached int, value double, exact boolean")
+    counts = spine.join(bins, ["reached", "exact"], "left").fillna(0, ["same", "different"])
+    # in order of scores: what equals a threshold comes before what lies beyond it
+    upward = Window.orderBy("reached", F.desc("exact")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = counts.withColumns({"same_to": F.sum("same").over(upward), "different_to": F.sum("different").over(upward)})
+    whole = Window.partitionBy()
+    sums = sums.withColumns({"all_same": F.sum("same").over(whole), "all_different": F.sum("different").over(whole)})
+    at = sums.where("exact and reached > 0").select(
+        "reached", "value", (F.col("same_to") - F.col("same")).alias("same_below"), (F.col("different_to") - F.col("different")).alias("different_below"), "same_to", "different_to", "all_same", "all_different",
     )
+    low = at.select(F.col("reached").alias("k"), F.col("value").alias("distinctThreshold"), "same_to", "different_to")
+    high = at.select(F.col("reached").alias("top"), F.col("value").alias("mergeThreshold"), "same_below", "different_below", "all_same", "all_different", F.explode(F.sequence(F.lit(1), "reached")).alias("k"))
+    both = high.join(F.broadcast(low), "k")
+    # where both thresholds are one, what equals it merges
+    ends = F.col("k") == F.col("top")
+    split_same, split = (F.when(ends, F.col(f"{c}_below")).otherwise(F.col(f"{c}_to")) for c in ("same", "different"))
+    merged, wrong = F.col("all_same") - F.col("same_below"), F.col("all_different") - F.col("different_below")
+    both = both.select("distinctThreshold", "mergeThreshold", merged.alias("ms"), wrong.alias("md"), split.alias("ok"), F.col("all_different").alias("different"), (F.col("all_same") + F.col("all_different")).alias("total"), (F.col("same_below") + F.col("different_below") - split_same - split).alias("band"))
     none = F.when(F.col("different") == 0, F.raise_error(F.lit("no different-story pairs: recall is undefined")))
     return both.select(
         "distinctThreshold", "mergeThreshold", F.expr("try_divide(ms, ms + md)").alias("autoMergePrecision"),

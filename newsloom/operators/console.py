@@ -11,7 +11,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..config import AUDIT_TTL_MS, MESSAGE_STATUSES, STAGES
+from ..contracts import payload_problems
 from ..functions.dates import date_key, iso_timestamp
 from ..functions.text import canonical_id, col, csv_cell, forward_origin, normalize_tag, trim
 from . import items as stage_one
@@ -169,6 +171,37 @@ def check_input(fields: dict, known: dict[str, type], required: tuple[str, ...]
 # -- writes
 
 
+def upsert(table: str, base: DataFrame, changes: DataFrame) -> DataFrame:
+    """The table after edits (id and the edited columns): a known row is patched; an
+    unknown one is added with its defaults, but a message, which is an error; a tag that
+    was deleted starts over, without what it had."""
+    schemas.check_writable(table, [c for c in changes.columns if c != "id"])
+    if table == "messages":
+        lost = changes.select("id").join(base.select("id"), "id", "left_anti").first()
+        if lost:
+            raise ValueError(f"no such message: {lost.id}")
+    if table == "tags":
+        again = base.where(~live()).join(changes.select("id"), "id", "left_semi").select("id")
+        base = base.join(again, "id", "left_anti")
+    known = base.select("id", F.lit(True).alias("_known"))
+    rows = tables.patch(base, changes)
+    fresh = schemas.with_defaults(rows.join(known, "id", "left_anti"), table)
+    return rows.join(known, "id", "left_semi").select(base.columns).unionByName(fresh.select(base.columns))
+
+
+def edit_item(items: DataFrame, id: str, raw: str) -> DataFrame:
+    """Items with a new payload for a waiting or failed one, once its stage can work on
+    it; else an error that says why."""
+    found = items.where(F.col("id") == id).select("status", payload_problems("stage", F.lit(raw)).alias("problems")).first()
+    if found is None:
+        raise ValueError(f"no such item: {id}")
+    if found.problems:
+        raise ValueError(f"{id}: {', '.join(found.problems)}")
+    if found.status not in ("pending", "error"):
+        raise ValueError(f"{id} is no longer waiting or failed")
+    return work.save_raw(items, id, raw)
+
+
 def reset_ingest(items: DataFrame) -> tuple[DataFrame, int]:
     """No items, and how many there were; controls stay."""
     return items.limit(0), items.count()

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..config import PALETTE
 from ..functions.text import col, trim
+from .graph import checkpoints
 
 _SEARCHABLE = (T.StringType, T.NumericType, T.BooleanType)
 
@@ -56,11 +57,16 @@ def sort(df: DataFrame, column: str, descending: bool, tie: str = "id") -> DataF
 
 
 def ranked(df: DataFrame, column: str, descending: bool, tie: str = "id") -> DataFrame:
-    """Every row with its place (from 1) in the sort order: ranges of the order are
-    counted, and a row's number within its range goes on from the ranges before."""
-    rows = sort(df, column, descending, tie)
-    schema = T.StructType([*df.schema.fields, T.StructField("place", T.LongType(), False)])
-    return df.sparkSession.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema, verifySchema=False)
+    """Every row with its place (from 1) in the sort order: the sorted ranges are a
+    checkpoint, their sizes are added up (one row for each range), and a row's number
+    within its range goes on from the ranges before."""
+    checkpoints(df.sparkSession)
+    number = F.monotonically_increasing_id()  # the range in the upper bits, the row within it below
+    rows = sort(df, column, descending, tie).withColumn("_n", number).withColumn("_range", F.shiftright("_n", 33)).checkpoint()
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size")
+    placed = rows.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    return placed.select(*df.columns, (F.col("_before") + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"))
 
 
 def next_sort(current: tuple[str, str] | None, column: str) -> tuple[str, str] | None:

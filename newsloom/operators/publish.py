@@ -18,13 +18,21 @@ def receivers(messages: DataFrame, targets: DataFrame) -> DataFrame:
     """(message, target): targets all of whose tags the message has, whatever the
     case; a target without tags receives nothing.
 
-    A relational division by an equi join on tags and a count, so that neither
-    side needs to fit in memory."""
-    m = messages.select(F.col("id").alias("message"), F.explode(F.array_distinct(F.transform("tags", F.lower))).alias("tag"))
-    wanted = F.array_distinct(F.transform("tags", F.lower))
-    t = targets.where(live()).select(F.col("id").alias("target"), F.size(wanted).alias("need"), F.explode(wanted).alias("tag"))
-    hits = m.join(t, "tag").groupBy("message", "target").agg(F.count("*").alias("have"), F.first("need").alias("need"))
-    return hits.where("have = need").select("message", "target")
+    A containment join by the rarest tag: each target waits under the one of its tags
+    that the fewest messages have, so only messages with that tag meet it, and those
+    are tested whole.  A tag that all messages share pairs nothing but targets that want
+    it alone, all of whose pairs are results."""
+    lower = lambda c: F.array_distinct(F.transform(c, F.lower))
+    wanted = targets.where(live()).select(F.col("id").alias("target"), lower("tags").alias("wanted")).where(F.size("wanted") > 0)
+    each = wanted.select("target", F.explode("wanted").alias("tag"))
+    tagged = messages.select(F.col("id").alias("message"), lower("tags").alias("tags"))
+    often = tagged.select(F.explode("tags").alias("tag")).join(each.select("tag").distinct(), "tag", "left_semi").groupBy("tag").agg(F.count("*").alias("often"))
+    # a target with a tag that no message has receives nothing
+    rarest = each.join(often, "tag", "left").groupBy("target").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "tag")).alias("r")).where("r.often > 0")
+    waiting = wanted.join(rarest.select("target", F.col("r.tag").alias("tag")), "target")
+    asked = waiting.select("tag").distinct()
+    met = tagged.select("message", "tags", F.explode("tags").alias("tag")).join(asked, "tag", "left_semi").join(waiting, "tag")
+    return met.where(F.size(F.array_except("wanted", "tags")) == 0).select("message", "target")
 
 
 def unmatched(messages: DataFrame, targets: DataFrame) -> DataFrame:
@@ -93,14 +101,14 @@ def sends(messages: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def request(rows: DataFrame, parse_mode: str = "HTML") -> DataFrame:
-    """The JSON body of each send, by method."""
+    """The sends with the JSON body of each, by method."""
     mode, quiet = F.lit(parse_mode).alias("parse_mode"), F.col("noPreview").alias("disable_web_page_preview")
     chat = F.col("chatId").alias("chat_id")
     edit = lambda number: F.to_json(F.struct(chat, number.alias("message_id"), "text", mode, quiet))
     body = F.when(F.col("method") == "sendPhoto", F.to_json(F.struct(chat, "photo", F.col("text").alias("caption"), mode)))
     body = body.when(F.col("method") == "sendMessage", F.to_json(F.struct(chat, "text", mode, quiet)))
     body = body.when(message_number("post.tgId").isNotNull(), edit(message_number("post.tgId"))).otherwise(edit(F.col("post.tgId")))
-    return rows.select("id", "target", "method", body.alias("body"))
+    return rows.withColumn("body", body)
 
 
 def message_number(c) -> Column:

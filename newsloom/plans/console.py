@@ -58,9 +58,9 @@ FROM (SELECT sent.id, target, tg, image, CASE WHEN template THEN trim(regexp_rep
   FROM (SELECT *, {_HEAD_SQL} AS head, {_LINE_SQL} AS line FROM sent WHERE status = 'topublish' AND coalesce(tgat < ts, true)) sent LEFT JOIN blocks ON l_orderkey = o_orderkey)""")
 def sends_with_posts(spark, sf):
     """Edits of stale posts, new sends, templates; current posts are left alone."""
-    rows = publish.sends(_posted(spark, sf), _receivers(spark, sf))
-    bodies = publish.request(rows).select("id", "target", F.regexp_extract("body", r'"message_id":("?[^",]+"?)', 1).alias("message_id"))
-    return rows.select("id", "target", "method", F.md5("text").alias("digest")).join(bodies, ["id", "target"]).withColumn("message_id", F.nullif(F.col("message_id"), F.lit("")))
+    rows = publish.request(publish.sends(_posted(spark, sf), _receivers(spark, sf)))
+    number = F.nullif(F.regexp_extract("body", r'"message_id":("?[^",]+"?)', 1), F.lit(""))
+    return rows.select("id", "target", "method", F.md5("text").alias("digest"), number.alias("message_id"))
 
 
 _UNITS = "(length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"

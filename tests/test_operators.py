@@ -1,5 +1,7 @@
 """Operators on small tables: hand-computed values, boundaries, re-runs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from newsloom.functions import text
 from newsloom.functions.dates import backoff, clock, date_key
 from newsloom.functions.match import classify, jaccard
 from newsloom.functions.spans import clamp, tokenise
-from newsloom.operators import calibrate, grid, publish, stories, tables, work
+from newsloom.operators import calibrate, console, grid, publish, stories, tables, work
 from newsloom.streaming import flows
 
 
@@ -87,6 +89,56 @@ def test_receivers_need_every_tag(spark):
     assert {tuple(r) for r in publish.receivers(m, t).collect()} == {("m/1", "a"), ("m/1", "c"), ("m/2", "c")}
 
 
+def test_receivers_same_as_the_containment_of_sets(spark):
+    rng = random.Random(6)
+    tags = [f"T{k}" for k in range(12)]
+    m = [(f"m/{k}", ["all", *rng.sample(tags, rng.randrange(0, 6))] if k else None) for k in range(80)] + [("m/x", ["ALL", None, "t1", "T1"])]
+    t = [(f"t{k}", rng.sample(["ALL", *tags, "none"], rng.randrange(0, 4)), rng.choice([None, False, True])) for k in range(60)]
+    got = publish.receivers(spark.createDataFrame(m, "id string, tags array<string>"), spark.createDataFrame(t, "id string, tags array<string>, deleted boolean")).collect()
+    low = lambda x: {y.lower() for y in x or [] if y}
+    assert sorted(map(tuple, got)) == sorted((a, b) for a, x in m for b, y, gone in t if y and not gone and low(y) <= low(x))
+
+
+def test_curve_by_bins_same_as_by_rows(spark):
+    """Scores on, between and beyond the thresholds."""
+    rng = random.Random(1)
+    rows = [(rng.choice([0.0, 0.1, 0.25, 0.3, 0.35, 0.999, 1.0, rng.random()]), rng.random() < 0.4) for _ in range(400)]
+    got = {(r[0], r[1]): r[2:] for r in calibrate.sweep(spark.createDataFrame(rows, "score double, same boolean"), 0.05).collect()}
+    values = calibrate.threshold_grid(0.05)
+    assert set(got) == {(d, m) for d in values for m in values if d <= m}
+    for (d, m), (precision, recall, band) in got.items():
+        merged = [same for x, same in rows if x >= m]
+        split = [same for x, same in rows if x < m and x <= d]
+        assert precision == (pytest.approx(sum(merged) / len(merged)) if merged else None)
+        assert recall == pytest.approx(split.count(False) / sum(not s for _, s in rows))
+        assert band == pytest.approx((len(rows) - len(merged) - len(split)) / len(rows))
+
+
+def test_upserts(spark):
+    tags = spark.createDataFrame([("a", ["x"], 5, "2024-01-01", False), ("gone", ["y"], 7, "2024-01-02", True)], schemas.TAGS)
+    edit = spark.createDataFrame([("a", ["z"]), ("gone", ["w"]), ("new", None)], "id string, keywords array<string>")
+    got = {r.id: (r.keywords, r["count"], r.lastDate, r.deleted) for r in console.upsert("tags", tags, edit).collect()}
+    assert got == {"a": (["z"], 5, "2024-01-01", False), "gone": (["w"], 0, None, None), "new": ([], 0, None, None)}
+    sources = spark.createDataFrame([("s", "ok")], "id string, status string").select("id", "status", *[F.lit(None).cast(t).alias(c) for c, t in (("type", "string"), ("lastCount", "long"), ("deleted", "boolean"))])
+    made = {r.id: (r.status, r.type, r.lastCount) for r in console.upsert("sources", sources, spark.createDataFrame([("s", "off"), ("n", "ok")], "id string, status string")).collect()}
+    assert made == {"s": ("off", None, None), "n": ("ok", "telegram", 0)}
+    messages = spark.createDataFrame([("m/1", "t")], "id string, title string")
+    with pytest.raises(ValueError, match="no such message: m/2"):
+        console.upsert("messages", messages, spark.createDataFrame([("m/2", "u")], messages.schema))
+    with pytest.raises(ValueError, match="not writable"):
+        console.upsert("sources", sources, spark.createDataFrame([("s", 1)], "id string, lastCount long"))
+
+
+def test_edited_items(spark):
+    row = ("i", "publish", "pending", "{}", 0, 1, None, None, None, None, 1, None, None, None)
+    items = spark.createDataFrame([row, ("r", "publish", "running", *row[3:])], schemas.INGEST)
+    new = '{"messageId": "m/1"}'
+    assert {r.id: r.raw for r in console.edit_item(items, "i", new).collect()} == {"i": new, "r": "{}"}
+    for id, raw, why in (("i", "{}", "messageId: missing"), ("i", "x", "not an object"), ("r", new, "no longer"), ("no", new, "no such item")):
+        with pytest.raises(ValueError, match=why):
+            console.edit_item(items, id, raw)
+
+
 def test_tables(spark):
     base = spark.createDataFrame([(1, "x", None), (2, "y", False)], "id long, s string, deleted boolean")
     got = tables.patch(base, spark.createDataFrame([(1, ""), (3, "z")], "id long, s string"))
