@@ -24,6 +24,12 @@ def checkpoints(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(where)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder among the session's checkpoints."""
+    checkpoints(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star round over edges u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

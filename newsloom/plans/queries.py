@@ -30,13 +30,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import console, records  # noqa: F401  they register their queries
+    from . import console, live, records  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import console, records  # noqa: F401
+    from . import console, live, records  # noqa: F401
 
     return dict(_SQL)
 
@@ -415,11 +415,6 @@ def transcripts(spark, sf):
     return rows.select("conv_id", F.size("parts").cast("long").alias("n_chunks"), F.md5(body).alias("digest"))
 
 
-@query()
-def story_fold(spark, sf):
-    return stories.fold_stories(views.items(spark, sf), NOW_MS).select("date", "id", "memberCount", F.array_join("memberIds", "|").alias("members"), "n_created", "n_merged", "n_capped", "n_adjudicated")
-
-
 @query(f"WITH {views.FACTS_SQL} SELECT strftime(make_timestamp(hour * 1000), '%Y-%m-%d') AS day, CAST(sum(value) AS BIGINT) AS n FROM facts GROUP BY 1")
 def events_by_day(spark, sf):
     return metrics.facts(views.facts(spark, sf)).groupBy(date_key("hour").alias("day")).agg(F.sum("value").alias("n"))

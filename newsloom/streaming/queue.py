@@ -96,7 +96,10 @@ class _Queue(StatefulProcessor):
         s = dict(zip(_STATE, found)) if found else None
         if (lost := self._lost(s, now)) is not None:
             self._keep(lost)
-            yield _frame([{"id": key[0], "at": now, "due": False, **lost}], ITEM)
+            rows = [{"id": key[0], "at": now, "due": False, **lost}]
+            if lost["status"] == "pending" and lost["runAt"] <= timerValues.getCurrentWatermarkInMs():
+                rows.append({"id": key[0], "at": lost["runAt"], "due": True, **lost})  # its time is over as well
+            yield _frame(rows, ITEM)
         elif s and s["status"] == "pending" and s["runAt"] <= now:
             yield _frame([{"id": key[0], "at": now, "due": True, **s}], ITEM)
 
