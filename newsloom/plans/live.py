@@ -165,12 +165,12 @@ def due_wakes(spark, sf):
 @query("""WITH p AS (SELECT CAST(user_id % 40 AS VARCHAR) AS id, event_id, CASE WHEN event_type = 'purchase' THEN user_id % 9 + 1 ELSE 0 END AS n FROM events),
 g AS (SELECT *, count(*) FILTER (n > 0) OVER w AS turn FROM p WINDOW w AS (PARTITION BY id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
 r AS (SELECT *, count(*) FILTER (n = 0) OVER w AS runs, max(n) OVER w AS most, max(CASE WHEN n > 0 THEN event_id END) OVER w AS newest FROM g WINDOW w AS (PARTITION BY id, turn ORDER BY event_id ROWS UNBOUNDED PRECEDING))
-SELECT id, 1000 * event_id AS at, CASE WHEN turn > 0 THEN CAST(newest AS VARCHAR) END AS "lastItemId", CAST(n AS BIGINT) AS "lastCount", runs AS "zeroYieldRuns", CAST(CASE WHEN turn > 0 THEN most ELSE 0 END AS BIGINT) AS "lastNonZeroCount", runs >= 3 AND turn > 0 AS stale FROM r""")
+SELECT id, 1000 + 1000 * event_id AS at, CASE WHEN turn > 0 THEN CAST(newest AS VARCHAR) END AS "lastItemId", CAST(n AS BIGINT) AS "lastCount", runs AS "zeroYieldRuns", CAST(CASE WHEN turn > 0 THEN most ELSE 0 END AS BIGINT) AS "lastNonZeroCount", runs >= 3 AND turn > 0 AS stale FROM r""")
 def source_alert_stream(spark, sf):
     """Forty sources, a poll for each event; only purchases bring posts."""
     e = views.load(spark, sf, "events")
     n = F.when(F.col("event_type") == "purchase", F.col("user_id") % 9 + 1).otherwise(0).cast("long")
-    log = e.select((F.col("user_id") % 40).cast("string").alias("id"), F.timestamp_millis(1000 * F.col("event_id")).alias("ts"), n.alias("n"), F.when(n > 0, F.col("event_id").cast("string")).alias("newest"))
+    log = e.select((F.col("user_id") % 40).cast("string").alias("id"), F.timestamp_millis(1000 + 1000 * F.col("event_id")).alias("ts"), n.alias("n"), F.when(n > 0, F.col("event_id").cast("string")).alias("newest"))
     rows = _streamed(spark, log.coalesce(1), lambda s: queue.source_alerts(s, 3_600_000))
     return rows.where("not quiet").drop("quiet")
 
