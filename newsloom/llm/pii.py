@@ -3,20 +3,27 @@
 Base spans are the leftmost non-overlapping matches of fixed patterns.  Other
 tokens that look alike (a number in another layout, an address without its full
 domain) are the free nodes of a conditional random field per document: base
-spans are observed nodes, neighbours in reading order share a weak edge, and
-distant tokens with the same or a similar key share a strong skip edge, strung
+spans are observed nodes, neighbours in reading order share an edge, and
+distant tokens with the same or a similar key share a skip edge, strung
 from occurrence to occurrence, and from each free node to the nearest observed
-node of its key, so that free repeats in between do not outweigh it.  Loopy
+node of its key, so that free repeats in between do not outweigh it.  A skip edge
+weighs by how alike the two keys are.  Loopy
 sum-product messages run until they no longer change, so a value found once is
 labelled alike wherever, and however often, it returns in another form.
 
-The weights are learned from all documents: agreement over skip and chain edges
-between observed nodes, the share of free nodes, and the words that stand before
-observed nodes of each kind rather than before free ones.  A skip edge always
-outweighs the prior for "nothing", and a word alone never does, whatever the
-corpus says.  A document without a base span keeps its free nodes unlabelled:
-without an observed node nothing can beat their prior, so the network is not
-built there.
+The weights are fitted to base spans that are masked: of each document a part of the
+observed nodes (MASKED) loses its label, and what the others around it say (an equal
+key, how alike a similar one is, neighbours, the word before) must tell whether it is
+personal data, against the free nodes that no key ties to an observed one.  The
+examples of all documents are counted by pattern; the fit is a logistic regression
+over these counts, drawn to the default weights by as much as PRIOR examples.  Masked
+spans have a base form, which no loose one has, so how many there are says nothing of
+how often a loose form is personal data: that prior (nothing) is not fitted, as the
+regression's own intercept takes up the shares of the examples.  The words
+before are hashed to WORDS places, so every word counts and the model stays as large
+as it is.  Nothing is clipped: what the corpus says of words and edges can label a token
+and can keep it from a label, whatever its key.  A document without a base span keeps
+its free nodes unlabelled: the network is not built there.
 
 Edge cases: null and empty texts have no spans; repeated rows stay repeated;
 extra columns are ignored (redaction keeps them)."""
@@ -26,7 +33,10 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+import zlib
+from collections import Counter
 from dataclasses import dataclass, field
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +46,10 @@ from pyspark.sql import functions as F
 from ._spark import over_batches, over_rows, pick, place, record
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXTS = 256  # words with weights that the fitted model holds at most, the most frequent first
+WORDS = 4096  # places of the hash of the word before a node
+MASKED = 4  # one of so many observed nodes is an example
+PRIOR = 4.0  # weight of the defaults in the fit, in examples
+ALIKE = 10  # steps of likeness that examples are counted by
 SETTLED = 1e-4  # change of a message below which it is at rest
 NEAR = 200  # code points between neighbours that share a chain edge
 
@@ -95,14 +108,22 @@ def joined(spans: list[list[tuple[int, int]]]) -> str:
 @dataclass
 class Weights:
     """Log-odds: of a free node for no label, of agreement over skip edges
-    between equal and between similar keys, and over chain edges; and what the
-    word before a node adds for each kind."""
+    between equal keys and (times their likeness) between similar ones, and over chain
+    edges; and what the word before a node adds for a label, by its hash."""
 
     nothing: float = 5.0
     same: float = 7.0
-    similar: float = 5.5
+    similar: float = 6.0
     chain: float = 0.2
-    words: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    words: dict[int, float] = field(default_factory=dict)
+
+    def of_word(self, word: str) -> float:
+        return self.words.get(place_of(word), 0.0) if word else 0.0
+
+
+def place_of(word: str) -> int:
+    """1 to WORDS - 1; place 0 is no word."""
+    return 1 + zlib.crc32(word.encode()) % (WORDS - 1)
 
 
 def word_before(text: str, start: int) -> str:
@@ -144,12 +165,25 @@ def keys(token: str, address: bool) -> tuple[str, str]:
     return digits, digits[-9:]
 
 
-def network(text: str, base: list[list[tuple[int, int]]]):
+def likeness(a: str, b: str, address: bool) -> float:
+    """Of two different keys with an equal similar key, half to 1: half is for what is
+    equal, half grows, for numbers with the share of the longer one's digits that both end
+    in, for addresses with the share of characters in common order."""
+    if address:
+        return 0.5 + SequenceMatcher(None, a, b, autojunk=False).ratio() / 2
+    k = 0
+    while k < min(len(a), len(b)) and a[-1 - k] == b[-1 - k]:
+        k += 1
+    return 0.5 + k / max(len(a), len(b)) / 2
+
+
+def network(text: str, base: list[list[tuple[int, int]]], masked: frozenset = frozenset()):
     """Nodes (start, end, address, label or 0) in reading order and edges
-    (i, j, type): 0 chain, 1 equal keys, 2 similar keys.  Occurrences of a key
+    (i, j, type, likeness): 0 chain, 1 equal keys, 2 similar keys.  Occurrences of a key
     are strung in reading order; each free node also has an edge to the nearest
-    observed node of its exact key, or else of its similar key."""
-    nodes = [(s, e, k == 0, k + 1) for k, found in enumerate(base) for s, e in found]
+    observed node of its exact key, or else of its similar key.  masked: base spans
+    whose nodes are free."""
+    nodes = [(s, e, k == 0, 0 if (s, e) in masked else k + 1) for k, found in enumerate(base) for s, e in found]
     taken, reach = [], -1
     for s, e, *_ in sorted(nodes):  # merged, so that both ends ascend
         if s < reach:
@@ -162,19 +196,19 @@ def network(text: str, base: list[list[tuple[int, int]]]):
     edges, last, found, alike = [], {}, {}, []
     for i, (s, e, address, label) in enumerate(nodes):
         if i and s - nodes[i - 1][1] <= NEAR:
-            edges.append((i - 1, i, 0))
+            edges.append((i - 1, i, 0, 1.0))
         exact, similar = keys(text[s:e], address)
         before = last.get((address, exact))
         if before is not None:
-            edges.append((before, i, 1))
+            edges.append((before, i, 1, 1.0))
         elif (near := last.get((address, "~", similar))) is not None:
-            edges.append((near, i, 2))
+            edges.append((near, i, 2, likeness(alike[near][0][1], exact, address)))
         last[(address, exact)] = last[(address, "~", similar)] = i
         alike.append(((address, exact), (address, "~", similar)))
         if label:
             for key in alike[-1]:
                 found.setdefault(key, []).append(i)
-    strung = {(i, j) for i, j, kind in edges if kind}
+    strung = {(i, j) for i, j, kind, _ in edges if kind}
     for i, node in enumerate(nodes):
         for kind, key in enumerate(alike[i], 1):
             if node[3] or key not in found:
@@ -182,7 +216,7 @@ def network(text: str, base: list[list[tuple[int, int]]]):
             at = bisect.bisect(found[key], i)
             j = min(found[key][max(at - 1, 0) : at + 1], key=lambda j: abs(j - i))
             if (min(i, j), max(i, j)) not in strung:
-                edges.append((min(i, j), max(i, j), kind))
+                edges.append((min(i, j), max(i, j), kind, 1.0 if kind == 1 else likeness(alike[i][0][1], alike[j][0][1], node[2])))
             break
     return nodes, edges
 
@@ -203,12 +237,12 @@ def beliefs(nodes, edges, weights: Weights, before: list[str] | None = None) ->
             local[i, label] = 0
         else:
             local[i, 0] = weights.nothing
-            if before and before[i] in weights.words:
-                local[i, 1:] += weights.words[before[i]]
+            if before:
+                local[i, 1:] += weights.of_word(before[i])
             local[i, [2, 3, 4] if address else [1]] = -50
     if edges:
-        e = np.array(edges)
-        gain = np.array([weights.chain, weights.same, weights.similar])[e[:, 2]]
+        e = np.array([edge[:3] for edge in edges])
+        gain = np.array([weights.chain, weights.same, weights.similar])[e[:, 2]] * np.array([edge[3] for edge in edges])
         src, dst = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
         back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
         pair = np.expand_dims(np.concatenate([gain, gain]), (1, 2)) * np.eye(labels)
@@ -249,62 +283,81 @@ def find(text: str, weights: Weights) -> tuple[list, list]:
     return base, [sorted(found) for found in spans]
 
 
-_EDGES = ""  # the row of edge counts; words are never empty
+def examples(text: str) -> Counter:
+    """How often a pattern (an equal key, likeness of a similar one in steps, observed
+    neighbours, place of the word before) stands before a masked node (labelled: 1) or
+    a free one that no key ties to an observed node (0)."""
+    base = base_spans(text)
+    spans = [(s, e) for found in base for s, e in found]
+    masked = frozenset((s, e) for s, e in spans if zlib.crc32(f"{len(text)}:{s}:{e}".encode()) % MASKED == 0)
+    nodes, edges = network(text, base, masked)
+    said = [[0, 0, 0] for _ in nodes]
+    for i, j, kind, alike in edges:
+        for a, b in ((i, j), (j, i)):
+            if nodes[a][3] or not nodes[b][3] or (nodes[a][2] != nodes[b][2]):
+                continue
+            if kind == 1:
+                said[a][0] = 1
+            elif kind == 2:
+                said[a][1] = max(said[a][1], 1 + int(alike * (ALIKE - 1)))
+            else:
+                said[a][2] += 1
+    out: Counter = Counter()
+    for (s, e, _, label), (same, alike, chain) in zip(nodes, said):
+        if label:
+            continue
+        hidden = (s, e) in masked
+        if hidden or not (same or alike):
+            word = word_before(text, s)
+            out[same, 0 if same else alike, chain, place_of(word) if word else 0, int(hidden)] += 1
+    return out
 
 
-def _counts(text: str) -> dict[str, np.ndarray]:
-    """Under _EDGES: observed pairs that agree and differ, by edge type, then free
-    and observed nodes.  Under a word: observed nodes behind it by kind, and free."""
-    nodes, edges = network(text, base_spans(text))
-    out = {_EDGES: np.zeros(8, np.int64)}
-    for i, j, kind in edges:
-        if nodes[i][3] and nodes[j][3] and nodes[i][:2] != nodes[j][:2]:
-            out[_EDGES][2 * kind + (nodes[i][3] != nodes[j][3])] += 1
-    for start, _, _, label in nodes:
-        out[_EDGES][6 + (label > 0)] += 1
-        if word := word_before(text, start):
-            out.setdefault(word, np.zeros(8, np.int64))[label] += 1
-    return out
+_PATTERN = ("same", "alike", "chain", "word", "label")
+
+
+def fit(counts: np.ndarray, base: Weights = Weights()) -> Weights:  # noqa: B008  it is never changed
+    """Weights from rows of a pattern, its label and its count.  Newton's steps on the
+    penalised likelihood; a word's own weight is shrunk to nothing."""
+    same, alike, chain, word, label, n = counts.reshape(-1, 6).astype(np.float64).T
+    x = np.stack([-np.ones_like(n), same, alike / ALIKE, chain], 1)
+    start = np.array([base.nothing, base.same, base.similar, base.chain])
+    theta, words, at = start.copy(), np.zeros(WORDS), word.astype(np.int64)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(x @ theta + words[at])))
+        error, curve = n * (label - p), n * p * (1 - p)
+        # the words' weights given the others, then the others given the words
+        own = np.bincount(at, error, WORDS) - PRIOR / 4 * words
+        words = words + np.clip(own / (np.bincount(at, curve, WORDS) + PRIOR / 4), -1, 1)
+        words[0] = 0
+        p = 1 / (1 + np.exp(-(x @ theta + words[at])))
+        error, curve = n * (label - p), n * p * (1 - p)
+        step = np.linalg.solve((x * curve[:, None]).T @ x + PRIOR * np.eye(4), x.T @ error - PRIOR * (theta - start))
+        theta = theta + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-6 and np.abs(own).max() < 1e-3:
+            break
+    return Weights(base.nothing, *map(float, theta[1:]), {int(k): float(words[k]) for k in np.flatnonzero(words)})
 
 
 def train(docs: DataFrame) -> Weights:
-    """Weights from counts over all documents: sums by word, added up in each
-    task before the shuffle; the model takes the CONTEXTS most frequent words."""
-    rows = pick(docs, "text").where(F.col("text").rlike("@|[0-9]{4}"))
-    names = [f"c{k}" for k in range(8)]
+    """Weights fitted to the masked base spans of all documents; patterns are counted in
+    each task before the shuffle, and there are never more than the pattern's places."""
+    # no pattern of base or loose spans matches without a digit or an @ (or its spelling)
+    rows = pick(docs, "text").where(F.col("text").rlike(r"[0-9@]|\(at\)|\[at\]"))
+    schema = [*[(c, pa.int64()) for c in _PATTERN], ("n", pa.int64())]
 
     def run(batches):
-        total: dict[str, np.ndarray] = {}
-
-        def flush():
-            found = np.array(list(total.values())).reshape(-1, 8)
-            out = record([("word", pa.string()), *[(c, pa.int64()) for c in names]], list(total), *[found[:, k] for k in range(8)])
-            total.clear()
-            return out
-
+        total: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                for word, found in _counts(text.as_py()).items():
-                    total[word] = total.get(word, 0) + found
-            if len(total) > 100_000:
-                yield flush()
+                total.update(examples(text.as_py()))
         if total:
-            yield flush()
-
-    counts = rows.mapInArrow(run, "word string, " + ", ".join(f"{c} long" for c in names)).groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
-    most = F.when(F.col("word") == _EDGES, F.lit((1 << 63) - 1)).otherwise(sum((F.col(c) for c in names[1:5]), F.lit(0)))
-    got = {r.word: [r[c] for c in names] for r in counts.orderBy(most.desc(), "word").limit(CONTEXTS + 1).collect()}
-    edge = got.pop(_EDGES, [0] * 8)
-    odds = lambda k: float(np.log((edge[2 * k] + 1) / (edge[2 * k + 1] + 1)))
-    nothing = float(np.clip(np.log((edge[6] + 1) / (edge[7] + 1)) + 5, 3, 6))
-    kinds = np.maximum(np.array([sum(v[k] for v in got.values()) for k in range(5)], float), 1)
-    words = {}
-    for word, found in got.items():
-        share = (np.array(found[:5]) + 0.5) / (kinds + 1)
-        gain = np.clip(np.log(share[1:] / share[0]), 0, 1.5)
-        if gain.any():
-            words[word] = tuple(gain.tolist())
-    return Weights(nothing, nothing + float(np.clip(odds(1) - nothing, 1.5, 4)), nothing + float(np.clip(odds(2) - nothing, 0.7, 3)), float(np.clip(odds(0), 0, 0.3)), words)
+            found = np.array([(*k, v) for k, v in total.items()], np.int64)
+            yield record(schema, *found.T)
+
+    chain = F.least("chain", F.lit(2)).alias("chain")  # a node has two neighbours at most
+    counts = rows.mapInArrow(run, ", ".join(f"{c} long" for c, _ in schema)).groupBy("same", "alike", chain, "word", "label").agg(F.sum("n").alias("n"))
+    return fit(np.array([tuple(r) for r in counts.collect()], np.int64))
 
 
 _OUT = [("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())]

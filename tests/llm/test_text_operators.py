@@ -4,6 +4,7 @@ against brute force, exact values or held-out accuracy; odd tables for all."""
 import hashlib
 import math
 import random
+from collections import Counter
 import re
 import zlib
 
@@ -108,7 +109,7 @@ def exact_marginals(nodes, edges, weights):
     gain = [weights.chain, weights.same, weights.similar]
     total = np.full((len(nodes), 5), -np.inf)
     for labels in itertools.product(*allowed):
-        score = sum(weights.nothing for label, node in zip(labels, nodes) if not label and not node[3]) + sum(gain[k] for i, j, k in edges if labels[i] == labels[j])
+        score = sum(weights.nothing for label, node in zip(labels, nodes) if not label and not node[3]) + sum(gain[k] * alike for i, j, k, alike in edges if labels[i] == labels[j])
         for i, label in enumerate(labels):
             total[i, label] = np.logaddexp(total[i, label], score)
     return total
@@ -122,9 +123,9 @@ def test_messages_against_exact_inference():
         n = rng.randrange(2, 8)
         nodes = [(10 * k, 10 * k + 5, a := rng.random() < 0.3, (1 if a else rng.choice((2, 3, 4))) if rng.random() < 0.4 else 0) for k in range(n)]
         weights = pii.Weights(rng.uniform(3, 6), rng.uniform(5, 9), rng.uniform(4, 7), rng.uniform(0, 0.5))
-        tree = [(rng.randrange(j), j, rng.randrange(3)) for j in range(1, n)]
+        tree = [(rng.randrange(j), j, rng.randrange(3), rng.uniform(0.5, 1)) for j in range(1, n)]
         for loops in (False, True):
-            edges = tree + ([(i, j, rng.choice((0, 1, 2))) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.2] if loops else [])
+            edges = tree + ([(i, j, rng.choice((0, 1, 2)), 1.0) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.2] if loops else [])
             exact, got = exact_marginals(nodes, edges, weights), pii.beliefs(nodes, edges, weights)
             for i, node in enumerate(nodes):
                 if node[3]:
@@ -137,14 +138,65 @@ def test_messages_against_exact_inference():
                     assert want.argmax() == have.argmax()
 
 
-def test_a_word_alone_labels_nothing():
-    words = {"call": (1.5, 1.5, 1.5, 1.5)}
-    for nothing in (3.0, 6.0):
-        weights = pii.Weights(nothing, nothing + 1.5, nothing + 0.7, 0.3, words)
-        text = "mail a.b@x.com or call 846.721.5093 or call 846.721.5093"
-        assert pii.find(text, weights)[1] == pii.base_spans(text)
-        loose = "call +1 (555) 010-0099 then " + "call 1.555.010.0099 then " * 1000
-        assert len(pii.find(loose, weights)[1][3]) == 1001
+def test_default_weights_label_no_word_alone():
+    text = "mail a.b@x.com or call 846.721.5093 or call 846.721.5093"
+    assert pii.find(text, pii.Weights())[1] == pii.base_spans(text)
+    loose = "call +1 (555) 010-0099 then " + "call 1.555.010.0099 then " * 1000
+    assert len(pii.find(loose, pii.Weights())[1][3]) == 1001
+
+
+def corpus_of(spark, before_phones, before_others, n=400):
+    """Phones behind one word, loose numbers that nothing ties to them behind another."""
+    rng = random.Random(n)
+    number = lambda: "".join(rng.choice("123456789") for _ in range(10))
+    rows = []
+    for k in range(n):
+        phones = [f"+1{number()}" for _ in range(4)]
+        far = " and so on" * 30 + " "
+        rows.append((k, far.join([f"{before_phones} {p} twice {before_phones} {p}" for p in phones] + [f"{before_others} {number()}" for _ in range(6)])))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_two_corpora_give_different_labels(spark):
+    """What the corpora say of words flips a label both ways; the keys are the same."""
+    one, other = pii.train(corpus_of(spark, "ring", "invoice")), pii.train(corpus_of(spark, "invoice", "ring"))
+    far = " word" * 100
+    similar = lambda word: f"see +1 (555) 010-0099{far} {word} 777.555.010.0099{far}"
+    added = lambda text, weights: sum(map(len, pii.find(text, weights)[1])) - sum(map(len, pii.base_spans(text)))
+    assert added(similar("ring"), one) == 1 and added(similar("ring"), other) == 0
+    assert added(similar("invoice"), one) == 0 and added(similar("invoice"), other) == 1
+    assert one.of_word("ring") > 1 > -1 > one.of_word("invoice")
+    # an equal key outweighs the word, and without any key neither labels what is far from its words
+    same = f"see +1 (555) 010-0099{far} then 1.555.010.0099"
+    assert added(same, one) == added(same, other) == 1
+    assert added(f"see +1 (555) 010-0099{far} then 846.721.5093", one) == 0
+
+
+def test_masked_spans_are_found_again(spark):
+    """Recall and precision on hidden base spans: repeats of a key are labelled by the
+    others, single values and free numbers are not."""
+    weights = pii.train(corpus_of(spark, "ring", "invoice"))
+    found = wrong = hidden = free = 0
+    for r in corpus_of(spark, "ring", "invoice", 60).collect():
+        base = pii.base_spans(r.text)
+        masked = frozenset(base[3][::2])
+        nodes, edges = pii.network(r.text, base, masked)
+        labels = pii.settle(nodes, edges, weights, [pii.word_before(r.text, s) for s, *_ in nodes])
+        for (s, e, _, label), got in zip(nodes, labels):
+            if not label:
+                hidden += (s, e) in masked
+                free += (s, e) not in masked
+                found += (s, e) in masked and got == 4
+                wrong += (s, e) not in masked and got > 0
+    assert hidden == 240 and free == 360 and found >= 0.99 * hidden and wrong <= 0.01 * free
+
+
+def test_every_text_with_a_possible_span_is_counted(spark):
+    """Short numbers, spelled-out addresses: none is passed over before it is looked at."""
+    texts = ["at +44 20 794 60 58 now", "ip 1.2.3.4", "x (at) y", "no such thing", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = sum((pii.examples(t or "") for t in texts), Counter())
+    assert len(want) > 0 and pii.fit(np.array([(*k, v) for k, v in want.items()])) == pii.train(df)
 
 
 def test_learned_weights(spark):
