@@ -62,14 +62,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Scratch:
     """Written tables in the shared folder.  They cut lineage, survive lost
-    executors, and are dropped as soon as later tables replace them."""
+    executors, and are dropped as soon as later tables replace them.
 
-    opened: list["Scratch"] = []  # by this driver, not yet released
+    A step that runs within another gets that one's scratch as `under`: its tables lie
+    in the other's folder, and only the other releases them, once it has written what it
+    wanted of them.  Whatever is left then goes when the application ends."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        Scratch.opened.append(self)
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self.n, self.made = 0, []
+    def __init__(self, spark: SparkSession, label: str, under: "Scratch | None" = None):
+        self.spark, self.root = spark, f"{under.root if under else shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.n, self.made, self.children = 0, [], []
+        if under:
+            under.children.append(self)
+        else:
+            where = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
     def path(self, label: str = "t") -> str:
         self.n += 1
@@ -91,11 +97,17 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         self.remove(*[path for df in frames if (path := getattr(df, "_newsloom_path", None))])
 
-    def release_others(self) -> None:
-        """Removes what all others hold, once their results are written or not wanted."""
-        for other in [x for x in Scratch.opened if x is not self]:
-            other.remove(other.root)
-            Scratch.opened.remove(other)
+    def release(self) -> None:
+        """Removes all of this scratch and of what ran under it."""
+        self.remove(self.root)
+        self.children = []
+
+    def release_children(self) -> None:
+        """Removes the tables of the steps that ran under this one, whose results are
+        written or not wanted."""
+        for child in self.children:
+            child.release()
+        self.children = []
 
     def drop_others(self, *paths: str) -> None:
         """Removes all that was written so far but for these paths."""

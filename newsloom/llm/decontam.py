@@ -240,15 +240,15 @@ def _verdicts(rows: DataFrame, shared, earlier: bool, last: bool) -> DataFrame:
     return rows.mapInArrow(run, _OUT if last else "doc_id long, text string, hits binary, items array<string>, most long, name string, at long")
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, under: Scratch | None = None) -> DataFrame:
     """One row for each row of docs; no shuffle."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return _passes(spark, rows, benchmark, lambda rows, block, k, last: _verdicts(rows, block, k > 0, last))
+    return _passes(Scratch(spark, "decontam", under), rows, benchmark, lambda rows, block, k, last: _verdicts(rows, block, k > 0, last))
 
 
-def _passes(spark: SparkSession, rows: DataFrame, benchmark: DataFrame, one_pass) -> DataFrame:
+def _passes(scratch: Scratch, rows: DataFrame, benchmark: DataFrame, one_pass) -> DataFrame:
     """one_pass(rows, broadcast block, number, last) for each block in turn."""
-    scratch, before = Scratch(spark, "decontam"), None
+    spark, before = scratch.spark, None
     for k, (block, last) in enumerate(_blocks(scratch, benchmark)):
         shared = spark.sparkContext.broadcast(block)
         rows = one_pass(rows, shared, k, last)
@@ -261,7 +261,7 @@ def _passes(spark: SparkSession, rows: DataFrame, benchmark: DataFrame, one_pass
     return rows
 
 
-def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, under: Scratch | None = None) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated; no shuffle."""
     names, at, width = docs.columns, place(docs, "text"), len(docs.columns)
     docs = numbered(docs)
@@ -286,4 +286,4 @@ def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
 
         return rows.mapInArrow(run, schema if last else T.StructType([*schema.fields, T.StructField("_hits", T.BinaryType())]))
 
-    return _passes(spark, docs, benchmark, one_pass).toDF(*names)
+    return _passes(Scratch(spark, "decontam", under), docs, benchmark, one_pass).toDF(*names)

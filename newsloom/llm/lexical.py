@@ -289,9 +289,9 @@ def _search(scratch: Scratch, index: Index, items: DataFrame, k: int) -> DataFra
     return out
 
 
-def search(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
+def search(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = TOP, under: Scratch | None = None) -> DataFrame:
     """item_id, rank, doc_id, score: the k first documents of each item."""
-    scratch = Scratch(spark, "lexical")
+    scratch = Scratch(spark, "lexical", under)
     index, dealt = build(scratch, docs), _blocks(scratch, items)
     found = []
     for row in dealt.select("block").distinct().collect() if index.n_docs else []:

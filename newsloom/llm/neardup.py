@@ -23,9 +23,9 @@ What is lost: only pairs that share no bucket (at similarity s,
 Edge cases: a null text or one without words has an empty set and links with
 nothing; rows that share a doc_id count as one document (their links are
 pooled, each row is returned).  Rows with a null id link by their text alone, as
-a node of its digest, and never join what their texts do not; one that is linked
-to nothing with an id has the smallest component_id of the rows with a null id,
-or null (and is kept) if none of these is linked.  Extra columns are ignored.
+a node of its digest, and never join what their texts do not: such a row has the
+smallest doc_id that its text reaches, or null where it reaches none.  They cannot
+be told apart, so all are kept, as keep_one() keeps them.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -354,9 +354,9 @@ def _across(mixed: DataFrame, marks: DataFrame, sampling: bool) -> DataFrame:
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, under: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    scratch = Scratch(spark, "neardup")
+    scratch = Scratch(spark, "neardup", under)
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     wide = scratch.keep(over_batches(docs, _fingerprints, "doc_id long, node long, n_shingles long, digest binary, bands binary, signature binary"), "wide")
     prints = scratch.keep(wide.select("doc_id", "n_shingles", "digest"), "prints")
@@ -419,14 +419,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     of = scratch.keep(of, "of")
     held = [prints, of]
     out = join_hot(full, of, "digest", "copies").select("doc_id", "n_shingles", "component_id")
-    if strays:
-        out = scratch.keep(out, "rows")
-        held.append(out)
-        least = out.where("doc_id is null").agg(F.min("component_id")).first()[0]
-        out = out.withColumn("component_id", F.when(F.col("doc_id").isNull(), F.coalesce("component_id", F.lit(least).cast("long"))).otherwise(F.col("component_id")))
     out = out.unionByName(alone)
     scratch.drop_others(*[df._newsloom_path for df in held])
-    return out.withColumn("kept", F.expr("doc_id <=> component_id"))
+    return out.withColumn("kept", F.expr("doc_id is null or doc_id <=> component_id"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -440,14 +435,16 @@ def _linked(scratch: Scratch, docs: DataFrame, pairs: DataFrame, strays: bool) -
     return out
 
 
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, under: Scratch | None = None) -> DataFrame:
     """The rows of docs, all columns, whose document is the smallest of its
     group; of rows that repeat an id the one with the longest text stays (in
     code points), of equally long ones the one with the smallest xxhash64 of the
     text.  Rows without an id stay: they cannot be told apart."""
-    names, scratch = docs.columns, Scratch(spark, "keepone")
+    names, scratch = docs.columns, Scratch(spark, "keepone", under)
     plain, doc_id, text = numbered(docs), f"_c{place(docs, 'doc_id')}", f"_c{place(docs, 'text')}"
-    said = scratch.keep(near_duplicates(spark, docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "said")
+    found = near_duplicates(spark, docs, scratch).where("doc_id is not null")
+    said = scratch.keep(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "said")
+    scratch.release_children()
     # only rows that may go, or whose id repeats, are shuffled; the others stay as they are
     key = F.col(doc_id).cast("long")
     touched = may_be_in(bitmap(said.where("n > 1 or not kept"), F.xxhash64("doc_id")), F.xxhash64(key))

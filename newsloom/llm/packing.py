@@ -270,20 +270,21 @@ def places(groups: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
     return {"key": (table[:, 0] << 48) + table[:, 1], "sequence": table[:, 2], "offset": table[:, 3]}
 
 
-def pack(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, under: Scratch | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    scratch = Scratch(spark, "packing")
-    made = scratch.keep(pieces(docs, vocabulary), "pieces")
+    scratch = Scratch(spark, "packing", under)
+    # rows that repeat an id, or have none, are told apart by where they were written
+    made = scratch.keep(pieces(docs, vocabulary).withColumn("salt", F.monotonically_increasing_id()), "pieces")
     hist = np.zeros(CAPACITY + 1, np.int64)
     for row in made.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most CAPACITY rows
         hist[row.length] = row.n
     shared = spark.sparkContext.broadcast(places(plan(hist)))  # bounded by the patterns, not by the data
     buckets = int(min(1 << 16, max(64, hist.sum() // 20_000)))
-    dealt = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    dealt = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32"))
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32", "salt"))
     ranked = dealt.withColumn("within", within).join(starts, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within") - 1).alias("rank"))
 

@@ -259,9 +259,9 @@ def links(scratch: Scratch, prints: DataFrame) -> DataFrame:
     return _compare(rest).distinct()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, under: Scratch | None = None) -> DataFrame:
     """doc_id, fingerprint, component_id: one row for each row of docs."""
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(spark, "simhash", under)
     rows = scratch.keep(fingerprints(docs), "rows")
     classes = scratch.keep(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
     found = scratch.keep(links(scratch, classes).where("a <> b"), "links")

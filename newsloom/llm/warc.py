@@ -266,10 +266,10 @@ def _rejoin(marked: DataFrame, torn: DataFrame, raw: DataFrame) -> DataFrame:
     return held.select("held").mapInArrow(run, _RECORD)
 
 
-def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
+def round_trip(spark: SparkSession, pages: DataFrame, under: Scratch | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: archives
     written to the shared folder and read back."""
-    scratch = Scratch(spark, "warc")
+    scratch = Scratch(spark, "warc", under)
     path = scratch.path("archive")
     write(records(pages, scratch), path)
     scratch.drop_others(path)

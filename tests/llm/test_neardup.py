@@ -84,7 +84,7 @@ def test_repeated_and_null_ids(spark):
     text = "a b c d e f g h"
     df = spark.createDataFrame([(1, text, None, None), (1, "z y x w v u", None, None), (2, "z y x w v u", None, None), (None, text, None, None), (None, "alone in the whole wide world", None, None)], SCHEMA)
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark, df).collect()}
-    assert got == {(1, 4, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 4, 1, False), (None, 2, 1, False)}
+    assert got == {(1, 4, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 4, 1, True), (None, 2, None, True)}
     assert neardup.near_duplicates(spark, df.limit(0)).count() == 0
     kept = neardup.keep_one(spark, df)
     assert kept.columns == df.columns and sorted(r[0] or 0 for r in kept.collect()) == [0, 0, 1]
@@ -104,13 +104,23 @@ def test_null_ids_join_nothing_but_their_texts(spark):
     got = neardup.near_duplicates(spark, df.repartition(4)).collect()
     assert len(got) == len(rows)
     assert {r.doc_id: (r.component_id, r.kept) for r in got if r.doc_id} == {5: (5, True), 6: (5, False), 9: (9, True), big: (big, True), big + 1: (big, False)}
-    assert sorted(r.component_id or 0 for r in got if r.doc_id is None) == [0, 5, 5, 5, 9, 9, 9, 9, big, big]
+    assert sorted(r.component_id or 0 for r in got if r.doc_id is None) == [0, 0, 5, 5, 9, 9, 9, 9, big, big]
+    assert all(r.kept for r in got if r.doc_id is None)
     assert sorted(r.doc_id or 0 for r in neardup.keep_one(spark, df).collect()) == [0] * 10 + [5, 9, big]
     unnamed = spark.createDataFrame([(d, t, None, None) for d, t in rows if d is None], SCHEMA)
     none = neardup.near_duplicates(spark, unnamed).collect()
     assert {(r.component_id, r.kept) for r in none} == {(None, True)}
 
 
+def test_rows_without_an_id_reach_no_strangers(spark):
+    """A text that shares nothing with any other stays alone, and the stage agrees."""
+    a, b, c = ("one two three four five six seven", "alpha beta gamma delta epsilon zeta", "red green blue white black brown")
+    df = spark.createDataFrame([(5, a, None, None), (None, a, None, None), (None, b, None, None), (9, c, None, None)], SCHEMA)
+    got = sorted(((r.doc_id or 0, r.component_id, r.kept) for r in neardup.near_duplicates(spark, df).collect()), key=str)
+    assert got == [(0, 5, True), (0, None, True), (5, 5, True), (9, 9, True)]
+    assert sorted(r.text for r in neardup.keep_one(spark, df).collect()) == sorted([a, a, b, c])
+
+
 def test_repeated_ids_keep_the_longest_text(spark):
     rows = [(1, "short one"), (1, None), (1, "the longest text of the three"), (2, "other words"), (3, None), (3, "")]
     for k in (1, 3, 6):

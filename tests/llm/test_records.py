@@ -144,6 +144,27 @@ def test_pipeline(spark):
     assert got.groupby("sequence_id").length.sum().max() <= packing.CAPACITY and got.doc_id.nunique() > 100
 
 
+def test_pipelines_leave_other_tables_alone(spark):
+    """Results written before and beside a pipeline can still be read after it; of
+    a pipeline only its last table is left."""
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    import corpus_pipeline
+
+    sf = f"{DATA}/sf0.001"
+    docs, pages = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "pages"))
+    groups, archive, packed = neardup.near_duplicates(spark, docs), warc.round_trip(spark, pages), packing.pack(spark, docs, packing_path())
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(shared))
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(lambda _: corpus_pipeline.run(spark, sf), range(2))
+    assert sorted(map(tuple, one.select("doc_id", "piece", "length").collect())) == sorted(map(tuple, two.select("doc_id", "piece", "length").collect()))
+    assert groups.count() == docs.count() and archive.count() == pages.count() and packed.select("doc_id").distinct().count() == docs.count()
+    fresh = [os.path.join(shared, d) for d in set(os.listdir(shared)) - before]
+    assert len(fresh) == 2 and all([d.startswith("packing") for d in os.listdir(f)] == [True] for f in fresh)
+
+
 def packing_path():
     from public_tokenizers import path
 
