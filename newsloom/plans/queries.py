@@ -30,13 +30,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import console, live, records  # noqa: F401  they register their queries
+    from . import console, edits, live, records  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import console, live, records  # noqa: F401
+    from . import console, edits, live, records  # noqa: F401
 
     return dict(_SQL)
 

@@ -27,12 +27,12 @@ from __future__ import annotations
 import hashlib
 import importlib
 import json
-import os
 import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
@@ -44,31 +44,30 @@ LIMITED_MS = 60_000
 
 
 class Folder:
-    """One JSON file for each key; a write is whole or not there."""
+    """One JSON file for each key, in any store that pyarrow opens; a write is whole or
+    not there."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.store, self.path = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
-    def _file(self, key: str) -> str:
+    def _file(self, key: str) -> tuple[str, str]:
         name = hashlib.sha1(key.encode()).hexdigest()
-        return os.path.join(self.path, f"p={name[:2]}", f"{name}.json")
+        return f"{self.path}/p={name[:2]}", f"{name}.json"
 
     def get(self, key: str) -> dict | None:
         try:
-            with open(self._file(key), encoding="utf-8") as f:
-                return json.load(f)
+            with self.store.open_input_file("/".join(self._file(key))) as f:
+                return json.loads(f.read())
         except FileNotFoundError:
             return None
 
     def put(self, key: str, row: dict) -> None:
-        path = self._file(key)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        part = os.path.join(os.path.dirname(path), f"_{uuid.uuid4().hex}")  # Spark skips such names
-        with open(part, "w", encoding="utf-8") as f:
-            json.dump(row, f, ensure_ascii=False)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(part, path)
+        folder, name = self._file(key)
+        self.store.create_dir(folder)
+        part = f"{folder}/_{uuid.uuid4().hex}"  # Spark skips such names
+        with self.store.open_output_stream(part) as f:
+            f.write(json.dumps(row, ensure_ascii=False).encode())
+        self.store.move(part, f"{folder}/{name}")
 
 
 def _named(name: str):
@@ -76,6 +75,11 @@ def _named(name: str):
     return getattr(importlib.import_module(module), function)
 
 
+def dry_run(method: str, body: str) -> tuple[int, str]:
+    """A sender that sends nothing: every post is taken, its number is its length."""
+    return 200, json.dumps({"ok": True, "result": {"message_id": len(body)}})
+
+
 @dataclass
 class Sent(WriterCommitMessage):
     sent: int
@@ -91,7 +95,7 @@ class _Writer:
 
     def write(self, rows: Iterator) -> Sent:
         where = self.options["ledger"]
-        ledger = _named(where)() if ":" in where and not os.path.isabs(where) else Folder(where)
+        ledger = Folder(where) if "/" in where else _named(where)()
         send, pause = _named(self.options["sender"]), float(self.options.get("pause_ms", PAUSE_MS))
         count = {"sent": 0, "skipped": 0, "rejected": 0}
         for row in rows:
@@ -103,12 +107,12 @@ class _Writer:
                 continue
             found = self._send(send, row, known, pause)
             tries = 1 + (known.get("tries", 0) if not known.get("ok") else 0)
-            ledger.put(key, {"message": row["message"], "target": row["target"], "method": row["method"], "digest": digest, **found, "at": int(time.time() * 1000), "tries": tries})
+            ledger.put(key, {"message": row["message"], "target": row["target"], "digest": digest, **found, "at": int(time.time() * 1000), "tries": tries})
             count["sent" if found["ok"] else "rejected"] += 1
         return Sent(**count)
 
     def _send(self, send, row, known: dict, pause: float) -> dict:
-        """ok, tgId and error of one send; a known post is edited."""
+        """Method, ok, tgId and error of one send; a known post is edited."""
         method, body = row["method"], row["body"]
         if known.get("tgId") and method != "editMessageText":
             told = json.loads(body)
@@ -120,25 +124,25 @@ class _Writer:
                 status, text = send(method, body)
             except Exception as failure:  # the transport failed: what the service did is unknown, and it is asked again next time
                 time.sleep(pause / 1000)
-                return {"ok": False, "tgId": known.get("tgId"), "error": str(failure)}
+                return {"method": method, "ok": False, "tgId": known.get("tgId"), "error": str(failure)}
             try:
                 told = json.loads(text)
             except ValueError:
                 told = None
             if not isinstance(told, dict) or not isinstance(told.get("ok"), bool):
                 time.sleep(pause / 1000)
-                return {"ok": False, "tgId": known.get("tgId"), "error": f"not an answer (HTTP {status})"}
+                return {"method": method, "ok": False, "tgId": known.get("tgId"), "error": f"not an answer (HTTP {status})"}
             after = (told.get("parameters") or {}).get("retry_after")
             if not told["ok"]:
                 wait = after * 1000 if after is not None else LIMITED_MS if status == 429 else None
             time.sleep(max(wait or 0, pause) / 1000)
             if told["ok"]:
                 number = (told.get("result") or {}).get("message_id", "") if isinstance(told.get("result"), dict) else ""
-                return {"ok": True, "tgId": known.get("tgId") or str(number), "error": None}
+                return {"method": method, "ok": True, "tgId": known.get("tgId") or str(number), "error": None}
             error = told.get("description") or "no description"
             if wait is None:
                 break
-        return {"ok": False, "tgId": known.get("tgId"), "error": error}
+        return {"method": method, "ok": False, "tgId": known.get("tgId"), "error": error}
 
 
 class _BatchWriter(_Writer, DataSourceWriter):

@@ -6,6 +6,8 @@ Options:
 - channels: comma-separated ids, one partition each;
 - reader: module:function(channel, after) that yields (id, body, postedAt) of one page
   of posts after an id (None: from the first), oldest first, nothing at the end;
+- folder: instead of a reader, an archive of JSON lines (id, body, postedAt) under
+  source_id=<channel>, as Spark writes it, in any store that pyarrow opens;
 - after: JSON of the last id of each channel, where a first run begins.
 
 Stream offsets are {channel: last id}; ids compare as numbers.  A micro-batch reaches
@@ -17,15 +19,35 @@ killed; the sink must overwrite what a batch id wrote before (see flows.write_ba
 
 from __future__ import annotations
 
+import heapq
 import importlib
+import io
 import json
 from collections.abc import Iterator
+from urllib.parse import quote
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "source_id string, id string, body string, postedAt string"
 
 
+PAGE = 1000  # posts of an archive's page
+
+
+def archived(folder: str, channel: str, after: str | None) -> list[tuple]:
+    """A page of an archived channel: the PAGE posts that follow an id."""
+    store, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    found: list[tuple] = []
+    for file in store.get_file_info(fs.FileSelector(f"{path}/source_id={quote(channel, safe=' ')}", allow_not_found=True)):
+        if not file.base_name.startswith(("_", ".")):
+            with store.open_input_stream(file.path, compression=None) as lines:
+                rows = (json.loads(line) for line in io.TextIOWrapper(lines, "utf-8"))
+                new = [(r["id"], r.get("body"), r.get("postedAt")) for r in rows if after is None or int(r["id"]) > int(after)]
+            found = heapq.nsmallest(PAGE, found + new, key=lambda r: int(r[0]))
+    return found
+
+
 class ChannelPosts(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -49,10 +71,15 @@ class _Channels:
         self.channels = [c.strip() for c in self.options["channels"].split(",") if c.strip()]
         self.after = json.loads(self.options.get("after", "{}"))
 
+    def page(self):
+        if folder := self.options.get("folder"):
+            return lambda channel, after: archived(folder, channel, after)
+        module, _, function = self.options["reader"].partition(":")
+        return getattr(importlib.import_module(module), function)
+
     def posts(self, channel: str, after: str | None, last: str | None = None) -> Iterator[tuple]:
         """Page after page, up to an id."""
-        module, _, function = self.options["reader"].partition(":")
-        page = getattr(importlib.import_module(module), function)
+        page = self.page()
         while True:
             found = list(page(channel, after))
             for id, body, posted in found:
