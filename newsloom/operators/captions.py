@@ -23,17 +23,19 @@ def caption_lines(raw) -> Column:
 
 
 def chunks(lines: Column, seconds: int = CHUNK_SECONDS) -> Column:
-    """Lines joined until one starts `seconds` after its chunk's first line."""
-    none = F.array().cast(_CHUNKS)
+    """Lines joined until one starts `seconds` after its chunk's first line.  The fold
+    carries the places where chunks begin, no text; each text is joined once."""
+    begin = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("first"))
 
     def add(done: Column, line: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        near = (F.size(done) > 0) & (line["start"] - last["start"] < seconds)
-        grown = F.struct(last["start"].alias("start"), F.concat(last["text"], F.lit(" "), line["text"]).alias("text"))
-        fresh = F.struct(line["start"].alias("start"), line["text"].alias("text"))
-        return F.when(near, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(fresh))).cast(_CHUNKS)
-
-    return F.aggregate(lines, none, add)
+        fresh = done["first"].isNull() | (line["start"] - done["first"] >= seconds)
+        at = F.when(fresh, F.concat(done["at"], F.array(done["n"]))).otherwise(done["at"])
+        return F.struct(at.alias("at"), (done["n"] + 1).alias("n"), F.when(fresh, line["start"]).otherwise(done["first"]).alias("first"))
+
+    at = F.aggregate(lines, begin, add, lambda done: done["at"])
+    size = lambda k, p: F.coalesce(F.get(at, k + 1), F.size(lines)) - p
+    text = lambda k, p: F.array_join(F.transform(F.slice(lines, p + 1, size(k, p)), lambda x: x["text"]), " ")
+    return F.transform(at, lambda p, k: F.struct(F.get(lines, p)["start"].alias("start"), text(k, p).alias("text"))).cast(_CHUNKS)
 
 
 def transcript(id, title, channel, duration, lang, parts) -> Column:

@@ -405,7 +405,20 @@ def stale_documents(spark, sf):
     return tables.stale(views.load(spark, sf, "customer").select(F.col("c_custkey").alias("id")), snapshot)
 
 
-@query()
+_TALK_SQL = r"""WITH RECURSIVE l AS (
+  SELECT conv_id, start, said, row_number() OVER (PARTITION BY conv_id ORDER BY start, said) AS n
+  FROM (SELECT conv_id, 10 * turn AS start, trim(regexp_replace(coalesce(text, ''), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS said FROM conversations) WHERE said <> ''),
+st AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(s BIGINT, t VARCHAR)[]) AS c FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT st.conv_id, l.n, CASE WHEN len(c) > 0 AND start - c[-1].s < 25 THEN list_append(c[:-2], {'s': c[-1].s, 't': c[-1].t || ' ' || said}) ELSE list_append(c, {'s': start, 't': said}) END
+  FROM st JOIN l ON l.conv_id = st.conv_id AND l.n = st.n + 1),
+e AS (SELECT conv_id, c, 'https://www.youtube.com/watch?v=' || conv_id AS url FROM st QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1)
+SELECT conv_id, CAST(len(c) AS BIGINT) AS n_chunks, md5('# Talk ' || conv_id || chr(10) || chr(10) || url || chr(10) || chr(10) || '> channel · 1:02:05 · captions: en' || chr(10) || chr(10) || array_to_string(
+  ['- [' || CASE WHEN x.s < 3600 THEN printf('%02d:%02d', x.s // 60, x.s % 60) ELSE printf('%d:%02d:%02d', x.s // 3600, x.s % 3600 // 60, x.s % 60) END || '](' || url || '&t=' || x.s || 's) ' || x.t FOR x IN c], chr(10)) || chr(10)) AS digest FROM e"""
+
+
+@query(_TALK_SQL)
 def transcripts(spark, sf):
     """One transcript for each conversation: a caption line every ten seconds."""
     c = views.load(spark, sf, "conversations").select("conv_id", F.struct((F.col("turn") * 10).cast("long").alias("start"), text.squeeze(F.coalesce("text", F.lit(""))).alias("text")).alias("line"))
