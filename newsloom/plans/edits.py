@@ -79,6 +79,25 @@ def curve_lines(spark, sf):
     return calibrate.curve_csv(curve.withColumns({c: F.round(c, 3) for c in ("autoMergePrecision", "autoSplitRecall", "bandFraction")}))
 
 
+@query("SELECT p_partkey AS id, lower(p_type) || '-' || p_size AS tag FROM part")
+def tag_ids(spark, sf):
+    p = views.load(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("id"), console.tag_id(F.concat(F.lit("  "), F.col("p_type"), F.lit(" \t "), F.col("p_size").cast("string"))).alias("tag"))
+
+
+@query("SELECT 'feed' || s_suppkey AS id, 'ok' AS status, 'telegram' AS type, false AS is_new FROM supplier UNION ALL SELECT 'freshfeed', 'ok', 'telegram', true")
+def added_source(spark, sf):
+    """An agent's new source beside those there are."""
+    s = views.load(spark, sf, "supplier").select(F.concat(F.lit("feed"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("ok").alias("status"), F.lit("telegram").alias("type"), F.lit(None).cast("string").alias("teaser"))
+    return console.add_source(s, {"id": "freshfeed", "teaser": "read more"}).select("id", "status", "type", (F.col("teaser").isNotNull()).alias("is_new"))
+
+
+@query("SELECT c_name AS email, c_custkey % 2 = 0 AS enabled, lower(c_mktsegment) AS role FROM customer WHERE c_name = 'Customer#000000010'")
+def whoami(spark, sf):
+    users = views.load(spark, sf, "customer").select(F.col("c_name").alias("email"), (F.col("c_custkey") % 2 == 0).alias("enabled"), F.array(F.lower("c_mktsegment")).alias("roles"))
+    return console.whoami(users, "Customer#000000010").select("email", "enabled", F.element_at("roles", 1).alias("role"))
+
+
 # -- readers
 
 
