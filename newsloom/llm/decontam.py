@@ -9,8 +9,9 @@ hits on one diagonal join into the longest verbatim matches and their places.
 The benchmark is the query set.  Tasks turn it into word hashes and deal these into
 blocks of at most BLOCK_WORDS words (a longer item is cut, with WINDOW - 1 words of
 overlap), a written table.  One block at a time is loaded, broadcast (a proven size
-bound) and released; with several blocks the documents and their hits so far are a
-written table between two passes.
+bound) and released.  With several blocks the documents are written once, with a
+number for each row; each block reads their texts and writes the hits alone, which meet
+by that number at the end.
 
 Edge cases: null or empty texts have no words and are never contaminated; an
 item without words has no window; an item of fewer than WINDOW words is one
@@ -30,9 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._spark import Scratch, numbered, pick, place, record
+from ._spark import Scratch, bitmap, may_be_in, numbered, pick, place, record
 from ._text import ALNUM_WORDS, Words, slices
 
 WINDOW = 13
@@ -210,80 +210,123 @@ def _search(batch_texts: pa.Array, block: Block):
             yield int(words.counts[d]), covered[cuts[d] : cuts[d + 1]] - words.first[d], ids, int(most[d]), name[d], int(where[d])
 
 
-def _verdicts(rows: DataFrame, shared, earlier: bool, last: bool) -> DataFrame:
-    """One pass over the documents with one block.  Between passes a row carries
-    its text, hit words and items; the last pass makes the result."""
-    carried = [("doc_id", pa.int64()), ("text", pa.large_string()), ("hits", pa.binary()), ("items", pa.list_(pa.string())), ("most", pa.int64()), ("name", pa.string()), ("at", pa.int64())]
-    final = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest_match", pa.int64()), ("longest_item", pa.string()), ("longest_at", pa.int64())]
+_FOUND = [("row", pa.int64()), ("n", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.string())), ("most", pa.int64()), ("name", pa.string()), ("at", pa.int64())]
+_FINAL = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest_match", pa.int64()), ("longest_item", pa.string()), ("longest_at", pa.int64())]
+
+
+def _dirty(n: int, hits: int) -> bool:
+    return hits > 0 and 20 * hits >= n
+
+
+def _final(n: int, hits: int, ids: set | list, most: int, name: str | None, at: int) -> tuple:
+    ids = sorted(ids)
+    return n, hits, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), _dirty(n, hits), most, name, at
+
+
+def _one_pass(rows: DataFrame, shared) -> DataFrame:
+    """The verdicts of rows (doc_id, text) where one block holds the whole benchmark."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = [_final(n, 0 if hits is None else len(hits), *rest) for n, hits, *rest in _search(batch.column(1), shared.value)]
+                yield record(_FINAL, batch.column(0), *map(list, zip(*found)))
+
+    return rows.mapInArrow(run, _OUT)
+
+
+def _hits(rows: DataFrame, shared) -> DataFrame:
+    """What one block finds in rows (row, text): only rows with hits come out."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = [(row.as_py(), n, hits.tobytes(), sorted(ids), most, name, at) for row, (n, hits, ids, most, name, at) in zip(batch.column(0), _search(batch.column(1), shared.value)) if hits is not None]
+                if found:
+                    yield record(_FOUND, *map(list, zip(*found)))
+
+    return rows.mapInArrow(run, "row long, n long, hits binary, items array<string>, most long, name string, at long")
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """One row for each document with hits, whichever blocks they are of."""
+    parts = found.groupBy("row").agg(F.collect_list(F.struct("n", "hits", "items", "most", "name", "at")).alias("parts"))  # one for each block at most
+    schema = [("row", pa.int64()), *_FINAL[1:]]
 
     def run(batches):
-        block = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
             out = []
-            for k, (n, hits, ids, most, name, at) in enumerate(_search(batch.column(1), block)):
-                hits = np.zeros(0, np.int64) if hits is None else hits
-                if earlier:
-                    hits = np.union1d(hits, np.frombuffer(batch.column(2)[k].as_py(), np.int64))
-                    ids = {*ids, *batch.column(3)[k].as_py()}
-                    if batch.column(4)[k].as_py() >= most:
-                        most, name, at = (batch.column(c)[k].as_py() for c in (4, 5, 6))
-                if last:
-                    ids = sorted(ids)
-                    out.append((n, len(hits), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), len(hits) > 0 and 20 * len(hits) >= n, most, name, at))
-                else:
-                    out.append((hits.tobytes(), sorted(ids), most, name, at))
-            kept = (batch.column(0),) if last else (batch.column(0), batch.column(1).cast(pa.large_string()))
-            yield record(final if last else carried, *kept, *map(list, zip(*out)))
-
-    return rows.mapInArrow(run, _OUT if last else "doc_id long, text string, hits binary, items array<string>, most long, name string, at long")
+            for row, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hits = np.unique(np.concatenate([np.frombuffer(p["hits"], np.int64) for p in parts]))
+                best = min(parts, key=lambda p: (-p["most"], p["name"] or "", p["at"]))
+                out.append((row, *_final(parts[0]["n"], len(hits), {i for p in parts for i in p["items"]}, best["most"], best["name"], best["at"])))
+            if out:
+                yield record(schema, *map(list, zip(*out)))
+
+    return parts.mapInArrow(run, _OUT.replace("doc_id", "row", 1))
+
+
+def _by_blocks(scratch: Scratch, rows: DataFrame, text: str, block: Block, blocks) -> tuple[DataFrame, DataFrame]:
+    """(rows with a number, what all blocks find by that number).  The rows are written
+    once, whatever the number of blocks; each block reads their texts and writes hits."""
+    kept, found, last = scratch.keep(rows.withColumn("_row", F.monotonically_increasing_id()), "rows"), [], False
+    texts = kept.select(F.col("_row").alias("row"), F.col(text).alias("text"))
+    while True:
+        shared = scratch.spark.sparkContext.broadcast(block)
+        found.append(scratch.keep(_hits(texts, shared), "hits"))
+        shared.destroy()
+        if last:
+            break
+        block, last = next(blocks)
+    every = found[0]
+    for one in found[1:]:
+        every = every.unionByName(one)
+    merged = scratch.keep(_merged(every), "merged")
+    scratch.drop(*found)
+    return kept, merged
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, under: Scratch | None = None) -> DataFrame:
-    """One row for each row of docs; no shuffle."""
+    """One row for each row of docs; no shuffle of texts."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return _passes(Scratch(spark, "decontam", under), rows, benchmark, lambda rows, block, k, last: _verdicts(rows, block, k > 0, last))
-
-
-def _passes(scratch: Scratch, rows: DataFrame, benchmark: DataFrame, one_pass) -> DataFrame:
-    """one_pass(rows, broadcast block, number, last) for each block in turn."""
-    spark, before = scratch.spark, None
-    for k, (block, last) in enumerate(_blocks(scratch, benchmark)):
-        shared = spark.sparkContext.broadcast(block)
-        rows = one_pass(rows, shared, k, last)
-        if not last:
-            rows = scratch.keep(rows, "hits")
-            shared.destroy()
-            if before is not None:
-                scratch.drop(before)
-            before = rows
-    return rows
+    scratch = Scratch(spark, "decontam", under)
+    blocks = _blocks(scratch, benchmark)
+    block, last = next(blocks)
+    if last:
+        next(blocks, None)  # lets go of the written benchmark
+        return _one_pass(rows, spark.sparkContext.broadcast(block))
+    kept, merged = _by_blocks(scratch, rows, "text", block, blocks)
+    next(blocks, None)
+    hit = may_be_in(bitmap(merged, F.xxhash64("row")), F.xxhash64("_row"))
+    known = kept.where(hit).select("doc_id", F.col("_row").alias("row")).join(merged, "row").drop("row")
+    none = spark.sparkContext.broadcast(make_block([], Words.of_hashes(np.zeros(0, np.uint64), np.zeros(0, np.int64))))
+    # rows whose number has its bit by chance have no hits either
+    rest = kept.where(~hit).select("doc_id", "text").unionByName(kept.where(hit).join(merged, kept["_row"] == merged["row"], "left_anti").select("doc_id", "text"))
+    return known.unionByName(_one_pass(rest, none))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, under: Scratch | None = None) -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated; no shuffle."""
-    names, at, width = docs.columns, place(docs, "text"), len(docs.columns)
+    """The rows of docs, all columns, that are not contaminated; only rows that may have
+    to go are shuffled, and none where one block holds the benchmark."""
+    names, at = docs.columns, place(docs, "text")
     docs = numbered(docs)
-    schema = docs.schema
-
-    def one_pass(rows: DataFrame, shared, k: int, last: bool) -> DataFrame:
-        earlier = k > 0
-
-        def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                dirty, hits = [], []
-                for k, (n, found, *_) in enumerate(_search(batch.column(at), shared.value)):
-                    found = np.zeros(0, np.int64) if found is None else found
-                    if earlier:
-                        found = np.union1d(found, np.frombuffer(batch.column(width)[k].as_py(), np.int64))
-                    dirty.append(len(found) > 0 and 20 * len(found) >= n)
-                    hits.append(found.tobytes())
-                batch = batch.select(range(width))
-                yield batch.filter(pa.array([not d for d in dirty])) if last else batch.append_column("_hits", pa.array(hits, pa.binary()))
-
-        return rows.mapInArrow(run, schema if last else T.StructType([*schema.fields, T.StructField("_hits", T.BinaryType())]))
-
-    return _passes(Scratch(spark, "decontam", under), docs, benchmark, one_pass).toDF(*names)
+    scratch = Scratch(spark, "decontam", under)
+    blocks = _blocks(scratch, benchmark)
+    block, last = next(blocks)
+    if not last:
+        kept, merged = _by_blocks(scratch, docs, docs.columns[at], block, blocks)
+        next(blocks, None)
+        dirty = scratch.keep(merged.where("contaminated").select("row"), "dirty")
+        hit = may_be_in(bitmap(dirty, F.xxhash64("row")), F.xxhash64("_row"))
+        rest = kept.where(hit).join(dirty, kept["_row"] == dirty["row"], "left_anti")
+        return kept.where(~hit).unionByName(rest).drop("_row").toDF(*names)
+    next(blocks, None)
+    shared = spark.sparkContext.broadcast(block)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                clean = [hits is None or not _dirty(n, len(hits)) for n, hits, *_ in _search(batch.column(at), shared.value)]
+                yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
