@@ -34,7 +34,7 @@ from ._text import BLANK_WORDS, Words, slices
 CAPACITY = 2048
 SEPARATOR = 0
 FIT_STEPS = 60
-_CACHE = 3_000_000  # ids a task holds for words seen before; beyond it the memory starts anew
+_CACHE = 1_000_000  # ids a task holds for words seen before; beyond it the memory starts anew
 
 
 def _byte_characters() -> dict[str, int]:
