@@ -8,6 +8,8 @@ Options:
   of posts after an id (None: from the first), oldest first, nothing at the end;
 - folder: instead of a reader, an archive of JSON lines (id, body, postedAt) under
   source_id=<channel>, as Spark writes it, in any store that pyarrow opens;
+- newest: module:function(channel) that returns the newest id, or None; without it a
+  stream looks for it page by page on the driver, from where it last stood;
 - after: JSON of the last id of each channel, where a first run begins.
 
 Stream offsets are {channel: last id}; ids compare as numbers.  A micro-batch reaches
@@ -74,7 +76,10 @@ class _Channels:
     def page(self):
         if folder := self.options.get("folder"):
             return lambda channel, after: archived(folder, channel, after)
-        module, _, function = self.options["reader"].partition(":")
+        return self.named("reader")
+
+    def named(self, option: str):
+        module, _, function = self.options[option].partition(":")
         return getattr(importlib.import_module(module), function)
 
     def posts(self, channel: str, after: str | None, last: str | None = None) -> Iterator[tuple]:
@@ -104,9 +109,12 @@ class _StreamReader(_Channels, DataSourceStreamReader):
         return {c: self.after.get(c) for c in self.channels}
 
     def latestOffset(self) -> dict:
-        """The newest id of each channel: pages are read from the last known one."""
+        """The newest id of each channel."""
         known = getattr(self, "known", None) or self.initialOffset()
         for c in self.channels:
+            if "newest" in self.options:
+                known[c] = self.named("newest")(c) or known.get(c)
+                continue
             for _, id, _, _ in self.posts(c, known.get(c)):
                 known[c] = id
         self.known = known

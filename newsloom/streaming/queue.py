@@ -4,7 +4,9 @@ Both streams take a log with an event time `ts` and give the state of a key afte
 row.  Timers fire when the watermark passes, so a run over what is available ends by
 itself, and a log that is read again gives the same states, whatever the batches:
 rows of one batch are taken in the order of their times, and a lease that ran out
-before a row came is settled before it."""
+before a row came is settled before it.  Rows further behind the newest than `lateness`
+are dropped by Spark, which counts them in the query's progress
+(numRowsDroppedByWatermark); flows.count_hours counts such rows itself."""
 
 from __future__ import annotations
 

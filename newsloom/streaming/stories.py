@@ -39,6 +39,7 @@ class KeptDay(Day):
     def __init__(self, kept: "_Merge", *args, **named):
         super().__init__(*args, **named)
         self.kept, self.absent = kept, set()
+        self.had: dict[str, set[str]] = {}  # the members of stories as they came from the state
 
     def ids_of(self, part: str, term: str) -> set[str]:
         if (part, term) not in self.index:
@@ -53,6 +54,7 @@ class KeptDay(Day):
                 self.absent.add(id)
             else:
                 e, t, g, tags, image, members, *last = found
+                self.had[id] = set(members)
                 self.stories[id] = Story(id, 0, dict(zip(PARTS, (set(e), set(t), set(g)))), list(tags), image, dict.fromkeys(members, self.now), dict(zip(_FIELDS, last)), stored=True)
         return self.stories.get(id)
 
@@ -68,12 +70,13 @@ class KeptDay(Day):
     def forget(self, id: str) -> None:
         super().forget(id)
         self.absent.add(id)  # what the state still holds is void
+        self.had.pop(id, None)
 
     def save(self) -> None:
         for s in self.stories.values():
             if s.touched:
                 self.kept.stories.updateValue((s.id,), (*[sorted(s.sets[p]) for p in PARTS], list(s.tags), s.image, list(s.members), *[s.last.get(f) for f in _FIELDS]))
-                for item in s.members:
+                for item in s.members.keys() - self.had.get(s.id, set()):
                     found = self.kept.homes.getValue((item,))
                     of = set(found[0]) if found else set()
                     if s.id not in of:

@@ -12,6 +12,12 @@ def page(channel, after):
     return [(r["id"], r["body"], "2024-01-01T00:00:00Z") for r in rows if after is None or r["id"] > int(after)][:2]
 
 
+def newest(channel):
+    """The last id of a channel's file."""
+    path = Path(os.environ["NEWSLOOM_TEST"]) / f"{channel}.jsonl"
+    return str(max(json.loads(line)["id"] for line in path.read_text().splitlines())) if path.exists() else None
+
+
 def bot(method, body):
     """Logs each call; fails as the folder's files say: `dies` after so many calls,
     chats in `rejects` always, those in `limits` once."""

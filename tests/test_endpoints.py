@@ -36,7 +36,8 @@ def test_batch_reader_pages_through(spark, place):
     assert sorted((r.source_id, int(r.id)) for r in rows.collect()) == [("a", 9), ("a", 10), ("a", 11), ("b", 7)]
 
 
-def test_stream_moves_its_offset_on_commit_only(spark, place, tmp_path):
+@pytest.mark.parametrize("newest", [False, True])
+def test_stream_moves_its_offset_on_commit_only(spark, place, tmp_path, newest):
     """The first batch fails after it was read; the next run writes it whole."""
     out, fail = str(tmp_path / "out"), [True]
 
@@ -46,7 +47,8 @@ def test_stream_moves_its_offset_on_commit_only(spark, place, tmp_path):
             raise OSError("killed between write and commit")
 
     def run():
-        stream = spark.readStream.format("channel_posts").option("channels", "a,b").option("reader", "tests.fakes:page").load()
+        stream = spark.readStream.format("channel_posts").option("channels", "a,b,none").option("reader", "tests.fakes:page")
+        stream = (stream.option("newest", "tests.fakes:newest") if newest else stream).load()
         return flows.write_batches(stream, str(tmp_path / "check"), save)
 
     post(place, "a", 1, 2, 3)
