@@ -111,10 +111,10 @@ def story_stream(spark, sf):
     return _stories(_streamed(spark, log, lambda s: merge.merge_stories(s, NOW_MS)).where("kind = 'story'"))
 
 
-@query(_FOLD_SQL + " SELECT date, p AS id, split_part(p, '->', 1) AS item, split_part(p, '->', 2) AS story FROM (SELECT date, unnest(pairs) AS p FROM ended)")
+@query(_FOLD_SQL.replace("score > 0.35", "score > 0.1") + " SELECT date, p AS id, split_part(p, '->', 1) AS item, split_part(p, '->', 2) AS story FROM (SELECT date, unnest(pairs) AS p FROM ended)")
 def story_band_pairs(spark, sf):
-    """What an adjudicator is asked."""
-    return stories.band_pairs(stories.fold(views.items(spark, sf), NOW_MS)).select("date", "id", "item", "story")
+    """What an adjudicator is asked under a wider band, as few pairs here score 0.35."""
+    return stories.band_pairs(stories.fold(views.items(spark, sf), NOW_MS, band=(0.1, 0.72))).select("date", "id", "item", "story")
 
 
 @query(_FOLD_SQL + " SELECT x.id AS id, 'topublish' AS status, true AS republish, CAST(len(x.m) AS BIGINT) AS n_blocks, list_sort(x.m)[1] AS first FROM told")
