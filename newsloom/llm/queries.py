@@ -283,8 +283,30 @@ r AS (SELECT item, rid, score, row_number() OVER (PARTITION BY item ORDER BY sco
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r JOIN i USING (item) JOIN m USING (rid)"""
 
 
+# crc32 of a decimal number: each byte joins the state, then eight shifts (-1)
+_CRC = """xor(list_reduce([CASE WHEN k % 9 = 0 THEN CAST(ord(substr(CAST(doc_id AS VARCHAR), k // 9 + 1, 1)) AS BIGINT) ELSE -1 END FOR k IN range(9 * length(CAST(doc_id AS VARCHAR)))],
+    lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, CAST(4294967295 AS BIGINT)), 4294967295)"""
+# a run has 16 places or more whose word returns one period later, so eight in a row; these in a row give its ends
+_RUNS_SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS words, coalesce({_CRC}, 1) AS h FROM documents),
+a AS (SELECT *, len(words) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) END AS a FROM d),
+m AS (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN words ELSE list_concat(words[1:a], [words[a + 1 + i % (1 + (n - a) // (3 + g % 8))] FOR i IN range(n - a)]) END AS ws FROM a),
+w AS (SELECT rid, unnest(ws) AS said, unnest(range(n)) AS pos, n FROM m),
+{_window_sql('w8', 8, 'w', 'said')},
+s AS (SELECT rid, pos, md5(v) AS v FROM w8 WHERE v IS NOT NULL),
+again AS (SELECT x.rid, x.pos, y.pos - x.pos AS p FROM s x JOIN s y ON x.rid = y.rid AND x.v = y.v AND x.pos < y.pos),
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY rid, p ORDER BY pos) AS island FROM again),
+f AS (SELECT rid, p, min(pos) AS start, count(*) + 7 + p AS length FROM i GROUP BY rid, p, island HAVING count(*) + 7 + p >= greatest(24, 3 * p)),
+r AS (SELECT rid, start, length, min(p) AS p FROM f GROUP BY rid, start, length),
+b AS (SELECT rid, start, length, p FROM r QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length / CAST(p AS DOUBLE) DESC, start, p) = 1),
+t AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || p || chr(10), '' ORDER BY start, p) AS lines FROM r GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(start + p, start + length)) AS pos FROM r),
+k AS (SELECT rid, string_agg(said, ' ' ORDER BY pos) AS kept FROM w ANTI JOIN gone USING (rid, pos) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, p AS period, 1000 * length // p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM m LEFT JOIN t USING (rid) LEFT JOIN b USING (rid) LEFT JOIN k USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_suffix_repetition": _QUALITY_SQL, "op3_warc_boundary_chain": _WARC_SQL, "op6_chat_schema_fingerprint": _CHAT_SQL,
-        "op8_suffix_array_decontamination": _DECONTAM_SQL, "op10_minhash_bayes": _NEARDUP_SQL, "op12_lexical_search": _SEARCH_SQL, "pii_base_spans": _PII_SQL,
+        "op8_suffix_array_decontamination": _DECONTAM_SQL, "op10_minhash_bayes": _NEARDUP_SQL, "op12_lexical_search": _SEARCH_SQL, "op13_periodic_runs": _RUNS_SQL, "pii_base_spans": _PII_SQL,
     }
