@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..config import DISTINCT_THRESHOLD, KEY_CAP, MAX_MEMBERS, MERGE_THRESHOLD, WEIGHTS
 from ..functions.match import PARTS, match_key, match_score, message_tags
 from ..functions.text import col
+from . import pairs
 from .graph import components
 
 TITLE = 0.4  # likeness of titles from which prefixes of titles find a pair; below, entities must
@@ -37,15 +38,9 @@ def _terms(rows: DataFrame, *ids: str) -> DataFrame:
 
 
 def pair_scores(left: DataFrame, right: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """item, story, score of the pairs of one day that share a term; left and
-    right have id, date and key.  Exact: the intersections are counted from the
-    index, the unions follow from the set sizes."""
-    a = _terms(left.withColumnRenamed("id", "item"), "item").withColumnRenamed("size", "na")
-    b = _terms(right.withColumnRenamed("id", "story"), "story").withColumnRenamed("size", "nb")
-    shared = a.join(b, ["date", "part", "term"]).groupBy("date", "item", "story", "part").agg(F.count("*").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    j = {p: F.sum(F.when(F.col("part") == p, F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).otherwise(0.0)) for p in PARTS}
-    x, y, z = (F.lit(float(weights[p])) * j[p] for p in PARTS)
-    return shared.groupBy("date", "item", "story").agg((x + y + z).alias("score"))
+    """date, item, story, score of the pairs of one day that share a term; left and
+    right have id, date and key.  No pair is shuffled (see pairs)."""
+    return pairs.across(left, right, weights)
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, least: float = DISTINCT_THRESHOLD, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -65,9 +60,9 @@ def candidate_pairs(left: DataFrame, right: DataFrame, least: float = DISTINCT_T
     kept = terms.join(often, ["date", "part", "term"]).withColumn("place", place)
     kept = kept.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).select("id", "date", "part", "term")
     side = lambda rows, name: kept.join(rows.select("id").distinct(), "id", "left_semi").withColumnRenamed("id", name)
-    pairs = side(left, "item").join(side(right, "story"), ["date", "part", "term"]).select("date", "item", "story").distinct()
+    met = side(left, "item").join(side(right, "story"), ["date", "part", "term"]).select("date", "item", "story").distinct()
     a, b = left.select(F.col("id").alias("item"), F.col("key").alias("ka")), right.select(F.col("id").alias("story"), F.col("key").alias("kb"))
-    scored = pairs.join(a, "item").join(b, "story").select("date", "item", "story", match_score("ka", "kb", weights).alias("score"))
+    scored = met.join(a, "item").join(b, "story").select("date", "item", "story", match_score("ka", "kb", weights).alias("score"))
     return scored.where(F.col("score") > least)
 
 

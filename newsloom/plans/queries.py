@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DAY_MS, MAX_AGE_MS, MESSAGE_STATUSES, WEEK_MS
+from ..config import DAY_MS, MAX_AGE_MS, MESSAGE_STATUSES, WEEK_MS, WEIGHTS
 from ..functions import match, text
 from ..functions.dates import date_key, iso_timestamp
-from ..operators import calibrate, captions, dashboard, grid, items, metrics, publish, stories, tables, work
+from ..operators import calibrate, captions, dashboard, grid, items, metrics, pairs, publish, stories, tables, work
 from . import views
 from .views import NOW_MS, SCRAPE_MS
 
@@ -47,8 +47,7 @@ def _keyed(spark, sf):
 
 def _scores(spark, sf):
     """Pairs of a day, each once; later items look back at earlier ones."""
-    k = _keyed(spark, sf)
-    return stories.pair_scores(k, k).where("item > story")
+    return pairs.once(_keyed(spark, sf), WEIGHTS)
 
 
 @query(f"WITH {views.KEYS_SQL} SELECT id, date, array_to_string(e, '|') AS entities, array_to_string(t, '|') AS title_tokens, array_to_string(g, '|') AS tags FROM keys")
