@@ -68,7 +68,7 @@ def band_verdicts(spark, sf):
 
 @query(f"WITH {views.SCORES_SQL} SELECT item, story, round(score, 6) AS score FROM scores QUALIFY row_number() OVER (PARTITION BY item ORDER BY round(score, 9) DESC, story) = 1")
 def best_candidate(spark, sf):
-    rows = stories.best_candidate(_scores(spark, sf).withColumn("score", F.round("score", 9)))
+    rows = stories.best_candidate(pairs.best(_keyed(spark, sf), WEIGHTS).withColumn("score", F.round("score", 9)))
     return rows.select("item", "story", F.round("score", 6).alias("score"))
 
 

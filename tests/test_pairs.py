@@ -68,3 +68,19 @@ def test_pairs_are_not_shuffled(spark):
     df = copies(spark)
     assert pairs.once(df, WEIGHTS).count() == 400 * 399 // 2
     assert shuffled(spark, pairs.once(df, WEIGHTS)) < 400 * (pairs.BLOCKS + 3)
+
+
+def test_best_of_ties_without_a_shuffle_of_pairs(spark, monkeypatch):
+    """The first story of those that round to the best score; few pairs leave a task."""
+    df = keyed(spark, batch(150, 4)).dropDuplicates(["id"]).cache()
+    want = {}
+    for (a, b), score in brute(df).items():
+        if a > b and (a not in want or (-round(score, 9), b) < want[a]):
+            want[a] = (-round(score, 9), b)
+    for blocks, work in ((1, 1 << 19), (4, 300)):
+        monkeypatch.setattr(pairs, "BLOCKS", blocks)
+        monkeypatch.setattr(pairs, "WORK", work)
+        got = stories.best_candidate(pairs.best(df, WEIGHTS).withColumn("score", F.round("score", 9))).collect()
+        assert {r.item: (-r.score, r.story) for r in got} == want and len(got) == len(want)
+    monkeypatch.undo()
+    assert shuffled(spark, stories.best_candidate(pairs.best(copies(spark), WEIGHTS))) < 400 * (2 * pairs.BLOCKS + 5)
