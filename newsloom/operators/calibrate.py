@@ -43,13 +43,15 @@ def scored_pairs(pairs: DataFrame, items: DataFrame, weights: dict[str, float] =
 def sweep(scored: DataFrame, step: float) -> DataFrame:
     """The curve.  Pairs are counted once, by the number of thresholds that a score
     reaches and whether it is one; running sums over these at most 202 bins give what
-    lies above and below each threshold, and a point of the curve is two look-ups."""
+    lies above and below each threshold, and a point of the curve is two look-ups.
+    A row of `scored` may stand for n pairs."""
     spark = scored.sparkSession
     values = threshold_grid(step)
     every = F.array(*[F.lit(v) for v in values])
     reached = F.when(F.col("score").isNotNull(), F.size(F.filter(every, lambda v: v <= F.col("score"))))
-    bins = scored.select("same", reached.alias("reached"), F.array_contains(every, F.col("score")).alias("exact"))
-    bins = bins.groupBy("reached", "exact").agg(F.sum(F.col("same").cast("long")).alias("same"), F.sum((~F.col("same")).cast("long")).alias("different"))
+    n = F.col("n") if "n" in scored.columns else F.lit(1)
+    bins = scored.select("same", n.alias("n"), reached.alias("reached"), F.array_contains(every, F.col("score")).alias("exact"))
+    bins = bins.groupBy("reached", "exact").agg(F.sum(F.col("same").cast("long") * F.col("n")).alias("same"), F.sum((~F.col("same")).cast("long") * F.col("n")).alias("different"))
     spine = spark.createDataFrame([(k, v, e) for k, v in [*enumerate(values, 1), (0, None)] for e in (True, False)], "reached int, value double, exact boolean")
     counts = spine.join(bins, ["reached", "exact"], "left").fillna(0, ["same", "different"])
     # in order of scores: what equals a threshold comes before what lies beyond it

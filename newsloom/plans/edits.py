@@ -74,8 +74,7 @@ SELECT d || ',' || m || ',' || coalesce(CAST(round(ms / CAST(nullif(ma, 0) AS DO
 
 @query(_CURVE_SQL)
 def curve_lines(spark, sf):
-    scored = _labelled(spark, sf).select(F.round("score", 9).alias("score"), F.coalesce("same", F.lit(False)).alias("same"))
-    curve = calibrate.sweep(scored, 0.25)
+    curve = calibrate.sweep(_labelled(spark, sf), 0.25)
     return calibrate.curve_csv(curve.withColumns({c: F.round(c, 3) for c in ("autoMergePrecision", "autoSplitRecall", "bandFraction")}))
 
 

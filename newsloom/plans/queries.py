@@ -76,10 +76,9 @@ _PAIRS_SQL = f"WITH {views.SCORES_SQL}, pairs AS (SELECT s.score, a.g[2] = b.g[2
 
 
 def _labelled(spark, sf):
-    """Pairs of a day that share a term; the same site is the same story."""
-    host = _keyed(spark, sf).select("id", F.element_at("key.tags", 2).alias("h"))
-    rows = _scores(spark, sf).join(host.toDF("item", "ha"), "item").join(host.toDF("story", "hb"), "story")
-    return rows.select("item", "story", "score", (F.col("ha") == F.col("hb")).alias("same"))
+    """How many pairs of a day that share a term score so; the same site is the same story."""
+    counted = pairs.counts(_keyed(spark, sf), WEIGHTS, F.element_at("key.tags", 2))
+    return counted.select(F.round("score", 9).alias("score"), "same", "n")
 
 
 @query(
@@ -93,8 +92,7 @@ SELECT d AS "distinctThreshold", m AS "mergeThreshold",
 FROM grid CROSS JOIN (SELECT round(score, 9) AS score, coalesce(same, false) AS same FROM pairs) GROUP BY d, m"""
 )
 def calibration_curve(spark, sf):
-    scored = _labelled(spark, sf).select(F.round("score", 9).alias("score"), F.coalesce("same", F.lit(False)).alias("same"))
-    curve = calibrate.sweep(scored, 0.1)
+    curve = calibrate.sweep(_labelled(spark, sf), 0.1)
     return curve.select("distinctThreshold", "mergeThreshold", *[F.round(c, 6).alias(c) for c in ("autoMergePrecision", "autoSplitRecall", "bandFraction")])
 
 

@@ -1,11 +1,12 @@
 """Pairs of a day against brute force, and what they shuffle."""
 
+from collections import Counter
 from itertools import product
 
 from pyspark.sql import functions as F
 
 from newsloom.config import WEIGHTS
-from newsloom.operators import pairs, stories
+from newsloom.operators import calibrate, pairs, stories
 
 from .test_stories import ITEM, batch
 
@@ -84,3 +85,16 @@ def test_best_of_ties_without_a_shuffle_of_pairs(spark, monkeypatch):
         assert {r.item: (-r.score, r.story) for r in got} == want and len(got) == len(want)
     monkeypatch.undo()
     assert shuffled(spark, stories.best_candidate(pairs.best(copies(spark), WEIGHTS))) < 400 * (2 * pairs.BLOCKS + 5)
+
+
+def test_counts_of_scores_and_their_curve(spark):
+    """Counted pairs give the curve of the pairs themselves."""
+    df = keyed(spark, batch(150, 4)).dropDuplicates(["id"]).cache()
+    host = {r.id: r.h for r in df.select("id", F.element_at("key.tags", 2).alias("h")).collect()}
+    want = Counter((score, host[a] == host[b]) for (a, b), score in brute(df).items() if a > b)
+    counted = pairs.counts(df, WEIGHTS, F.element_at("key.tags", 2)).cache()
+    assert {(r.score, r.same): r.n for r in counted.collect()} == want
+    each = spark.createDataFrame([k for k, n in want.items() for _ in range(n)], "score double, same boolean")
+    assert sorted(calibrate.sweep(counted, 0.1).collect()) == sorted(calibrate.sweep(each, 0.1).collect())
+    assert {r.same for r in pairs.counts(df, WEIGHTS).collect()} == {False}
+    assert shuffled(spark, pairs.counts(copies(spark), WEIGHTS)) < 400 * (pairs.BLOCKS + 3)
