@@ -63,7 +63,7 @@ def pair_scores(spark, sf):
 
 @query(f"WITH {views.SCORES_SQL} SELECT CASE WHEN score >= 0.72 THEN 'merge' WHEN score <= 0.35 THEN 'distinct' ELSE 'adjudicate' END AS verdict, count(*) AS n FROM scores GROUP BY 1")
 def band_verdicts(spark, sf):
-    return _scores(spark, sf).groupBy(match.classify("score").alias("verdict")).agg(F.count("*").alias("n"))
+    return pairs.counts(_keyed(spark, sf), WEIGHTS).groupBy(match.classify("score").alias("verdict")).agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {views.SCORES_SQL} SELECT item, story, round(score, 6) AS score FROM scores QUALIFY row_number() OVER (PARTITION BY item ORDER BY round(score, 9) DESC, story) = 1")
