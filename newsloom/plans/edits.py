@@ -4,6 +4,7 @@ Readers and endpoints work on files that the query writes from the given tables.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -133,20 +134,20 @@ def read_snapshot(spark, sf):
 _POSTS_SQL = "SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS id, md5(text) AS digest FROM documents WHERE source IS NOT NULL"
 
 
-def _archive(spark, sf) -> tuple[str, str]:
-    """(folder, channels): the documents as the posts of their sources."""
+def _archive(spark, sf) -> tuple[str, str, str]:
+    """(folder, channels, JSON of their newest ids): the documents as the posts of their sources."""
     posts = views.load(spark, sf, "documents").where("source is not null").select(F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"))
     path = _folder(spark, "archive")
     posts.write.partitionBy("source_id").json(path)
-    names = [r.source_id for r in posts.select("source_id").distinct().collect()]  # the channels are what a reader is told
+    newest = dict(posts.groupBy("source_id").agg(F.max(F.col("id").cast("long")).cast("string")).collect())  # the channels are what a reader is told
     spark.dataSource.register(ChannelPosts)
-    return path, ",".join(sorted(names))
+    return path, ",".join(sorted(newest)), json.dumps(newest)
 
 
 @query(_POSTS_SQL)
 def channel_archive(spark, sf):
-    """Page after page of every channel, in one batch."""
-    path, channels = _archive(spark, sf)
+    """Every file of every channel, in one batch."""
+    path, channels, _ = _archive(spark, sf)
     rows = spark.read.format("channel_posts").option("channels", channels).option("folder", path).load()
     return rows.select("source_id", "id", F.md5("body").alias("digest"))
 
@@ -154,9 +155,9 @@ def channel_archive(spark, sf):
 @query(_POSTS_SQL)
 def channel_stream(spark, sf):
     """The same posts as a stream, which ends when it has read what there is."""
-    path, channels = _archive(spark, sf)
+    path, channels, newest = _archive(spark, sf)
     out = _folder(spark, "posts")
-    stream = spark.readStream.format("channel_posts").option("channels", channels).option("folder", path).load()
+    stream = spark.readStream.format("channel_posts").option("channels", channels).option("folder", path).option("until", newest).load()
     save = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
     flows.write_batches(stream, _folder(spark, "check"), save).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out).select("source_id", "id", F.md5("body").alias("digest"))

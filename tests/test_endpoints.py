@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import publish
 from newsloom.sinks import sends
+from newsloom.sources import channels
 from newsloom.sources.channels import ChannelPosts
 from newsloom.streaming import flows
 
@@ -143,3 +144,35 @@ def test_the_sink_of_a_stream(spark, place, tmp_path):
         assert query.awaitTermination(60)
     assert sorted(c["text"] for c in calls(place)) == [f"text {k}" for k in range(4)]
     assert os.listdir(place / "ledger")
+
+
+@pytest.mark.parametrize("until", [None, 2500])
+def test_an_archive_is_read_file_by_file_once(spark, place, tmp_path, monkeypatch, until):
+    """Of 3000 posts in three files each is opened once for its rows; a second run reads what is new."""
+    where, out, opened = tmp_path / "archive" / "source_id=a b", str(tmp_path / "out"), []
+    where.mkdir(parents=True)
+
+    def lines(name, ids):
+        (where / name).write_text("".join(json.dumps({"id": str(i), "body": f"says {i}"}) + "\n" for i in ids))
+
+    for k in range(3):
+        lines(f"part-{k}.json", range(k + 1, 3001, 3))
+    options = {"channels": "a b,none", "folder": str(tmp_path / "archive")} | ({"until": json.dumps({"a b": str(until)})} if until else {})
+
+    def run():
+        stream = spark.readStream.format("channel_posts").options(**options).load()
+        assert flows.write_batches(stream, str(tmp_path / "check"), lambda b, epoch: b.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")).awaitTermination(60)
+        return sorted((r.source_id, int(r.id), r.body) for r in spark.read.parquet(out).collect())
+
+    want = lambda n: [("a b", i, f"says {i}") for i in range(1, n + 1)]
+    assert run() == want(until or 3000)
+    lines("part-3.json", range(3001, 3101))
+    if until:
+        options["until"] = json.dumps({"a b": "3050"})
+    assert run() == want(3050 if until else 3100)
+    reader = ChannelPosts({**options}).reader(None)
+    assert len(reader.partitions()) == 4  # one for each file
+    kept = channels.archived
+    monkeypatch.setattr(channels, "archived", lambda folder, file, *a: opened.append(file) or kept(folder, file, *a))
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert len(rows) == (3050 if until else 3100) and len(opened) == len(set(opened)) == 4
