@@ -155,21 +155,32 @@ class Day:
 
     def best(self, sets: dict[str, set]) -> tuple[str, float] | None:
         """The best story; on a tie touched ones come first, in the order of their
-        first touch, then stored ones."""
-        shared: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-        for part, terms in sets.items():
-            for term in terms:
-                for story in self.ids_of(part, term):
-                    shared[story][part] += 1
-        found = None
-        for name, parts in shared.items():
-            story, score = self.story(name), 0.0
-            for p in PARTS:
-                union = len(sets[p]) + len(story.sets[p]) - parts.get(p, 0)
-                score += self.weights[p] * (parts.get(p, 0) / union if union else 0.0)
-            rank = (-score, not story.touched, story.order, name)
-            if found is None or rank < found[0]:
-                found = (rank, name, score)
+        first touch, then stored ones.
+
+        Terms are looked up by how few stories they bring for what they weigh, until
+        those left cannot lift a story that was not met above the lower threshold or
+        the best one.  So a term that a whole day shares is seldom looked up; the best
+        is exact where it scores above the lower threshold, else it may be another
+        such story or none."""
+        gain = {p: self.weights[p] / len(sets[p]) for p in PARTS if sets[p]}
+        terms = sorted(((len(ids) / (gain[p] or 1e-9), p, term, ids) for p in gain for term in sets[p] if (ids := self.ids_of(p, term))), key=lambda t: t[:3])
+        left = sum(gain[p] for _, p, _, _ in terms)  # an upper bound of what a story not met scores
+        found, met = None, set()
+        for _, part, _, ids in terms:
+            if left < max(self.distinct, found[2] if found else 0.0) - 1e-9:
+                break
+            left -= gain[part]
+            for name in ids - met:
+                story, score = self.story(name), 0.0
+                for p in PARTS:
+                    both = len(sets[p] & story.sets[p])
+                    union = len(sets[p]) + len(story.sets[p]) - both
+                    score += self.weights[p] * (both / union if union else 0.0)
+                if found is None or score >= found[2]:
+                    rank = (-score, not story.touched, story.order, name)
+                    if found is None or rank < found[0]:
+                        found = (rank, name, score)
+            met |= ids
         return found and (found[1], found[2])
 
     def take(self, item: dict) -> str:

@@ -158,3 +158,32 @@ def test_parts_of_a_day_give_the_same_stories(deferred, spark):
     assert len(sizes) > 20 and sizes[0] < 100  # a word of the whole day joins nothing
     with pytest.raises(ValueError):
         stories.day_parts(keyed, none, 0.2, {"entities": 0.6, "titleTokens": 0.25, "tags": 0.15})
+
+
+def test_the_best_story_is_found_without_the_words_of_a_whole_day():
+    """Of a day of unlike stories few meet an item, and none that could be the best is missed."""
+    looked = []
+
+    class Counted(stories.Day):
+        def story(self, id):
+            looked.append(id)
+            return super().story(id)
+
+    weights = {"entities": 0.6, "titleTokens": 0.25, "tags": 0.15}
+    rng = random.Random(5)
+    for band, most in (((0.35, 0.72), 3), ((0.1, 0.72), 120)):
+        day = Counted(band, weights, 5)
+        for k in range(600):
+            sets = {"entities": {f"N{k}"} if k % 2 else set(), "titleTokens": {"the", "city", *(f"w{rng.randrange(k + 9)}" for _ in range(5))}, "tags": {"en", f"h{k % 40}"}}
+            looked.clear()
+            got = day.best(sets)
+            assert k < 50 or len(looked) < most * 10
+            like = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+            every = [(-sum(w * like(sets[p], s.sets[p]) for p, w in weights.items()), not s.touched, s.order, s.id) for s in day.stories.values()]
+            if every and -min(every)[0] > band[0]:
+                assert got[0] == min(every)[3] and got[1] == pytest.approx(-min(every)[0])
+            else:
+                assert got is None or got[1] <= band[0]
+            item = {"id": f"s/{k}", "key": {p: sorted(x) for p, x in sets.items()}, "message_tags": [], "same": [], "image": None, "title": None, "location": None}
+            day.take(item)
+    assert len(day.stories) > 100
