@@ -396,15 +396,18 @@ def merge_writes(folded: DataFrame, items: DataFrame, stored: DataFrame) -> Data
     of a known member the time it was added), and status topublish where what readers
     see has changed; `republish` tells."""
     now = folded.where("kind = 'story'").drop("kind", "item", "itemTitle", "itemEntities", "itemTags", "itemLocation")
-    of = now.select("id", "ts", F.posexplode("memberIds").alias("pos", "member"))
+    # a story's row goes with its first member, so that the fold runs once
+    of = now.select("id", "date", "ts", F.struct(*now.columns).alias("row"), F.posexplode("memberIds").alias("pos", "member"))
+    of = of.withColumn("row", F.when(F.col("pos") == 0, F.col("row")))
     fresh = items.groupBy(F.col("id").alias("member")).agg(F.max_by(F.struct("summary", "links"), "seq").alias("new"))
     known = stored.select("id", F.explode("members").alias("member", "old"))
     both = of.join(fresh, "member", "left").join(known, ["id", "member"], "left")
     channel, at = F.substring_index("member", "/", 1), F.coalesce("old.ts", "ts")
     block = F.when(F.col("new").isNotNull(), F.struct(F.col("new.summary").alias("summary"), F.col("new.links").alias("links"), channel.alias("channel"), at.alias("ts"))).otherwise(F.struct("old.summary", "old.links", "old.channel", "old.ts"))
-    blocks = both.select("id", F.struct("pos", "member", block.alias("block")).alias("e")).groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("e"))  # at most MAX_MEMBERS each
+    blocks = both.select("id", "date", "row", F.struct("pos", "member", block.alias("block")).alias("e")).groupBy("id", "date")
+    blocks = blocks.agg(F.first("row", ignorenulls=True).alias("row"), F.array_sort(F.collect_list("e")).alias("e"))  # at most MAX_MEMBERS each
     members = F.map_from_entries(F.transform("e", lambda x: F.struct(x["member"], x["block"])))
-    rows = now.join(blocks.select("id", members.alias("members")), "id")
+    rows = blocks.select("row.*", members.alias("members"))
     content = ["members", "title", "country", "location", "peoples", "tags", "image"]
     old = stored.select("id", F.col("status").alias("_status"), F.struct(*content).alias("_old"))
     rows = rows.join(old, "id", "left").withColumn("_new", F.struct(*content))

@@ -187,3 +187,12 @@ def test_the_best_story_is_found_without_the_words_of_a_whole_day():
             item = {"id": f"s/{k}", "key": {p: sorted(x) for p, x in sets.items()}, "message_tags": [], "same": [], "image": None, "title": None, "location": None}
             day.take(item)
     assert len(day.stories) > 100
+
+
+def test_writes_fold_once(spark):
+    """The fold of a batch stands once in the plan of its writes."""
+    member = "map<string, struct<summary: string, links: array<struct<id: bigint, href: string>>, channel: string, ts: bigint>>"
+    none = spark.createDataFrame([], f"id string, status string, members {member}, title string, country string, location string, peoples string, tags array<string>, image string")
+    rows = spark.createDataFrame(batch(30, 3), ITEM)
+    plan = stories.merge_writes(stories.fold(rows, 5), rows, none)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
