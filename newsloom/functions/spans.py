@@ -8,10 +8,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import SUMMARY_MAX
+from .text import col
 
 _LINK = re.compile(r"\[[^\]]*\]\(#\d+\)")
 _HREF = T.StructType([T.StructField("id", T.LongType()), T.StructField("href", T.StringType())])
@@ -42,10 +44,23 @@ def clamp(text: str, most: int = SUMMARY_MAX) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def clamp_summary(texts: pd.Series) -> pd.Series:
+def _clamped(texts: pd.Series) -> pd.Series:
     return texts.map(clamp, na_action="ignore")
 
 
+def clamp_head(texts, most: int = SUMMARY_MAX) -> Column:
+    """As much of a text as clamp() looks at: one character more than fit, and the rest
+    of a link that is cut there, which only a [ before it can begin."""
+    head = F.substring(col(texts), 1, most + 1)
+    link = rf"(?s)^.{{0,{most + 1}}}(?:[^\]]*+\]\(#\d+\)|\(#\d+\)|#?\d+\)|\))?"
+    return F.when(F.contains(head, F.lit("[")), F.regexp_extract(col(texts), link, 0)).otherwise(head)
+
+
+def clamp_summary(texts) -> Column:
+    """clamp() over the heads of texts: whole ones need not leave the JVM."""
+    return _clamped(clamp_head(texts))
+
+
 def tokenise(text: str, spans: list[dict]) -> tuple[str, list[dict]]:
     """URL spans (offset, length, url in UTF-16 units) become [label](#N) tokens
     with numbered links; a span that overlaps the one before is skipped."""
