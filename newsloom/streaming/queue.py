@@ -6,14 +6,14 @@ itself, and a log that is read again gives the same states, whatever the batches
 rows of one batch are taken in the order of their times, and a lease that ran out
 before a row came is settled before it.  Rows further behind the newest than `lateness`
 are dropped by Spark, which counts them in the query's progress
-(numRowsDroppedByWatermark); flows.count_hours counts such rows itself."""
+(numRowsDroppedByWatermark); flows.count_hours counts such rows itself.  A key has few
+rows, so they are taken as rows: a pandas frame for each key costs more than its state."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,17 +24,6 @@ ITEM = "id string, at long, stage string, status string, retryCount long, runAt
 _STATE = ("stage", "status", "retryCount", "runAt", "leaseUntil", "finishedAt", "error")
 
 
-def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
-    """Rows with nullable whole numbers."""
-    names = [f.split()[0] for f in schema.split(", ")]
-    frame = pd.DataFrame([[r.get(c) for c in names] for r in rows], columns=names, dtype=object)
-    return frame.astype({f.split()[0]: "Int64" for f in schema.split(", ") if f.endswith(" long")})
-
-
-def _value(x):
-    return None if x is None or x != x else x
-
-
 class _Queue(StatefulProcessor):
     """One item: pending, running under a lease, done or error."""
 
@@ -56,7 +45,7 @@ class _Queue(StatefulProcessor):
 
     def _after(self, s: dict | None, row: dict) -> dict | None:
         kind, at = row["kind"], int(row["ms"])
-        until = _value(row["until"])
+        until = row["until"]
         if kind == "enqueue":  # an id that is queued already stays as it is
             return s or {"stage": row["stage"], "status": "pending", "retryCount": 0, "runAt": at if until is None else int(until), "leaseUntil": None, "finishedAt": None, "error": None}
         if s is None:
@@ -66,7 +55,7 @@ class _Queue(StatefulProcessor):
         if kind == "ok" and s["status"] == "running":
             return s | {"status": "done", "finishedAt": at, "leaseUntil": None, "error": None}
         if kind == "fail" and s["status"] == "running":
-            return self._failed(s, at, _value(row["error"]))
+            return self._failed(s, at, row["error"])
         if kind == "replay" and s["status"] == "error":
             return s | {"status": "pending", "retryCount": 0, "runAt": at, "finishedAt": None, "error": None}
         return s
@@ -78,32 +67,29 @@ class _Queue(StatefulProcessor):
         elif s["status"] == "pending":
             self.handle.registerTimer(s["runAt"])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         found = self.state.get()
         s = dict(zip(_STATE, found)) if found else None
-        out = []
-        for row in pd.concat(rows).sort_values(["ms", "kind"]).to_dict("records"):  # of one item
+        for row in sorted(rows, key=lambda r: (r["ms"], r["kind"])):  # of one item
             if (lost := self._lost(s, int(row["ms"]))) is not None:
                 s = lost
-                out.append({"id": key[0], "at": lost["finishedAt"] or lost["runAt"], "due": False, **lost})
+                yield Row(id=key[0], at=lost["finishedAt"] or lost["runAt"], due=False, **lost)
             s = self._after(s, row)
             if s is not None:
-                out.append({"id": key[0], "at": int(row["ms"]), "due": False, **s})
+                yield Row(id=key[0], at=int(row["ms"]), due=False, **s)
         if s is not None:
             self._keep(s)
-        yield _frame(out, ITEM)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now, found = expiredTimerInfo.getExpiryTimeInMs(), self.state.get()
         s = dict(zip(_STATE, found)) if found else None
         if (lost := self._lost(s, now)) is not None:
             self._keep(lost)
-            rows = [{"id": key[0], "at": now, "due": False, **lost}]
+            yield Row(id=key[0], at=now, due=False, **lost)
             if lost["status"] == "pending" and lost["runAt"] <= timerValues.getCurrentWatermarkInMs():
-                rows.append({"id": key[0], "at": lost["runAt"], "due": True, **lost})  # its time is over as well
-            yield _frame(rows, ITEM)
+                yield Row(id=key[0], at=lost["runAt"], due=True, **lost)  # its time is over as well
         elif s and s["status"] == "pending" and s["runAt"] <= now:
-            yield _frame([{"id": key[0], "at": now, "due": True, **s}], ITEM)
+            yield Row(id=key[0], at=now, due=True, **s)
 
     def close(self) -> None:
         pass
@@ -117,7 +103,7 @@ def queue_states(log: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     pending item's time has come, which is what wakes a stage, and one when a lease
     runs out: a failed attempt.  Attempts and backoff are work.settle's."""
     rows = log.withWatermark("ts", lateness).select("id", "stage", "kind", "ts", F.unix_millis("ts").alias("ms"), "until", "error")
-    return rows.groupBy("id").transformWithStateInPandas(_Queue(), ITEM, "append", "eventTime")
+    return rows.groupBy("id").transformWithState(_Queue(), ITEM, "append", "eventTime")
 
 
 def last_states(states: DataFrame) -> DataFrame:
@@ -150,25 +136,23 @@ class _Sources(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("source", "lastItemId string, lastCount long, zeroYieldRuns long, lastNonZeroCount long, at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         newest, count, runs, some, at = self.state.get() or (None, 0, 0, 0, 0)
-        out = []
-        for row in pd.concat(rows).sort_values("ms").to_dict("records"):  # of one source
+        for row in sorted(rows, key=lambda r: r["ms"]):  # of one source
             count, at = int(row["n"]), int(row["ms"])
             if count:
                 newest, runs, some = row["newest"], 0, count
             else:
                 runs += 1
-            out.append({"id": key[0], "at": at, "lastItemId": newest, "lastCount": count, "zeroYieldRuns": runs, "lastNonZeroCount": some, "stale": runs >= STALE_RUNS and some > 0, "quiet": False})
+            yield Row(id=key[0], at=at, lastItemId=newest, lastCount=count, zeroYieldRuns=runs, lastNonZeroCount=some, stale=runs >= STALE_RUNS and some > 0, quiet=False)
         self.state.update((newest, count, runs, some, at))
         self.handle.registerTimer(at + self.quiet_ms)
-        yield _frame(out, SOURCE)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
         newest, count, runs, some, at = self.state.get()
         if at + self.quiet_ms <= now:
-            yield _frame([{"id": key[0], "at": now, "lastItemId": newest, "lastCount": count, "zeroYieldRuns": runs, "lastNonZeroCount": some, "stale": runs >= STALE_RUNS and some > 0, "quiet": True}], SOURCE)
+            yield Row(id=key[0], at=now, lastItemId=newest, lastCount=count, zeroYieldRuns=runs, lastNonZeroCount=some, stale=runs >= STALE_RUNS and some > 0, quiet=True)
 
     def close(self) -> None:
         pass
@@ -179,4 +163,4 @@ def source_alerts(polls: DataFrame, quiet_ms: int, lateness: str = "10 minutes")
     `stale` from the third poll in a row without a post on, where there ever was one;
     and a row with `quiet` where no poll came for quiet_ms."""
     rows = polls.withWatermark("ts", lateness).select("id", "ts", F.unix_millis("ts").alias("ms"), "n", "newest")
-    return rows.groupBy("id").transformWithStateInPandas(_Sources(quiet_ms), SOURCE, "append", "eventTime")
+    return rows.groupBy("id").transformWithState(_Sources(quiet_ms), SOURCE, "append", "eventTime")

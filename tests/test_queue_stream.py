@@ -168,3 +168,27 @@ def test_late_changes_find_their_request(spark, tmp_path):
     every = spark.createDataFrame([r for p in parts for r in p], "message string, at long")
     want = sorted(map(tuple, work.publish_requests(every).select("id", "message", "runAt").collect()))
     assert sorted(map(tuple, flows.settled(spark, str(tmp_path / "out")).collect())) == want
+
+
+def test_an_item_takes_rows_not_frames():
+    """A key's few rows and states go without a frame for each key."""
+    from pyspark.sql import Row
+
+    class Kept:
+        value, timers = None, []
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    kept, item = Kept(), queue._Queue()
+    item.state = item.handle = kept
+    log = [Row(kind=k, ms=at, stage="analyze", until=until, error=None) for k, at, until in (("ok", 30, None), ("claim", 20, 60), ("enqueue", 10, None))]
+    got = list(item.handleInputRows(("a",), iter(log), None))
+    assert [(r.id, r.at, r.status, r.due) for r in got] == [("a", 10, "pending", False), ("a", 20, "running", False), ("a", 30, "done", False)]
+    assert kept.value[1] == "done" and kept.timers == []
