@@ -31,7 +31,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def _run(spark: SparkSession, log: DataFrame, start: Callable[[DataFrame, str, str], object]) -> str:
     """Writes a log, starts a query over it, start(stream, checkpoint, out), and gives
-    the folder it wrote once it has ended."""
+    the folder it wrote once it has ended.  All files of a log are one batch."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     log.write.parquet(f"{root}/log")
     before = spark.conf.get(_PROVIDER)
@@ -107,7 +107,7 @@ def story_parts(spark, sf):
 def story_stream(spark, sf):
     """The same stories out of the stateful stream."""
     kept = ("id", "seq", "date", "title", "peoples", "properNames", "tags", "category", "image", "country", "location")
-    log = views.items(spark, sf).select(*kept).coalesce(1)
+    log = views.items(spark, sf).select(*kept)
     return _stories(_streamed(spark, log, lambda s: merge.merge_stories(s, NOW_MS)).where("kind = 'story'"))
 
 
@@ -144,7 +144,7 @@ def _queue_log(spark, sf):
     rows = [row("enqueue", t), F.when(way < 4, row("claim", t + 1000, t + 61_000)), F.when(way == 0, row("ok", t + 2000)).when(way == 1, row("fail", t + 2000, none, F.lit("bad"))).when(way == 3, row("fail", t + 70_000, none, F.lit("late")))]
     log = c.select("id", "stage", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("id", "stage", "r.*")
     end = c.agg(F.max("t").alias("t")).select(F.lit("end").alias("id"), F.lit("analyze").alias("stage"), F.lit("enqueue").alias("kind"), (F.col("t") + 10_000_000).alias("at"), F.lit(None).cast("long").alias("until"), F.lit(None).cast("string").alias("error"))
-    return log.unionByName(end).select("id", "stage", "kind", F.timestamp_millis("at").alias("ts"), "until", "error").coalesce(1)
+    return log.unionByName(end).select("id", "stage", "kind", F.timestamp_millis("at").alias("ts"), "until", "error")
 
 
 @query(f"""WITH {_QUEUE_SQL} SELECT CAST(k AS VARCHAR) AS id, stage, CASE WHEN k % 5 = 0 THEN 'done' ELSE 'pending' END AS status, CAST(CASE WHEN k % 5 IN (1, 2, 3) THEN 1 ELSE 0 END AS BIGINT) AS "retryCount",
@@ -171,7 +171,7 @@ def source_alert_stream(spark, sf):
     e = views.load(spark, sf, "events")
     n = F.when(F.col("event_type") == "purchase", F.col("user_id") % 9 + 1).otherwise(0).cast("long")
     log = e.select((F.col("user_id") % 40).cast("string").alias("id"), F.timestamp_millis(1000 + 1000 * F.col("event_id")).alias("ts"), n.alias("n"), F.when(n > 0, F.col("event_id").cast("string")).alias("newest"))
-    rows = _streamed(spark, log.coalesce(1), lambda s: queue.source_alerts(s, 3_600_000))
+    rows = _streamed(spark, log, lambda s: queue.source_alerts(s, 3_600_000))
     return rows.where("not quiet").drop("quiet")
 
 

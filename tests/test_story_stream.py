@@ -128,3 +128,15 @@ def test_a_closed_day_starts_anew(spark, tmp_path):
     run(items.schema, closed=end.schema)
     write(items, tmp_path / "items")
     assert first and outcomes(run(items.schema, closed=end.schema)) == first
+
+
+def test_logs_are_written_by_many_tasks(spark, monkeypatch):
+    """No log goes through one task."""
+    from newsloom.plans import live, views
+
+    logs, items = [], views.items
+    monkeypatch.setattr(views, "items", lambda *a: items(*a).repartition(4))
+    monkeypatch.setattr(live, "_streamed", lambda spark, log, make: logs.append(log) or make_none(spark))
+    make_none = lambda spark: spark.createDataFrame([], stream.ROW)
+    live.story_stream(spark, "/root/testdata/sf0.001")
+    assert logs[0].rdd.getNumPartitions() == 4
