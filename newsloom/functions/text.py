@@ -12,6 +12,7 @@ from ..config import TEXT_LIMIT
 
 SPACES = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 SPACE = f"[{SPACES}]"
+BLANK = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"  # the same
 LINK = r"\[([^\]]*)\]\(#(\d+)\)"
 
 
@@ -19,8 +20,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, not wherever body names it: within
+    lambdas nothing else shares an expression."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def trim(c) -> Column:
-    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(col(c), F.lit(BLANK))  # from both ends; a pattern would try every place of the text
 
 
 def squeeze(c) -> Column:
@@ -81,7 +88,7 @@ def escape_html(c) -> Column:
 
 
 def hashtag(c) -> Column:
-    body = F.regexp_replace(F.regexp_replace(col(c), f"[{SPACES}-]", "_"), "[.,@!'\"()]", "")
+    body = F.translate(col(c), BLANK + "-" + ".,@!'\"()", "_" * (len(BLANK) + 1))  # the characters after - go
     return F.concat(F.lit("#"), F.lower(body))
 
 
@@ -111,10 +118,13 @@ def header(date, country, location) -> Column:
 def _rejoin(text: Column, pattern: str, fill) -> Column:
     """Replaces each match in one pass: the text between matches, zipped with
     fill(first group, second group)."""
-    between = F.split(text, pattern)
-    groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2)]
-    filled = F.zip_with(groups[0], groups[1], fill)
-    return F.array_join(F.zip_with(between, filled, lambda b, f: F.concat(b, F.coalesce(f, F.lit("")))), "")
+
+    def joined(text: Column) -> Column:
+        groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2)]
+        filled = F.zip_with(groups[0], groups[1], fill)
+        return F.array_join(F.zip_with(F.split(text, pattern), filled, lambda b, f: F.concat(b, F.coalesce(f, F.lit("")))), "")
+
+    return let(text, joined)
 
 
 def substitute_links(text, links) -> Column:
@@ -122,8 +132,8 @@ def substitute_links(text, links) -> Column:
     links = col(links)
 
     def fill(label: Column, number: Column) -> Column:
-        href = F.filter(links, lambda x: x["id"] == number.cast("long"))
-        return F.when(F.size(href) > 0, F.concat(F.lit('<a href="'), escape_html(F.get(href, 0)["href"]), F.lit('">'), label, F.lit("</a>"))).otherwise(label)
+        anchor = lambda href: F.when(F.size(href) > 0, F.concat(F.lit('<a href="'), escape_html(F.get(href, 0)["href"]), F.lit('">'), label, F.lit("</a>"))).otherwise(label)
+        return let(number.cast("long"), lambda n: let(F.filter(links, lambda x: x["id"] == n), anchor))
 
     return _rejoin(col(text), LINK, fill)
 
@@ -137,7 +147,7 @@ def render_template(template, values: dict[str, Column]) -> Column:
     """{name} placeholders in one pass, unknown ones empty; at most one blank line."""
     table = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
     pattern = r"\{([a-zA-Z]+)()\}"
-    filled = _rejoin(col(template), pattern, lambda name, _: F.coalesce(F.try_element_at(table, name), F.lit("")))
+    filled = let(table, lambda known: _rejoin(col(template), pattern, lambda name, _: F.coalesce(F.try_element_at(known, name), F.lit(""))))
     return trim(F.regexp_replace(filled, "\n{3,}", "\n\n"))
 
 
@@ -166,7 +176,7 @@ def csv_cell(c) -> Column:
 def fill(template, values: dict[str, Column]) -> Column:
     """{word} replaced; names without a value stay visible."""
     table = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
-    return _rejoin(col(template), r"\{(\w+)()\}", lambda n, _: F.coalesce(F.try_element_at(table, n), F.concat(F.lit("{"), n, F.lit("}"))))
+    return let(table, lambda known: _rejoin(col(template), r"\{(\w+)()\}", lambda n, _: F.coalesce(F.try_element_at(known, n), F.concat(F.lit("{"), n, F.lit("}")))))
 
 
 def redact(text, token) -> Column:

@@ -39,10 +39,14 @@ def unmatched(messages: DataFrame, targets: DataFrame) -> DataFrame:
     return messages.join(receivers(messages, targets).select(F.col("message").alias("id")).distinct(), "id", "left_anti")
 
 
-def post_for(target) -> Column:
+def first_legacy() -> Column:
+    return F.get(target_ids("tgChannel"), 0)
+
+
+def post_for(target, first: Column | None = None) -> Column:
     """The recorded post of a target, else the legacy pair for the first legacy
-    target, else null; for a message row."""
-    first = F.get(target_ids("tgChannel"), 0)
+    target (where a caller has it, it is not sought again), else null; for a message row."""
+    first = first_legacy() if first is None else first
     legacy = F.when((col(target) == first) & (F.coalesce("tgId", F.lit("")) != ""), F.struct(F.col("tgId"), F.coalesce("tgAt", F.lit(0).cast("long")).alias("tgAt")))
     return F.coalesce(F.try_element_at("posts", col(target)), legacy)
 
@@ -59,14 +63,17 @@ def rendered_members(members="members", most: int = RENDERED_MEMBERS) -> Column:
     return F.coalesce(lines, F.array().cast("array<string>"))
 
 
-def assemble(rows: DataFrame) -> DataFrame:
-    """Adds text, method, photo, chatId, noPreview to message rows that carry
-    target, messageTemplate and post.
+def _parts(rows: DataFrame) -> DataFrame:
+    """Adds what every text of a message is made of, whatever the template."""
+    line = hashtag_line("location", "peoples", "tags", "title", "date", "ts")
+    return rows.withColumns({"_blocks": rendered_members(), "_tags": line, "_head": header("date", "country", "location")})
+
+
+def _composed(rows: DataFrame) -> DataFrame:
+    """Adds text to rows with their parts and a messageTemplate.
 
     Candidates fall in size: all members with hashtags, without, then fewer members
     down to one; the first that fits is the text, else the last."""
-    line = hashtag_line("location", "peoples", "tags", "title", "date", "ts")
-    rows = rows.withColumn("_blocks", rendered_members()).withColumn("_tags", line).withColumn("_head", header("date", "country", "location"))
     built_in = trim(F.coalesce("messageTemplate", F.lit(""))) == ""
 
     def compose(n: Column, tags: Column) -> Column:
@@ -83,21 +90,39 @@ def assemble(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_full", compose(n, F.col("_tags")))  # most fit as they are; only others try more
     fewer = F.when(n > 1, F.transform(F.sequence(n - 1, F.lit(1), F.lit(-1)), lambda k: compose(k, F.lit("")))).otherwise(F.array().cast("array<string>"))
     text = F.when(utf16_length("_full") <= TEXT_LIMIT, F.col("_full")).otherwise(first_fit(F.concat(F.array(compose(n, F.lit(""))), fewer)))
-    rows = rows.withColumn("text", text)
+    return rows.withColumn("text", text).drop("_blocks", "_tags", "_head", "_full")
+
+
+def _addressed(rows: DataFrame) -> DataFrame:
+    """Adds method, photo, chatId, noPreview to rows with their text, target and post."""
     has = lambda c: trim(F.coalesce(col(c), F.lit(""))) != ""
     photo = has("image") & (utf16_length("text") <= PHOTO_LIMIT)
     method = F.when(has("post.tgId"), "editMessageText").when(photo, "sendPhoto").otherwise("sendMessage")
     rows = rows.withColumn("method", method).withColumn("photo", F.when(F.col("method") == "sendPhoto", F.col("image")))
-    return rows.withColumn("chatId", chat_id("target")).withColumn("noPreview", has("title") | has("image")).drop("_blocks", "_tags", "_head", "_full")
+    return rows.withColumn("chatId", chat_id("target")).withColumn("noPreview", has("title") | has("image"))
+
+
+def assemble(rows: DataFrame) -> DataFrame:
+    """Adds text, method, photo, chatId, noPreview to message rows that carry
+    target, messageTemplate and post."""
+    return _addressed(_composed(_parts(rows)))
 
 
 def sends(messages: DataFrame, targets: DataFrame) -> DataFrame:
     """Everything to send now: publishable messages for their receivers, unless
-    the post there is current."""
+    the post there is current.
+
+    A message's parts are made once and its text once for each template, however many
+    targets receive it; rows of a target follow from these."""
     rows = messages.where(publishable())
     to = receivers(rows, targets).join(targets.select(F.col("id").alias("target"), "messageTemplate"), "target")
-    rows = rows.join(to, rows["id"] == to["message"]).withColumn("post", post_for("target"))
-    return assemble(rows.where(~is_current(F.col("post"))))
+    alike = to.groupBy("message", "messageTemplate").agg(F.collect_list("target").alias("targets"))
+    to = alike.groupBy("message").agg(F.collect_list(F.struct("messageTemplate", "targets")).alias("_texts"))
+    rows = _parts(rows.join(to, rows["id"] == to["message"]).withColumn("_first", first_legacy())).select("*", F.inline("_texts"))
+    posts = F.transform("targets", lambda t: F.struct(t.alias("target"), post_for(t, F.col("_first")).alias("post")))
+    rows = _composed(rows.withColumn("_due", F.filter(posts, lambda p: ~is_current(p["post"]))).where(F.size("_due") > 0))
+    rows = rows.select("*", F.inline("_due")).select(*messages.columns, "message", "target", "messageTemplate", "post", "text")
+    return _addressed(rows)
 
 
 def request(rows: DataFrame, parse_mode: str = "HTML") -> DataFrame:
